@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features",)
+MODULES = ("features", "tape", "splits")
 
 
 def _collect(attr: str) -> dict:
