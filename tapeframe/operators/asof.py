@@ -26,12 +26,15 @@ def asof(
     forward: bool = False,
     max_staleness: int | None = None,
     prefix: str = "",
+    by_row: bool = False,
 ) -> DataFrame:
     """Every left row with the ``values`` of its match (NULL when there is none).
 
     Backward takes the last right row, in ``(right_ts, *right_order)`` order, with
     ``right_ts <= left_ts``; forward takes the first with ``right_ts >= left_ts``. A match further
-    than ``max_staleness`` away becomes NULL. Key and order columns must be longs.
+    than ``max_staleness`` away becomes NULL. Key and order columns must be longs. With ``by_row``
+    rows at one instant compare by their order columns too, so a row never sees one placed on the
+    wrong side of it.
     """
     depth = max(len(left_order), len(right_order))
     ties = [f"__o{i}" for i in range(depth)]
@@ -52,8 +55,9 @@ def asof(
         F.struct(F.col(right_ts).alias("__match_ts"), *values).alias("__right"),
     )
     both = lhs.unionByName(rhs, allowMissingColumns=True)
+    order = ["__ts", *ties, "__side"] if by_row else ["__ts", "__side", *ties]
     both = running(
-        both, list(keys), ["__ts", "__side", *ties], descending=forward, __hit=running_last("__right")
+        both, list(keys), order, descending=forward, __hit=running_last("__right")
     ).where(F.col("__side") == left_side)
     hit: Column = F.col("__hit")
     if max_staleness is not None:

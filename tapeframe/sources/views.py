@@ -162,3 +162,43 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when o_orderkey % 13 = 0 then 0.0D else (o_orderkey % 40) / 10000.0D end"
         " realized_volatility",
     )
+
+
+def faulty_book_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book log with shared order ids and bad fields, for the update checks."""
+    return book_log(spark, sf_dir).selectExpr(
+        "instrument_id", "action", "order_id raw_id", "order_id - order_id % 3 order_id",
+        "if(order_id % 23 = 0, 0L, side) side", "if(order_id % 19 = 0, -price, price) price",
+        "if(order_id % 17 = 0, 0L, quantity) quantity", "ts_ns",
+    )
+
+
+def traded_book_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book log with executions (action 3) against every fourth order, some too large."""
+    log = book_log(spark, sf_dir)
+    adds = log.where("action = 4 and order_id % 4 = 0")
+    life = "(1 + order_id % 240) * 3600000000000"
+    trades_ = adds.select(
+        "instrument_id", F.lit(3).cast("long").alias("action"), "order_id", "side", "price",
+        F.explode(
+            F.expr(f"""array(
+              named_struct('q', quantity div 2, 't', ts_ns + {life} div 4),
+              named_struct('q', quantity div 2 + order_id % 3, 't', ts_ns + {life} * 3 div 4))""")
+        ).alias("x"),
+    ).select("instrument_id", "action", "order_id", "side", "price",
+             F.col("x.q").alias("quantity"), F.col("x.t").alias("ts_ns"))
+    return log.unionByName(trades_)
+
+
+def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-level L2 snapshots, about one per 200 orders, some out of price order."""
+    us = _US.format("o_orderdate")
+    return table(spark, sf_dir, "orders").where("o_orderkey % 199 = 7").selectExpr(
+        "o_custkey % 16 instrument_id", "o_orderkey snapshot_id",
+        f"({us} + 43200000000) * 1000 + o_orderkey ts_ns",
+        "transform(sequence(0L, 2L), i -> named_struct('price', 9990 - i * if(o_orderkey % 5 = 0 and"
+        " i = 2, -1, 3), 'quantity', if(o_orderkey % 7 = 0, 0L, 50 + (o_orderkey + i) % 40),"
+        " 'order_count', (o_orderkey + i) % 4)) bids",
+        "transform(sequence(0L, 2L), i -> named_struct('price', 10010 + i * 2, 'quantity',"
+        " 60 + (o_orderkey * 3 + i) % 50, 'order_count', (o_orderkey + i) % 3)) asks",
+    )
