@@ -153,7 +153,7 @@ def fill_ledger(spark, sf):
         "run_id", "instrument_id", "fill_seq", "side", "quantity", "price", *_COSTS, "notional",
         "cash_delta",
     )
-    return _round(_round(out, *_COSTS, "notional", digits=9), "cash_delta")
+    return _round(_round(out, *_COSTS, digits=9), "notional", "cash_delta")
 
 
 def running_cash_position(spark, sf):
@@ -477,7 +477,7 @@ union all select run_id, instrument_id, order_row, 0, pre from matched where pre
     "fill_ledger": f"""with {_LEDGER} select run_id, instrument_id, fill_seq, side, quantity, price,
  round(spread_cost, 9) spread_cost, round(slippage_cost, 9) slippage_cost,
  round(exchange_fee, 9) exchange_fee, round(regulatory_fee, 9) regulatory_fee,
- round(notional, 9) notional, round(cash_delta, 6) cash_delta from led""",
+ round(notional, 6) notional, round(cash_delta, 6) cash_delta from led""",
     "running_cash_position": f"""with {_TOTALS} select run_id, instrument_id, fill_seq, position,
  round(cash_flow, 3) cash_flow, round(turnover, 3) turnover, volume_traded,
  round(cum_spread_cost, 6) cum_spread_cost, round(cum_slippage_cost, 6) cum_slippage_cost,

@@ -8,7 +8,7 @@ from tapeframe.plans.duck import BOOK
 from tapeframe.sources import views
 
 AS_OF = 897912000000000000  # 1998-06-15 12:00 UTC
-LEVEL_PRICE = 9995
+LEVEL_PRICE = 10009
 DEPTH = 3
 
 
@@ -130,7 +130,8 @@ def _intervals_sql(log: str, scope: str = "") -> str:
     part = f"partition by instrument_id{scope}, order_id order by seq"
     return f"""st as (
  select *, coalesce(last_value(case when action in (4, 6) then action end ignore nulls) over (
-  {part} rows between unbounded preceding and 1 preceding) = 4, false) live from {log}),
+  {part} rows between unbounded preceding and 1 preceding) = 4, false) live from {log}
+ where order_id <> 0),
 okd as (select * from st where (action = 4) <> live),
 iv0 as (
  select *, lead(seq) over w end_seq, lead(ts_ns) over w end_ts,
