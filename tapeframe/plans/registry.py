@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "tape", "splits", "accounting", "book", "quoting")
+MODULES = ("features", "tape", "splits", "accounting", "book", "quoting", "lake")
 
 
 def _collect(attr: str) -> dict:
