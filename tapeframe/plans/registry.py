@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "tape", "splits", "accounting", "book", "quoting", "lake")
+MODULES = ("features", "tape", "splits", "accounting", "book", "quoting", "lake", "streaming")
 
 
 def _collect(attr: str) -> dict:

@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files: int = 100) -> DataFrame:
+    """A supplied table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return (
+        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", files).parquet(sf_dir)
+    )
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = _US.format("ts")
     return table(spark, sf_dir, "events").selectExpr(
@@ -38,8 +47,13 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes_of(table(spark, sf_dir, "events"))
+
+
+def quotes_of(events: DataFrame) -> DataFrame:
+    """Quote tape of an ``events`` table or stream."""
     us = _US.format("ts")
-    return table(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "cast(user_id % 8 as bigint) instrument_id",
         "event_id + 1 sequence_num",
         f"{us} * 1000 source_timestamp_ns",
@@ -53,8 +67,12 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrivals_of(table(spark, sf_dir, "events"))
+
+
+def arrivals_of(events: DataFrame) -> DataFrame:
     """Quotes in arrival order with perturbed clocks and sequence numbers (late, repeated, gapped)."""
-    return quotes(spark, sf_dir).selectExpr(
+    return quotes_of(events).selectExpr(
         "cast(instrument_id % 2 as bigint) venue_id",
         "cast(instrument_id div 4 as bigint) feed_id",
         "instrument_id",
