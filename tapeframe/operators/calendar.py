@@ -71,21 +71,25 @@ def settlement_calendar(spark: SparkSession, settlement_days: int | None = None)
     days = settlement_holidays(spark).withColumn(
         "is_business", ~F.col("is_weekend") & ~F.col("is_holiday")
     )
-    business = days.where("is_business").agg(F.array_sort(F.collect_list("day")).alias("b"))
-    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    days = days.withColumns(
-        {"__ord": F.sum(F.col("is_business").cast("int")).over(upto), "__b": business.scalar()}
-    )
-    at = F.col("__ord") - F.col("is_business").cast("int")  # index of the clearing day
-    n = (
-        F.when(F.col("day") < F.lit(T1_START).cast("date"), 2).otherwise(1)
-        if settlement_days is None else F.lit(settlement_days)
-    )
+    # Business days carry their followers; a closed day takes those of the next business day.
+    kin = Window.partitionBy("is_business").orderBy("day")
+    n = settlement_days
+    settle = {f"d{k}": F.lead("day", k).over(kin) for k in ((1, 2) if n is None else (1, n))}
+    days = days.withColumns(settle)
+    own = F.when(F.col("is_business"), F.struct("day", *settle))
+    back = Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("b", F.last(own, ignorenulls=True).over(back))
+    if n is None:
+        settled = F.when(F.col("day") < F.lit(T1_START).cast("date"), F.col("b.d2")).otherwise(
+            F.col("b.d1"))
+    else:
+        settled = F.col("b.day") if n == 0 else F.col(f"b.d{n}")
     return days.select(
         "day", "is_business", "is_holiday",
-        F.get("__b", F.col("__ord")).alias("next_business_day"),
-        F.get("__b", at).alias("clearing_day"),
-        F.get("__b", at + n).alias("settlement_day"),
+        F.when(F.col("is_business"), F.col("b.d1")).otherwise(F.col("b.day")).alias(
+            "next_business_day"),
+        F.col("b.day").alias("clearing_day"),
+        settled.alias("settlement_day"),
     )
 
 

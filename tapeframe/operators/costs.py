@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.operators.calendar import eastern_midnight_ns, with_trade_dates
 from tapeframe.operators.intervals import effective_dated
+from tapeframe.session import inline_table
 
 # Start date, sale fee per dollar, activity fee per share, its cap per trade.
 FEE_ROWS = (
@@ -30,19 +31,21 @@ MAKER_REBATE = 0.0
 def fee_schedule(spark: SparkSession) -> DataFrame:
     """Schedule rows over [start_ns, end_ns), bounds at Eastern midnight, the last one open."""
     rows = [
-        (start, FEE_ROWS[i + 1][0] if i + 1 < len(FEE_ROWS) else None, sale, act, cap,
+        (start, FEE_ROWS[i + 1][0] if i + 1 < len(FEE_ROWS) else None, i == 0, sale, act, cap,
          ACTIVITY_MIN, TAKER_FEE, MAKER_REBATE)
         for i, (start, sale, act, cap) in enumerate(FEE_ROWS)
     ]
-    df = spark.createDataFrame(
+    df = inline_table(
+        spark,
+        "start_date date, end_date date, is_first boolean, sale_fee_rate double,"
+        " activity_fee_rate double, activity_fee_max double, activity_fee_min double,"
+        " taker_fee double, maker_rebate double",
         rows,
-        "start_date string, end_date string, sale_fee_rate double, activity_fee_rate double,"
-        " activity_fee_max double, activity_fee_min double, taker_fee double, maker_rebate double",
     )
     return df.select(
-        F.to_date("start_date").alias("start_date"), F.to_date("end_date").alias("end_date"),
-        eastern_midnight_ns(F.to_date("start_date")).alias("start_ns"),
-        eastern_midnight_ns(F.to_date("end_date")).alias("end_ns"),
+        "start_date", "end_date", "is_first",
+        eastern_midnight_ns(F.col("start_date")).alias("start_ns"),
+        eastern_midnight_ns(F.col("end_date")).alias("end_ns"),
         "sale_fee_rate", "activity_fee_rate", "activity_fee_max", "activity_fee_min",
         "taker_fee", "maker_rebate",
     )

@@ -394,33 +394,23 @@ def to_feature_contract(df: DataFrame) -> DataFrame:
     The event clock is the source time; the contract's ``source_timestamp_ns`` is the receive time.
     """
     have = set(df.columns)
-    null_types = FEATURE_COLUMNS
-
-    def value(c: str) -> Column:
-        if c == "event_timestamp_ns":
-            return F.col("source_timestamp_ns")
-        if c == "source_timestamp_ns":
-            return F.col("receive_timestamp_ns")
-        if c in ("best_bid_price", "best_bid_quantity"):
-            return F.when(F.col("has_bid"), F.col(c)) if c in have else F.lit(None)
-        if c in ("best_ask_price", "best_ask_quantity"):
-            return F.when(F.col("has_ask"), F.col(c)) if c in have else F.lit(None)
-        return F.col(c) if c in have else F.lit(None)
-
+    clocks = {"event_timestamp_ns": "source_timestamp_ns",
+              "source_timestamp_ns": "receive_timestamp_ns"}
+    gates = {"best_bid_price": "has_bid", "best_bid_quantity": "has_bid",
+             "best_ask_price": "has_ask", "best_ask_quantity": "has_ask"}
     out = []
-    for c, dtype in null_types.items():
-        if c in FEATURE_FLAGS:
-            if c in have:
-                flag = F.col(c)
-            elif c == "is_crossed":
-                flag = F.lit(False)
-            else:
-                source = FEATURE_FLAGS[c]
-                flag = F.col(source).isNotNull() if source in have else F.lit(False)
-            out.append(F.coalesce(flag, F.lit(False)).alias(c))
+    for c, dtype in FEATURE_COLUMNS.items():
+        source = clocks.get(c, c)
+        if c in FEATURE_FLAGS and c not in have:
+            value = f"{FEATURE_FLAGS[c]} is not null" if FEATURE_FLAGS[c] in have else "false"
+        elif source not in have:
+            value = "null"
         else:
-            out.append(value(c).cast(dtype).alias(c))
-    return df.select(*out)
+            value = f"if({gates[c]}, {c}, null)" if c in gates else source
+        if c in FEATURE_FLAGS:
+            value = f"coalesce({value}, false)"
+        out.append(f"cast({value} as {dtype}) {c}")
+    return df.selectExpr(*out)
 
 
 def feature_coverage(features: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeframe.operators.scan import input_bytes, is_narrow
+
 BROADCAST_ROWS = 100_000
 
 
@@ -29,8 +31,8 @@ def contains(ts: Column, start: Column, stop: Column) -> Column:
 
 def small_side(dim: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``dim`` after proving it has at most ``bound`` rows; refuse it otherwise."""
-    n = dim.limit(bound + 1).count()
-    if n > bound:
+    proven = is_narrow(dim) and input_bytes(dim) <= bound * 8
+    if not proven and dim.limit(bound + 1).count() > bound:
         raise ValueError(f"dimension has more than {bound} rows; join it on an equality key instead")
     return F.broadcast(dim)
 
@@ -58,12 +60,16 @@ def effective_dated(
 
     Rows before the first start take the first row, or get NULLs when ``strict``: check those with
     ``uncovered``. The dimension is broadcast after its size is checked, so ``df`` is not shuffled.
+    A boolean ``is_first`` column marks the first row; without one it is looked up.
     """
     small = small_side(dim)
-    first = dim.agg(F.min("start_ns")).first()[0]
     start = F.col("start_ns")
     if not strict:
-        start = F.when(start == first, F.lit(-(1 << 63))).otherwise(start)
+        first = (
+            F.col("is_first") if "is_first" in dim.columns
+            else start == dim.agg(F.min("start_ns")).first()[0]
+        )
+        start = F.when(first, F.lit(-(1 << 63))).otherwise(start)
     d = small.select(
         start.alias("__start"), F.coalesce("end_ns", F.lit((1 << 63) - 1)).alias("__end"),
         *[F.col(v).alias(f"__v_{v}") for v in values],

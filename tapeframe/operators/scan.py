@@ -64,8 +64,11 @@ def _col(c) -> Column:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the relations ``df`` reads, from the statistics Spark keeps for its leaves."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    """Bytes of the relations ``df`` reads, from the statistics Spark keeps for its leaves.
+
+    File relations report their size on disk, so this bounds the rows of any narrow plan over them.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
     total = 0
     while leaves.hasNext():
         total += int(str(leaves.next().stats().sizeInBytes()))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.operators.intervals import small_side, touches
 from tapeframe.operators.scan import running, running_count, running_sum
+from tapeframe.session import inline_table
 
 
 @dataclass(frozen=True)
@@ -86,26 +87,22 @@ class TimeAxis:
         if not need:
             return
         bins = {b: lo for b, lo, hi in self._offsets if any(lo <= r < hi for r in need)}
-        t = F.col(self.ts)
-        inside = F.lit(False)
-        offset = F.lit(0)
-        for b, lo in bins.items():
-            low = self.first_ts + b * self.width
-            inside = inside | ((t >= low) & (t < low + self.width))
-            offset = F.when(F.col("bin") == b, F.lit(lo)).otherwise(offset)
+        low = {b: self.first_ts + b * self.width for b in bins}
+        inside = " or ".join(
+            f"(`{self.ts}` >= {t}L and `{self.ts}` < {t + self.width}L)" for t in low.values()
+        )
+        offset = "case bin " + " ".join(f"when {b}L then {lo}L" for b, lo in bins.items()) + " end"
         counts = (
-            self.df.where(inside).groupBy(self._bin().alias("bin"), t.alias("ts"))
+            self.df.where(inside).groupBy(self._bin().alias("bin"), F.col(self.ts).alias("ts"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        runs = running(counts, ["bin"], ["ts"], upto=running_sum("n")).select(
-            "ts", (offset + F.col("upto") - F.col("n")).alias("start"),
-            (offset + F.col("upto")).alias("stop"),
-        )
-        hits = F.filter(
-            F.array(*[F.lit(r).cast("long") for r in need]),
-            lambda r: (r >= F.col("start")) & (r < F.col("stop")),
+        runs = running(counts, ["bin"], ["ts"], upto=running_sum("n")).selectExpr(
+            "ts", f"{offset} + upto - n start", f"{offset} + upto stop"
         )
-        found = runs.withColumn("hits", hits).where(F.size("hits") > 0)
+        wanted = ", ".join(f"{r}L" for r in need)
+        found = runs.withColumn(
+            "hits", F.expr(f"filter(array({wanted}), r -> r >= start and r < stop)")
+        ).where("size(hits) > 0")
         for row in found.collect():  # at most one row per requested position
             for r in row["hits"]:
                 self._runs_at[r] = (row["ts"], row["start"], row["stop"])
@@ -272,16 +269,16 @@ def combinatorial_purged(
 # --- membership --------------------------------------------------------------------------------
 
 
-def _verdict(t: Column, end: Column, fold: Fold, purge: PurgeConfig) -> Column:
+def _verdict(t: str, fold: Fold, purge: PurgeConfig) -> str:
     """Role of a row in one fold. The first test block that objects names the reason."""
-    out = None
-    for b in fold.test:
-        out = (F.when if out is None else out.when)((t >= b.start) & (t < b.stop), "test")
+    cases = [f"when {t} >= {b.start}L and {t} < {b.stop}L then 'test'" for b in fold.test]
     for b in fold.test:
-        out = out.when(touches(t, end, F.lit(b.start), F.lit(b.stop)), "purged")
+        cases.append(f"when {t} < {b.stop}L and label_end_ns >= {b.start}L then 'purged'")
         if purge.embargo_ns > 0:
-            out = out.when((t >= b.stop) & (t < b.stop + purge.embargo_ns), "embargoed")
-    return out.otherwise("train")
+            cases.append(
+                f"when {t} >= {b.stop}L and {t} < {b.stop + purge.embargo_ns}L then 'embargoed'"
+            )
+    return f"case {' '.join(cases)} else 'train' end"
 
 
 def membership(
@@ -293,21 +290,18 @@ def membership(
     no join and no shuffle.
     """
     out = with_label_interval(df, ts, horizon)
-    t, end = F.col(ts), F.col("label_end_ns")
-    roles = []
+    t, roles = f"`{ts}`", []
     for f in folds:
-        role = _verdict(t, end, f, purge)
-        inside = F.lit(True)
+        inside = []
         if f.train_from is not None:
             lo, lo_tie = f.train_from
-            inside = (t > lo) | ((t == lo) & (F.col(tie) >= lo_tie))
+            inside.append(f"({t} > {lo}L or ({t} = {lo}L and `{tie}` >= {lo_tie}L))")
         if f.train_until is not None:
-            inside = inside & (t < max(b.stop for b in f.test))
-        roles.append(
-            F.when(inside, F.struct(F.lit(f.split_index).cast("long").alias("split_index"),
-                                    role.alias("role")))
-        )
-    each = out.withColumn("__f", F.explode(F.array_compact(F.array(*roles))))
+            inside.append(f"{t} < {max(b.stop for b in f.test)}L")
+        role = (f"named_struct('split_index', {f.split_index}L, 'role',"
+                f" {_verdict(t, f, purge)})")
+        roles.append(f"if({' and '.join(inside)}, {role}, null)" if inside else role)
+    each = out.withColumn("__f", F.expr(f"explode(array_compact(array({', '.join(roles)})))"))
     return each.select(*out.columns, "__f.split_index", "__f.role")
 
 
@@ -327,10 +321,11 @@ def fold_table(spark, folds: Sequence[Fold]) -> DataFrame:
         (f.split_index, k, b.start_row, b.stop_row, b.start, b.stop)
         for f in folds for k, b in enumerate(f.test)
     ]
-    return spark.createDataFrame(
-        rows,
+    return inline_table(
+        spark,
         "split_index long, test_position long, start_row long, stop_row long, block_start long,"
         " block_stop long",
+        rows,
     )
 
 

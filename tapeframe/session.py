@@ -46,6 +46,28 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def inline_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A few literal rows as a local relation, typed by ``columns`` (``name type, ...``).
+
+    Unlike ``createDataFrame`` this needs no job and has exact statistics.
+    """
+    def literal(v):
+        if v is None:
+            return "null"
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, float):
+            return f"{v!r}D"
+        if isinstance(v, int):
+            return f"{v}L"
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    names = [c.split()[0] for c in columns.split(", ")]
+    casts = ", ".join("cast({0} as {1}) {0}".format(*c.split()) for c in columns.split(", "))
+    values = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"select {casts} from values {values} as t({', '.join(names)})")
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tapeframe/{label}-{uuid.uuid4().hex}"
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeframe.session import inline_table
+
 KEY_PREFIX = "p_"
 # Codecs, identifier pattern and manifest version.
 CODECS = ("none", "snappy", "gzip", "zstd")
@@ -89,9 +91,9 @@ def conformance_report(df: DataFrame, schema: T.StructType) -> DataFrame:
     for name, (i, f) in have.items():
         if name not in schema.names:
             rows.append((name, None, f.dataType.simpleString(), None, i, True))
-    table = df.sparkSession.createDataFrame(
-        rows, "column string, expected_type string, actual_type string, expected_position int,"
-        " actual_position int, is_extra boolean"
+    table = inline_table(
+        df.sparkSession, "column string, expected_type string, actual_type string,"
+        " expected_position int, actual_position int, is_extra boolean", rows,
     )
     counted = nulls.select(
         F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in nulls.columns]),
