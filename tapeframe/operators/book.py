@@ -238,45 +238,56 @@ def level_timeline(intervals: DataFrame) -> DataFrame:
 
 def _best_after_each(pdf: pd.DataFrame) -> pd.DataFrame:
     """BBO changes of one chunk: levels live at its start (carried rows), then its level changes."""
-    levels = ({}, {})
+    pdf = pdf.sort_values("seq", kind="stable")
+    carried = pdf["carried"].to_numpy()
+    # Prices are negated on the bid side, so the best level is the smallest key on both sides.
+    levels: tuple[dict, dict] = ({}, {})
     heaps: tuple[list, list] = ([], [])
-
-    def put(side, price, qty, n):
-        s = side - 1
+    names = ["seq", "side", "price", "quantity", "order_count"]
+    for _, side, price, qty, n in zip(*(pdf.loc[carried, c].tolist() for c in names), strict=True):
         key = -price if side == BUY else price
-        if qty > 0:
-            if price not in levels[s]:
-                heapq.heappush(heaps[s], key)
-            levels[s][price] = (qty, n)
-        else:
-            levels[s].pop(price, None)
+        levels[side - 1][key] = (qty, n)
+        heaps[side - 1].append(key)
+    for h in heaps:
+        heapq.heapify(h)
 
     def best(s):
-        while heaps[s]:
-            price = -heaps[s][0] if s == 0 else heaps[s][0]
-            if price in levels[s]:
-                return (price, *levels[s][price])
-            heapq.heappop(heaps[s])
+        heap, live = heaps[s], levels[s]
+        while heap:
+            if heap[0] in live:
+                key = heap[0]
+                return (-key if s == 0 else key, *live[key])
+            heapq.heappop(heap)
         return (None, None, None)
 
-    pdf = pdf.sort_values("seq", kind="stable")
-    carried = pdf["carried"].to_numpy()
-    for row in pdf[carried][["side", "price", "quantity", "order_count"]].itertuples(index=False):
-        put(*row)
-    last = (*best(0), *best(1))
-    out, rows = [], pdf[~carried][["seq", "side", "price", "quantity", "order_count"]]
-    changes = list(rows.itertuples(index=False))
-    for i, (seq, *change) in enumerate(changes):
-        put(*change)
-        if i + 1 < len(changes) and changes[i + 1][0] == seq:
+    top = [best(0), best(1)]
+    last = (*top[0], *top[1])
+    out = []
+    columns = [pdf.loc[~carried, c].tolist() for c in names]
+    following = [*columns[0][1:], None]
+    for (seq, side, price, qty, n), upcoming in zip(zip(*columns, strict=True), following, strict=True):
+        s = side - 1
+        key = -price if s == 0 else price
+        live = levels[s]
+        if qty > 0:
+            if key not in live:
+                heapq.heappush(heaps[s], key)
+            live[key] = (qty, n)
+        else:
+            live.pop(key, None)
+        at = top[s][0]
+        if at is None or key <= (-at if s == 0 else at):
+            top[s] = best(s)
+        if upcoming == seq:  # one event may move an order between two levels
             continue
-        now = (*best(0), *best(1))
+        now = (*top[0], *top[1])
         if now != last:
             out.append((seq, *now))
             last = now
-    names = ["seq", "best_bid_price", "best_bid_quantity", "best_bid_orders", "best_ask_price",
-             "best_ask_quantity", "best_ask_orders"]
-    res = pd.DataFrame(out, columns=names).astype("Int64")
+    res = pd.DataFrame(
+        out, columns=["seq", "best_bid_price", "best_bid_quantity", "best_bid_orders",
+                      "best_ask_price", "best_ask_quantity", "best_ask_orders"]
+    ).astype("Int64")
     res.insert(0, "instrument_id", pdf["instrument_id"].iloc[0])
     return res
 
@@ -288,30 +299,28 @@ def bbo_timeline(intervals: DataFrame, chunk_events: int = CHUNK_EVENTS) -> Data
     levels live at its first event, which are level states that span the boundary; so a group holds
     one chunk's changes plus one row per live price level, however long the instrument's log is.
     """
-    levels = level_timeline(intervals)
     spans = running(
-        levels, [*KEY, "side", "price"], ["seq"], descending=True,
+        level_timeline(intervals), [*KEY, "side", "price"], ["seq"], descending=True,
         next_seq=running_last("seq", inclusive=False),
     )
-    chunk = f"(seq div {chunk_events}L)"
-    spans = spans.withColumn("chunk", F.expr(chunk))
-    ends = spans.groupBy(*KEY).agg(F.max("chunk").alias("last_chunk"))
-    carried = (
-        spans.where(F.col("quantity") > 0)
-        .join(ends, KEY)
-        .withColumn(
-            "until",
-            F.coalesce(F.expr(f"(next_seq - 1) div {chunk_events}L"), F.col("last_chunk")),
-        )
-        .where(F.col("until") > F.col("chunk"))
-        .withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("until"))))
+    ends = intervals.groupBy(*KEY).agg(
+        F.max(F.greatest("start_seq", F.coalesce("end_seq", F.lit(0)))).alias("last_seq")
+    )
+    # A level changed by a chunk's very first event is not carried into it: its new state is there.
+    spans = spans.join(ends, KEY).withColumns(
+        {
+            "home": F.expr(f"seq div {chunk_events}L"),
+            "until": F.expr(
+                f"if(quantity > 0, (coalesce(next_seq - 1, last_seq)) div {chunk_events}L,"
+                f" seq div {chunk_events}L)"
+            ),
+        }
     )
-    # A level changed by the chunk's very first event is still carried: the change then replaces it.
-    columns = [*KEY, "chunk", "seq", "side", "price", "quantity", "order_count"]
-    both = spans.select(*columns, F.lit(False).alias("carried")).unionByName(
-        carried.select(*columns, F.lit(True).alias("carried"))
+    rows = spans.withColumn("chunk", F.explode(F.sequence("home", F.greatest("home", "until")))).select(
+        *KEY, "chunk", "seq", "side", "price", "quantity", "order_count",
+        (F.col("chunk") > F.col("home")).alias("carried"),
     )
-    return both.groupBy(*KEY, "chunk").applyInPandas(
+    return rows.groupBy(*KEY, "chunk").applyInPandas(
         lambda pdf: _best_after_each(pdf),
         "instrument_id long, seq long, best_bid_price long, best_bid_quantity long,"
         " best_bid_orders long, best_ask_price long, best_ask_quantity long, best_ask_orders long",

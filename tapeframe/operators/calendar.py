@@ -19,11 +19,9 @@ WEEKDAY_HOLIDAYS = (
 )
 
 
-def _is_dated(d: Column) -> Column:
-    hit = F.lit(False)
-    for month, day in DATED_HOLIDAYS:
-        hit = hit | ((F.month(d) == month) & (F.dayofmonth(d) == day))
-    return hit
+def _is_dated(d: str) -> str:
+    days = " or ".join(f"(month({d}) = {m} and day({d}) = {n})" for m, n in DATED_HOLIDAYS)
+    return f"({days})"
 
 
 def _easter(year: str) -> str:
@@ -44,23 +42,16 @@ def settlement_holidays(spark: SparkSession) -> DataFrame:
             F.expr(f"sequence(date'{FIRST_YEAR - 1}-12-20', date'{LAST_YEAR + 1}-01-31')")
         ).alias("day")
     )
-    d, wd = F.col("day"), F.weekday("day")
-    observed = (
-        (_is_dated(d) & (wd < 5))
-        | (_is_dated(F.date_add(d, 1)) & (wd == 4))
-        | (_is_dated(F.date_sub(d, 1)) & (wd == 0))
-    )
-    floating = F.lit(False)
-    for month, weekday, lo, hi in WEEKDAY_HOLIDAYS:
-        floating = floating | (
-            (F.month(d) == month) & (wd == weekday) & F.dayofmonth(d).between(lo, hi)
-        )
-    good_friday = F.expr(f"day = date_sub({_easter('year(day)')}, 2)")
-    verified = F.year(d).between(FIRST_YEAR, LAST_YEAR)
-    return days.select(
-        "day", (wd >= 5).alias("is_weekend"),
-        (verified & (observed | floating | good_friday)).alias("is_holiday"),
+    floating = " or ".join(
+        f"(month(day) = {m} and weekday(day) = {w} and day(day) between {lo} and {hi})"
+        for m, w, lo, hi in WEEKDAY_HOLIDAYS
     )
+    holiday = f"""year(day) between {FIRST_YEAR} and {LAST_YEAR} and (
+        (weekday(day) < 5 and {_is_dated('day')})
+        or (weekday(day) = 4 and {_is_dated('date_add(day, 1)')})
+        or (weekday(day) = 0 and {_is_dated('date_sub(day, 1)')})
+        or {floating} or day = date_sub({_easter('year(day)')}, 2))"""
+    return days.selectExpr("day", "weekday(day) >= 5 is_weekend", f"{holiday} is_holiday")
 
 
 def settlement_calendar(spark: SparkSession, settlement_days: int | None = None) -> DataFrame:

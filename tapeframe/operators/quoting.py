@@ -174,120 +174,118 @@ def with_raw_quotes(df: DataFrame) -> DataFrame:
 # --- guards ------------------------------------------------------------------------------------
 
 
-def guard(bid_ok: Column, ask_ok: Column, *reasons: tuple[Column, str]) -> Column:
-    """Guard verdict: struct of bid_ok, ask_ok and the reasons whose condition holds, in order."""
-    named = F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in reasons]))
-    return F.struct(bid_ok.alias("bid_ok"), ask_ok.alias("ask_ok"), named.alias("reasons"))
-
-
-def _both(hit: Column, *reasons) -> Column:
-    return guard(~hit, ~hit, *reasons)
-
-
-def stale_guard() -> Column:
-    hit = F.expr(
-        "stale_quote_timeout_ns > 0"
-        " and decision_timestamp_ns - available_timestamp_ns > stale_quote_timeout_ns"
-    )
-    return _both(hit, (hit, STALE))
+@dataclass(frozen=True)
+class Guard:
+    """SQL conditions that stop the bid, stop the ask, and the reasons to report, in order."""
 
+    stop_bid: str
+    stop_ask: str
+    reasons: tuple[tuple[str, str], ...]
 
-def spread_guard() -> Column:
-    crossed = F.expr("best_bid_price >= best_ask_price")
-    wide = F.expr(
-        "best_ask_price / price_scale - best_bid_price / price_scale > max_market_spread"
-    )
-    return _both(crossed | wide, (crossed, CROSSED), (~crossed & wide, WIDE))
 
+def _both(*reasons: tuple[str, str]) -> Guard:
+    stop = " or ".join(f"({c})" for c, _ in reasons)
+    return Guard(stop, stop, reasons)
 
-def depth_guard() -> Column:
-    hit = F.expr(
-        "min_displayed_depth > 0 and (best_bid_quantity < min_displayed_depth"
-        " or best_ask_quantity < min_displayed_depth)"
-    )
-    return _both(hit, (hit, THIN))
 
+STALE_GUARD = _both(
+    ("stale_quote_timeout_ns > 0"
+     " and decision_timestamp_ns - available_timestamp_ns > stale_quote_timeout_ns", STALE)
+)
+SPREAD_GUARD = _both(
+    ("best_bid_price >= best_ask_price", CROSSED),
+    ("best_bid_price < best_ask_price and best_ask_price / price_scale"
+     " - best_bid_price / price_scale > max_market_spread", WIDE),
+)
+DEPTH_GUARD = _both(
+    ("min_displayed_depth > 0 and (best_bid_quantity < min_displayed_depth"
+     " or best_ask_quantity < min_displayed_depth)", THIN)
+)
+VOLATILITY_GUARD = _both(("max_volatility > 0 and effective_volatility > max_volatility", VOLATILE))
 
-def volatility_guard() -> Column:
-    hit = F.expr("max_volatility > 0 and effective_volatility > max_volatility")
-    return _both(hit, (hit, VOLATILE))
 
-
-def flow_guard() -> Column:
+def flow_guard() -> Guard:
     """Strong buying stops the ask, strong selling the bid, toxic volume both.
 
     Under strict validity a missing measure stops both sides and ends the check, so later measures
     are not looked at.
     """
-    def measure(value, flag, limit):
-        on = F.expr(f"{limit} > 0")
-        seen = F.expr(f"coalesce({flag}, false) and {value} is not null")
-        return on & seen, on & ~seen & F.col("require_microstructure_validity")
-
-    ofi, no_ofi = measure("rolling_ofi", "has_rolling_ofi", "max_ofi_magnitude")
-    dep, no_dep = measure("depth_imbalance_k", "has_depth_imbalance", "max_depth_imbalance")
-    vpin, no_vpin = measure("vpin", "has_vpin", "max_vpin")
-    false = F.lit(False)
-    ofi_hit = ofi & F.coalesce(F.expr("abs(rolling_ofi) > max_ofi_magnitude"), false)
-    dep_hit = ~no_ofi & dep & F.coalesce(F.expr("abs(depth_imbalance_k) > max_depth_imbalance"), false)
-    vpin_hit = ~no_ofi & ~no_dep & vpin & F.coalesce(F.expr("vpin > max_vpin"), false)
-    strict = no_ofi | no_dep | no_vpin
-    up_ofi = F.coalesce(F.expr("rolling_ofi > 0"), false)
-    up_dep = F.coalesce(F.expr("depth_imbalance_k > 0"), false)
-    bid_stop = strict | vpin_hit | (ofi_hit & ~up_ofi) | (dep_hit & ~up_dep)
-    ask_stop = strict | vpin_hit | (ofi_hit & up_ofi) | (dep_hit & up_dep)
-    return guard(~bid_stop, ~ask_stop, (strict | ofi_hit | dep_hit | vpin_hit, FLOW))
-
-
-def inventory_guard() -> Column:
-    """Position and notional limits. The side that reduces risk stays open."""
-    q = F.col("inventory")
-    reduce_only = F.col("risk_reduction_only")
-    flat_stop = reduce_only & (q == 0)
-    long_hit = ~flat_stop & F.expr(
-        "inventory >= max_long_inventory or inventory + quote_size > max_long_inventory"
+    def seen(value, flag):
+        return f"(coalesce({flag}, false) and {value} is not null)"
+
+    def missing(value, flag, limit):
+        return f"({limit} > 0 and require_microstructure_validity and not {seen(value, flag)})"
+
+    def beyond(value, flag, limit):
+        return f"({limit} > 0 and {seen(value, flag)} and coalesce(abs({value}) > {limit}, false))"
+
+    ofi = ("rolling_ofi", "has_rolling_ofi", "max_ofi_magnitude")
+    depth = ("depth_imbalance_k", "has_depth_imbalance", "max_depth_imbalance")
+    vpin = ("vpin", "has_vpin", "max_vpin")
+    no_ofi, no_depth = missing(*ofi), missing(*depth)
+    strict = f"({no_ofi} or {no_depth} or {missing(*vpin)})"
+    ofi_hit = beyond(*ofi)
+    depth_hit = f"(not {no_ofi} and {beyond(*depth)})"
+    vpin_hit = f"(not {no_ofi} and not {no_depth} and {beyond(*vpin)})"
+    return Guard(
+        f"{strict} or {vpin_hit} or ({ofi_hit} and rolling_ofi <= 0)"
+        f" or ({depth_hit} and depth_imbalance_k <= 0)",
+        f"{strict} or {vpin_hit} or ({ofi_hit} and rolling_ofi > 0)"
+        f" or ({depth_hit} and depth_imbalance_k > 0)",
+        ((f"{strict} or {ofi_hit} or {depth_hit} or {vpin_hit}", FLOW),),
     )
-    short_hit = ~flat_stop & F.expr(
-        "inventory <= -max_short_inventory or inventory - quote_size < -max_short_inventory"
-    )
-    notional = ~flat_stop & F.expr("abs(inventory) * mid_price >= max_notional_exposure")
-    bid_stop = long_hit | ((reduce_only | notional) & (q >= 0))
-    ask_stop = short_hit | ((reduce_only | notional) & (q <= 0))
-    return guard(
-        ~bid_stop, ~ask_stop, (reduce_only, REDUCE_ONLY), (long_hit, LONG_LIMIT),
-        (short_hit, SHORT_LIMIT), (notional, NOTIONAL),
+
+
+def inventory_guard() -> Guard:
+    """Position and notional limits. The side that reduces risk stays open."""
+    open_ = "not (risk_reduction_only and inventory = 0)"
+    long_hit = (f"({open_} and (inventory >= max_long_inventory"
+                " or inventory + quote_size > max_long_inventory))")
+    short_hit = (f"({open_} and (inventory <= -max_short_inventory"
+                 " or inventory - quote_size < -max_short_inventory))")
+    notional = f"({open_} and abs(inventory) * mid_price >= max_notional_exposure)"
+    return Guard(
+        f"{long_hit} or ((risk_reduction_only or {notional}) and inventory >= 0)",
+        f"{short_hit} or ((risk_reduction_only or {notional}) and inventory <= 0)",
+        (("risk_reduction_only", REDUCE_ONLY), (long_hit, LONG_LIMIT), (short_hit, SHORT_LIMIT),
+         (notional, NOTIONAL)),
     )
 
 
-def with_guards(
-    df: DataFrame, use_features: bool = True, extra: Sequence[Column] = ()
-) -> DataFrame:
-    """Combined verdict of the guards in order, plus any ``extra`` structs built with ``guard``."""
-    chain = [stale_guard(), spread_guard(), depth_guard(), volatility_guard()]
-    if use_features:
-        chain.append(flow_guard())
+def with_guards(df: DataFrame, use_features: bool = True, extra: Sequence[Guard] = ()) -> DataFrame:
+    """Combined verdict of the guards in order, plus any ``extra`` ones.
+
+    Verdicts are plain boolean columns, so the whole chain stays inside generated code.
+    """
+    chain = [STALE_GUARD, SPREAD_GUARD, DEPTH_GUARD, VOLATILITY_GUARD]
+    chain += [flow_guard()] if use_features else []
     chain += [inventory_guard(), *extra]
-    df = df.withColumn("__guards", F.array(*chain))
+    reasons = [r for g in chain for r in g.reasons]
     df = df.withColumns(
         {
-            "bid_ok": F.forall("__guards", lambda g: g["bid_ok"]),
-            "ask_ok": F.forall("__guards", lambda g: g["ask_ok"]),
-            "reasons": F.array_distinct(F.flatten(F.transform("__guards", lambda g: g["reasons"]))),
+            "bid_ok": F.expr("not (" + " or ".join(f"({g.stop_bid})" for g in chain) + ")"),
+            "ask_ok": F.expr("not (" + " or ".join(f"({g.stop_ask})" for g in chain) + ")"),
+            **{f"__r{i}": F.expr(c) for i, (c, _) in enumerate(reasons)},
         }
-    ).drop("__guards")
+    )
+    named = [(f"if(__r{i}, '{name}', null)", name) for i, (_, name) in enumerate(reasons)]
 
     def side_reason(ok, *own):
-        mine = F.filter("reasons", lambda r: r.isin(*own))
-        first = F.coalesce(F.get(mine, F.lit(0)), F.get("reasons", F.lit(0)),
-                           F.lit(INVALID_MARKET_DATA))
-        return F.when(~F.col(ok), first)
+        mine = [c for c, name in named if name in own]
+        every = [c for c, _ in named]
+        return F.expr(f"if({ok}, null, coalesce({', '.join(mine + every)}, '{INVALID_MARKET_DATA}'))")
 
+    # array_except drops the NULLs and repeats, keeping the order.
+    listed = F.expr(
+        f"array_except(array({', '.join(c for c, _ in named)}), array(cast(null as string)))"
+    )
     return df.withColumns(
         {
+            "reasons": listed,
             "bid_reason": side_reason("bid_ok", LONG_LIMIT, REDUCE_ONLY, NOTIONAL),
             "ask_reason": side_reason("ask_ok", SHORT_LIMIT, REDUCE_ONLY, NOTIONAL),
         }
-    )
+    ).drop(*[f"__r{i}" for i in range(len(reasons))])
 
 
 # --- decisions -----------------------------------------------------------------------------------
@@ -306,7 +304,7 @@ def usable_market() -> Column:
 
 def quote_decisions(
     df: DataFrame, configs: Sequence[QuotingConfig] = (QuotingConfig(),),
-    use_features: bool = True, extra_guards: Sequence[Column] = (),
+    use_features: bool = True, extra_guards: Sequence[Guard] = (),
 ) -> DataFrame:
     """One decision per quote and configuration.
 
