@@ -265,7 +265,9 @@ def _best_after_each(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     columns = [pdf.loc[~carried, c].tolist() for c in names]
     following = [*columns[0][1:], None]
-    for (seq, side, price, qty, n), upcoming in zip(zip(*columns, strict=True), following, strict=True):
+    for (seq, side, price, qty, n), upcoming in zip(
+        zip(*columns, strict=True), following, strict=False
+    ):
         s = side - 1
         key = -price if s == 0 else price
         live = levels[s]
