@@ -1,6 +1,6 @@
 """Headline queries, timed to a noop sink; prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 2; the
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3; the
 best run counts), BENCH_QUERIES (comma-separated names, default the headline list).
 """
 
@@ -37,7 +37,7 @@ def write_trades(spark, sf):
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(HEADLINE)
     spark = build_session(
         f"local[{cpus}]", "tapeframe-bench",

@@ -336,16 +336,20 @@ def take_partition(members: DataFrame, split_index: int, role: str) -> DataFrame
 # --- audits ------------------------------------------------------------------------------------
 
 
-def point_in_time_audit(df: DataFrame, event: str, available: str, decision: str) -> DataFrame:
-    """Violating rows: used before available, or available before the event."""
-    late = F.col(available) > F.col(decision)
-    acausal = F.col(event) > F.col(available)
-    return df.where(late | acausal).withColumns(
-        {"is_lookahead": F.coalesce(late, F.lit(False)),
-         "is_acausal": F.coalesce(acausal, F.lit(False))}
+def with_point_in_time_flags(df: DataFrame, event: str, available: str, decision: str) -> DataFrame:
+    """``is_lookahead``: used before available; ``is_acausal``: available before the event."""
+    return df.withColumns(
+        {"is_lookahead": F.coalesce(F.col(available) > F.col(decision), F.lit(False)),
+         "is_acausal": F.coalesce(F.col(event) > F.col(available), F.lit(False))}
     )
 
 
+def point_in_time_audit(df: DataFrame, event: str, available: str, decision: str) -> DataFrame:
+    """The violating rows."""
+    flags = with_point_in_time_flags(df, event, available, decision)
+    return flags.where(F.col("is_lookahead") | F.col("is_acausal"))
+
+
 def split_compliance(
     members: DataFrame, folds: DataFrame, row_id: str, ts: str, purge: PurgeConfig
 ) -> DataFrame:

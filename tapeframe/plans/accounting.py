@@ -231,6 +231,11 @@ def order_audit(spark, sf):
     return ledger.order_audit(o)
 
 
+def fill_audit(spark, sf):
+    f = _fills(spark, sf).withColumn("quantity", F.col("quantity") - F.col("fill_row") % 2 * 50)
+    return ledger.fill_audit(f)
+
+
 # --- oracles -------------------------------------------------------------------------------------
 
 _ET = "(to_timestamp(fill_timestamp_ns // 1000000000) at time zone 'America/New_York')"
@@ -429,15 +434,20 @@ QUERIES = {
         slippage_cost, regulatory_fees, signal_orders, order_quote_match, order_rejections,
         depth_allocation_partial, depth_allocation_all_or_none, fill_ledger,
         running_cash_position, average_cost_pnl, equity_curve, run_summary, flat_benchmark,
-        signal_audit, order_audit,
+        signal_audit, order_audit, fill_audit,
     )
 }
 
 
 def _audit(src: str, rules: dict[str, str]) -> str:
+    return _audit_cte(f"s as ({src})", rules)
+
+
+def _audit_cte(ctes: str, rules: dict[str, str]) -> str:
+    """``ctes`` must end by defining ``s``."""
     names = ", ".join(f"'{n}'" for n in rules)
     counts = ", ".join(f"count(*) filter (not coalesce(({ok}), false))" for ok in rules.values())
-    return f"with s as ({src}) select unnest([{names}]) rule, unnest([{counts}]) violations from s"
+    return f"with {ctes} select unnest([{names}]) rule, unnest([{counts}]) violations from s"
 
 
 ORACLES = {
@@ -512,6 +522,11 @@ select run_id, instrument_id, n_quotes, e.position,
  sequence_num % 14 / 12.0::double confidence, sequence_num % 3 <> 0 is_valid from quotes""",
         ledger.SIGNAL_RULES,
     ),
+    "fill_audit": _audit_cte(
+        _LEDGER
+        + ", s as (select * replace (quantity - fill_row % 2 * 50 as quantity) from filled)",
+        ledger.FILL_RULES,
+    ),
     "order_audit": _audit(
         """select epoch_us(ts) * 1000 decision_timestamp_ns,
  epoch_us(ts) * 1000 + (event_id + 1) % 10 - 1 actionable_timestamp_ns,

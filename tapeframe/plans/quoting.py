@@ -122,9 +122,9 @@ def suppression_report(spark, sf):
     return ops.suppression_report(_decisions(spark, sf), DAY)
 
 
-def _config_rows() -> str:
+def _config_rows(configs) -> str:
     rows = []
-    for c in CONFIGS:
+    for c in configs:
         vals = ", ".join(
             f"{str(v).lower()}" if isinstance(v, bool)
             else f"{v!r}::double" if isinstance(v, float) else str(v)
@@ -149,7 +149,7 @@ _PLAIN = f"{QUOTES}, {TRADES}, " + _INV.format(src="quotes")
 _FEATURED = f"{_QUOTE_CORE}, {TRADES}, " + _INV.format(src="qf")
 
 
-def _decide(featured: bool) -> str:
+def _decide(featured: bool, configs=tuple(CONFIGS)) -> str:
     vol = "coalesce(realized_volatility, volatility)" if featured else "volatility"
     flow = """
   case when max_ofi_magnitude > 0 and rolling_ofi is null and require_microstructure_validity
@@ -161,7 +161,7 @@ def _decide(featured: bool) -> str:
     ofi = "rolling_ofi" if featured else "0"
     return f"""m0 as (
  select *, (best_bid_price / price_scale + best_ask_price / price_scale) / 2.0::double mid,
-  {vol} evol from market, {_config_rows()}
+  {vol} evol from market, {_config_rows(configs)}
  where best_bid_price > 0 and best_ask_price > 0 and best_bid_quantity > 0
   and best_ask_quantity > 0),
 m1 as (

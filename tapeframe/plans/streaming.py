@@ -8,6 +8,7 @@ from tapeframe.operators import book
 from tapeframe.operators.quoting import DECISION, QuotingConfig
 from tapeframe.plans import book as book_plans
 from tapeframe.plans import features as feature_plans
+from tapeframe.plans import quoting as quoting_plans
 from tapeframe.plans import tape as tape_plans
 from tapeframe.plans.duck import TRADES
 from tapeframe.session import fresh_folder
@@ -70,13 +71,18 @@ def stream_bbo_reject(spark, sf):
 
 
 def stream_quote_decisions(spark, sf):
-    feats = streams.quote_features(views.quotes_of(_events(spark, sf)))
+    feats = streams.quote_features(views.quotes_of(_events(spark, sf))).withColumn(
+        "realized_volatility", F.round("realized_volatility", 9)
+    )
     position = views.trades(spark, sf).where("sequence_num % 10 = 0").groupBy("instrument_id").agg(
         F.sum(F.expr("if(aggressor_side = 1, quantity, -quantity)")).alias("inventory")
     )
     d = streams.decisions(feats, position, [CONFIG])
     return streams.run_once(
-        d.select(*DECISION).withColumn("reasons", F.concat_ws(",", "reasons")), "decisions"
+        d.select(*DECISION).withColumns(
+            {"reasons": F.concat_ws(",", "reasons"), "bid_distance": F.round("bid_distance", 9),
+             "ask_distance": F.round("ask_distance", 9)}
+        ), "decisions",
     )
 
 
@@ -103,5 +109,16 @@ ORACLES = {
     "stream_quote_features": f"with {feature_plans._QUOTE_CORE} select instrument_id, sequence_num,"
     " instant_ofi, rolling_ofi, log_return, realized_volatility from qf",
     "stream_bbo": book_plans.ORACLES["bbo_timeline"],
+    "stream_quote_decisions": f"""with {feature_plans._QUOTE_CORE}, {TRADES}, held as (
+ select instrument_id, cast(sum(case when aggressor_side = 1 then quantity else -quantity end)
+  as bigint) inventory from trades where sequence_num % 10 = 0 group by 1),
+market as (
+ select q.*, coalesce(held.inventory, 0) inventory, receive_timestamp_ns available_timestamp_ns,
+  receive_timestamp_ns decision_timestamp_ns from qf q left join held using (instrument_id)),
+{quoting_plans._decide(True, [CONFIG])}
+select config_id, instrument_id, sequence_num, decision_timestamp_ns, mid_price,
+ reservation_price, target_half_spread, inventory, bid_ticks, bid_quantity, bid_distance,
+ bid_reason, ask_ticks, ask_quantity, ask_distance, ask_reason, is_valid,
+ array_to_string(reasons, ',') reasons from dec""",
     "stream_lake_append": f"with {TRADES} select * from trades",
 }

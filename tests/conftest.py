@@ -16,7 +16,9 @@ def spark():
     s = build_session(
         "local[8]", "tapeframe-tests",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-           "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"},
+           "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g",
+           # Tiny inputs: compiling stages would take most of the time. tools/check.py runs compiled.
+           "spark.sql.codegen.wholeStage": "false"},
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
