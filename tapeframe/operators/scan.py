@@ -81,17 +81,60 @@ def is_narrow(df: DataFrame) -> bool:
     return not re.search(r"\b(Join|Aggregate|Window|Generate|Union|Sort|MapInPandas|FlatMap)", plan)
 
 
+# Nodes that neither add, drop nor move rows between keys.
+_SAME_ROWS = re.compile(r"^[\s:+-]*(Project|Window|Sort|SubqueryAlias|View)\b")
+_measured: dict[tuple, int | None] = {}
+
+
+def row_set(df: DataFrame) -> tuple:
+    """Fingerprint of the rows a plan yields: its leaves and every node that changes the row set.
+
+    Adding columns or window values does not change it.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    leaves, hashes = plan.collectLeaves().iterator(), []
+    while leaves.hasNext():
+        hashes.append(leaves.next().semanticHash())
+    lines = [re.sub(r"#\d+L?", "", x) for x in plan.toString().splitlines() if not _SAME_ROWS.match(x)]
+    return (tuple(hashes), tuple(x.lstrip(" :+-") for x in lines))
+
+
 def chunk_width(df: DataFrame, keys: Sequence[str], axis: str) -> int | None:
     """Width along ``axis`` of chunks that keep each (key, chunk) near the row target.
 
     None when no key can exceed the target. The width only shapes the plan: every width gives the
-    same rows, so a rough measurement is enough.
+    same rows, so a rough measurement is enough. It is taken once per row set: the stages of a
+    pipeline share it, and helper flags in the key (``__`` names), which only refine it, are left out.
     """
     spark = df.sparkSession
     conf = spark.conf.get(CHUNK_ROWS_CONF, None)
     rows = int(conf) if conf else DEFAULT_CHUNK_ROWS
     if input_bytes(df) < rows * _MIN_ROW_BYTES:
         return None
+    keys = [k for k in keys if not k.startswith("__") or k == "__all"]
+    if not keys:
+        return _global_width(df, axis)
+    known = _measure_key(df, keys, axis, rows)
+    if known not in _measured:
+        if len(_measured) > 1000:
+            _measured.clear()
+        _measured[known] = _measure(df, keys, axis, rows)
+    return _measured[known]
+
+
+def _measure_key(df: DataFrame, keys: Sequence[str], axis: str, rows: int) -> tuple:
+    return (df.sparkSession.sparkContext.applicationId, row_set(df), tuple(keys), axis, rows)
+
+
+def _remember(df: DataFrame, keys: Sequence[str], axis: str, width: int) -> DataFrame:
+    """``df`` has the rows that ``width`` was measured on: its next stage need not measure again."""
+    rows = int(df.sparkSession.conf.get(CHUNK_ROWS_CONF, None) or DEFAULT_CHUNK_ROWS)
+    if keys and not any(k.startswith("__") for k in keys):
+        _measured[_measure_key(df, keys, axis, rows)] = width
+    return df
+
+
+def _measure(df: DataFrame, keys: Sequence[str], axis: str, rows: int) -> int | None:
     per_key = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(axis).alias("lo"), F.max(axis).alias("hi")
     )
@@ -191,7 +234,8 @@ def running(
             "last": F.coalesce(here, before),
         }[c.kind]
     out = out.withColumns(combined)
-    return out.drop(CHUNK, *[f"__{p}_{n}" for n in carries for p in ("in", "carry")])
+    out = out.drop(CHUNK, *[f"__{p}_{n}" for n in carries for p in ("in", "carry")])
+    return _remember(out, keys, order[0], width)
 
 
 def _global_width(df: DataFrame, axis: str) -> int | None:

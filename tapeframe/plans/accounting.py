@@ -483,6 +483,23 @@ ORACLES = {
 f as (select *, cast(greatest(0, least(quantity, available_depth - taken)) as bigint) fq from c)
 select run_id, instrument_id, order_row, fq fill_quantity,
  case when fq <= 0 then 'zero_depth' end rejection from f
+union all select run_id, instrument_id, order_row, 0, pre from matched where pre is not null""",
+    "depth_allocation_all_or_none": f"""with recursive {_MATCH}, turns as (
+ select *, row_number() over (partition by run_id, instrument_id, quote_row, side
+  order by order_row) rn from matched where pre is null),
+walk as (
+ select run_id, instrument_id, quote_row, side, order_row, rn,
+  case when quantity <= available_depth // 2 then quantity else 0 end fill,
+  available_depth - case when quantity <= available_depth // 2 then quantity else 0 end rest
+ from turns where rn = 1
+ union all
+ select t.run_id, t.instrument_id, t.quote_row, t.side, t.order_row, t.rn,
+  case when t.quantity <= w.rest // 2 then t.quantity else 0 end,
+  w.rest - case when t.quantity <= w.rest // 2 then t.quantity else 0 end
+ from walk w join turns t on t.run_id = w.run_id and t.instrument_id = w.instrument_id
+  and t.quote_row = w.quote_row and t.side = w.side and t.rn = w.rn + 1)
+select run_id, instrument_id, order_row, fill fill_quantity,
+ case when fill <= 0 then 'insufficient_depth' end rejection from walk
 union all select run_id, instrument_id, order_row, 0, pre from matched where pre is not null""",
     "fill_ledger": f"""with {_LEDGER} select run_id, instrument_id, fill_seq, side, quantity, price,
  round(spread_cost, 9) spread_cost, round(slippage_cost, 9) slippage_cost,

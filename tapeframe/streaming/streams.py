@@ -87,16 +87,32 @@ def state_settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def state_partitions(spark: SparkSession) -> str:
+    """State stores per query: ``spark.tapeframe.statePartitions``, else one per core on a local
+    master and the session's shuffle partitions on a cluster. Fixed at a query's first start."""
+    named = spark.conf.get("spark.tapeframe.statePartitions", None)
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):
+        return str(spark.sparkContext.defaultParallelism)
+    return spark.conf.get("spark.sql.shuffle.partitions")
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process everything available, resuming from ``checkpoint``; returns the sink so far."""
     spark = stream.sparkSession
     state_settings(spark)
-    query = (
-        stream.writeStream.format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint).outputMode("append")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", state_partitions(spark))
+    try:
+        query = (
+            stream.writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint).outputMode("append")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
     return spark.read.schema(stream.schema).parquet(path)
 
 
