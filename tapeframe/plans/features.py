@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.contracts import FEATURE_COLUMNS, FEATURE_FLAGS
 from tapeframe.operators import features as ops
-from tapeframe.plans import pipeline
+from tapeframe.plans import stored
 from tapeframe.plans.duck import ARRIVALS, QUOTES, TRADES, VALID_QUOTES
 from tapeframe.session import fresh_folder
 from tapeframe.sources import views
@@ -86,10 +86,10 @@ def late_event_drop(spark, sf):
     )
 
 
-def feature_pipeline(spark, sf):
+def stored_feature_audit(spark, sf):
     """Tape to features to leakage audit to stored dataset; the stored rows' audit counts."""
     root = fresh_folder(spark, "features")
-    summary = pipeline.extract_and_store(views.quotes(spark, sf), root, "features", CONFIG)
+    summary = stored.extract_and_store(views.quotes(spark, sf), root, "features", CONFIG)
     return summary.select("n_rows", "lookahead_rows", "acausal_rows")
 
 
@@ -295,7 +295,7 @@ QUERIES = {
         quote_validity, spread_mid, weighted_mid, instant_ofi, rolling_ofi, returns_volatility,
         trade_flow, roll_spread, volume_buckets, vpin, availability_clock, late_event_drop,
         quote_feature_table, trade_feature_table, unified_feature_timeline, feature_coverage,
-        feature_pipeline,
+        stored_feature_audit,
     )
 }
 
@@ -331,7 +331,7 @@ select instrument_id, input_index, source_timestamp_ns from seen
     "trade_feature_table": f"with {_TRADE_ALL} {_TRADE_TABLE}",
     "unified_feature_timeline": _unified(),
     "feature_coverage": _coverage(),
-    "feature_pipeline": f"""with {QUOTES} select count(*) n_rows,
+    "stored_feature_audit": f"""with {QUOTES} select count(*) n_rows,
  count(*) filter (receive_timestamp_ns > greatest(source_timestamp_ns, receive_timestamp_ns))
   lookahead_rows,
  count(*) filter (source_timestamp_ns > receive_timestamp_ns) acausal_rows from quotes""",

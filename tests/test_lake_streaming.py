@@ -2,6 +2,7 @@
 
 import glob
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def test_key_columns_stay_in_the_body(spark):
 
 
 def test_catalog(spark, stored):
-    os.makedirs(f"{stored}/.hidden/manifest", exist_ok=True)
+    shutil.copytree(f"{stored}/trades/manifest", f"{stored}/.hidden/manifest", dirs_exist_ok=True)
     os.makedirs(f"{stored}/broken/manifest", exist_ok=True)
     with open(f"{stored}/broken/manifest/part.json", "w") as f:
         f.write("{not json")
@@ -104,7 +105,7 @@ def test_codecs_and_ids(spark):
 
 def test_interrupted_stream_equals_batch(spark):
     df = views.arrivals(spark, SF)
-    parts = [df.where(F.col("input_index") % 1 == 0).where(F.col("input_index").between(a, b))
+    parts = [df.where(F.col("input_index").between(a, b))
              for a, b in ((1, 333), (334, 334), (335, 10**9))]
     got = streams.run_in_steps(parts, streams.sequence_status, "test-seq")
     want = tape.with_sequence_status(df)
