@@ -11,7 +11,6 @@ from tapeframe.operators.scan import (
     running_count,
     running_last,
     running_max,
-    running_sum,
 )
 
 FEED = ["venue_id", "feed_id"]
