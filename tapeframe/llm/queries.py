@@ -19,8 +19,24 @@ def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document by hyperdimensional profiles."""
+    from tapeframe.llm import language
+
+    return language.identify(_table(spark, sf, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrated quality of every document."""
+    from tapeframe.llm import quality
+
+    return quality.score(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
