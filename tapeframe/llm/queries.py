@@ -19,6 +19,54 @@ def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the runs of 50 words or more that occurred earlier."""
+    from tapeframe.llm import lines
+
+    return lines.deduplicate(_table(spark, sf, "documents"))
+
+
+OP3 = """
+with line as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents
+), own as (
+  select doc_id, i, trim(line, ' ' || chr(9) || chr(13)) as line, len(regexp_extract_all(line, '[^ \t\r\n\f\v]+')) as words
+  from line where regexp_matches(line, '[^ \t\r\n\f\v]')
+), summed as (
+  select *, row_number() over w as r, sum(words) over w as till, sum(words) over w - words as before
+  from own window w as (partition by doc_id order by i)
+), pair as (
+  select a.doc_id, a.r as lo, b.r as hi from summed a asof join summed b on a.doc_id = b.doc_id and a.before + 50 <= b.till
+  union
+  select a.doc_id, b.r, a.r from summed a asof join summed b on a.doc_id = b.doc_id and a.till - 50 >= b.before
+), doc as (
+  select doc_id, list(line order by i) as lines, list(i order by i) as place from own group by doc_id
+), win as (
+  select doc_id, lo, place[lo] as first, place[hi] as last, array_to_string(lines[lo:hi], chr(10)) as content from pair join doc using (doc_id)
+), origin as (
+  select content, min({'d': doc_id, 'i': first}) as o from win group by content having count(*) > 1
+), run as (
+  select doc_id, first, last from win join origin using (content) where o <> {'d': doc_id, 'i': first}
+), gone as (
+  select distinct own.doc_id, own.i from own join run on own.doc_id = run.doc_id and own.i between run.first and run.last
+), kept as (
+  select line.doc_id, string_agg(line.line, chr(10) order by line.i) as text from line left join gone on line.doc_id = gone.doc_id and line.i = gone.i
+  where gone.i is null group by line.doc_id
+)
+select d.doc_id, case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as n_lines,
+  case when d.text is null then null else coalesce(k.text, '') end as text,
+  coalesce(g.n, 0) as n_deleted
+from documents d left join kept k using (doc_id) left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id)
+"""
+
+
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark items that each document holds, within a fifth of the item's length in edits."""
+    from tapeframe.llm import decontaminate
+
+    return decontaminate.matches(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document by hyperdimensional profiles."""
     from tapeframe.llm import language
@@ -35,8 +83,12 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": OP3,
+}
