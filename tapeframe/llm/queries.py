@@ -67,6 +67,32 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its class of five-word Jaccard similarity 0.8 or more and its number of links."""
+    from tapeframe.llm import jaccard
+
+    return jaccard.classes(_table(spark, sf, "documents"))
+
+
+OP6 = r"""
+with recursive word as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), gram as (
+  select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as g from word
+), size as (
+  select doc_id, count(*) as n from gram group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from gram a join gram b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), link as (
+  select a, b from common join size x on x.doc_id = a join size y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c) - 1e-9
+), reach(a, b) as (
+  select doc_id, doc_id from documents union select reach.a, link.b from reach join link on reach.b = link.a
+)
+select d.doc_id, (select min(b) from reach where a = d.doc_id) as class_id, (select count(*) from link where a = d.doc_id) as n_links from documents d
+"""
+
+
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document by hyperdimensional profiles."""
     from tapeframe.llm import language
@@ -85,10 +111,12 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": OP3,
+    "op6_ngram_jaccard": OP6,
 }
