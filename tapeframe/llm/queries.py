@@ -93,6 +93,13 @@ select d.doc_id, (select min(b) from reach where a = d.doc_id) as class_id, (sel
 """
 
 
+def op8_hmm_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's log10 probability by a smoothed unigram base and by the hidden Markov model."""
+    from tapeframe.llm import hmm
+
+    return hmm.score(_table(spark, sf, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document by hyperdimensional profiles."""
     from tapeframe.llm import language
@@ -112,6 +119,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op8_hmm_score": op8_hmm_score,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
