@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +20,28 @@ def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
+def op1_bit_sliced_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten rows of largest inner product for every hundredth vector."""
+    from tapeframe.llm import bitslice
+
+    return bitslice.top_k(_table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP1 = """
+with v as (
+  select vec_id, list_transform(min(embedding), lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x) or abs(cast(x as double)) >= 1048576)) = 0
+  group by vec_id
+), scored as (
+  select q.vec_id as query_id, r.vec_id, cast(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v r on q.vec_id % 100 = 0 and q.vec_id <> r.vec_id and len(q.v) = len(r.v)
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from scored qualify rank <= 10
+"""
+
+
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the runs of 50 words or more that occurred earlier."""
     from tapeframe.llm import lines
@@ -115,6 +138,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bit_sliced_top_k": op1_bit_sliced_top_k,
     "op5_byte_bpe": op5_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
@@ -125,6 +149,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_bit_sliced_top_k": OP1,
     "op3_line_dedup": OP3,
     "op6_ngram_jaccard": OP6,
 }
