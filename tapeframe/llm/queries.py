@@ -116,6 +116,13 @@ select d.doc_id, (select min(b) from reach where a = d.doc_id) as class_id, (sel
 """
 
 
+def op7_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document: base spans counted and digested, all spans listed."""
+    from tapeframe.llm import pii
+
+    return pii.digest(_table(spark, sf, "documents"))
+
+
 def op8_hmm_score(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's log10 probability by a smoothed unigram base and by the hidden Markov model."""
     from tapeframe.llm import hmm
@@ -143,6 +150,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_personal_data": op7_personal_data,
     "op8_hmm_score": op8_hmm_score,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
