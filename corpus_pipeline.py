@@ -4,11 +4,32 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeframe.llm import bpe
+from tapeframe.llm import bpe, decontaminate, jaccard, lines, quality
 from tapeframe.session import staged
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of 50 words or more that occurred earlier are deleted; a document of which no word is left goes."""
+    before = docs.withColumn("__had", F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
+    after = lines.clean(before).where(~F.col("__had") | F.col("text").rlike(r"\S")).drop("__had")
+    return after.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word Jaccard similarity of 0.8 or more, the least doc_id stays."""
+    return jaccard.clean(docs)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +38,14 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("quality", drop_low_quality),
+    ("line_dedup", delete_repeated_lines),
+    ("ngram_jaccard", keep_one_of_each_group),
+    ("decontamination", drop_benchmark_copies),
     ("byte_bpe", encode_tokens),
 ]
 
+# SQL cannot express the classifier; the pipeline is tested against a plain single-process version.
 ORACLE_SQL = None
 
 

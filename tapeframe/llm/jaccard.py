@@ -272,3 +272,12 @@ def classes(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "d
     return members.join(known, "node", "left").select(
         back(F.col("doc")).alias("doc_id"), back(F.coalesce("root", "node")).alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def clean(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class, the one of least doc_id, with all its columns; of rows that repeat a
+    doc_id and its text one stays."""
+    gone = classes(docs, config, doc_id, text).where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    name = "`" + doc_id.replace("`", "``") + "`"
+    kept = docs.join(gone, docs[name].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    return kept.withColumn("__text", F.xxhash64("`" + text.replace("`", "``") + "`")).dropDuplicates([doc_id, "__text"]).drop("__text")

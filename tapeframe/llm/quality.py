@@ -214,23 +214,49 @@ def held_out(doc_id: str, folds: int = 5) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), doc_id: str = "doc_id", text: str = "text",
-          label: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``."""
+def learn(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), doc_id: str = "doc_id", text: str = "text",
+          label: str = "quality") -> tuple[DataFrame, QualityModel | None]:
+    """(statistics of every row, stored; the model of the labelled rows outside the held-out fold)."""
     stats = staged(document_statistics(docs, doc_id, text), "quality")
     marks = (labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
              .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull()).groupBy("doc_id").agg(F.avg("y").alias("y")))
     labelled = staged(stats.where(~held_out("doc_id")).join(marks, "doc_id").select("v", "y"), "quality-labelled")
-    model = fit(labelled, config)
-    d = len(STATISTICS)
+    return stats, fit(labelled, config)
+
+
+def _scores(model: QualityModel | None, x: np.ndarray) -> np.ndarray:
+    return np.full(len(x), 0.5) if model is None else model.score(x)
+
+
+def score(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), doc_id: str = "doc_id", text: str = "text",
+          label: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of ``docs``."""
+    stats, model = learn(docs, labels, config, doc_id, text, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(2), d)
-            s = np.full(len(x), 0.5) if model is None else model.score(x)
+            s = _scores(model, _matrix(batch.column(2), len(STATISTICS)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"])
 
     return stats.select("doc_id", held_out("doc_id").alias("held_out"), "v").mapInArrow(
         run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), doc_id: str = "doc_id", text: str = "text",
+          label: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns.
+
+    Scores are computed beside the text, so no text is shuffled.
+    """
+    _, model = learn(docs, labels, config, doc_id, text, label)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = arrays.plain_texts(batch.column(at))
+            parts = [_scores(model, statistics(texts[i:j])) for i, j in arrays.slices(texts)]
+            yield batch.filter(pa.array(np.concatenate(parts) >= threshold)) if parts else batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeframe.llm import bitslice, bpe, decontaminate, hmm, jaccard, language, licenses, lines, pii, quality
+
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -12,18 +15,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of the multilingual byte-level vocabulary and the bytes they decode to, as digests."""
-    import public_tokenizers
-
-    from tapeframe.llm import bpe
-
     return bpe.digests(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                        public_tokenizers.PATTERN)
 
 
 def op1_bit_sliced_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """The ten rows of largest inner product for every hundredth vector."""
-    from tapeframe.llm import bitslice
-
     return bitslice.top_k(_table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
@@ -42,10 +39,13 @@ from scored qualify rank <= 10
 """
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """License rules that match each document."""
+    return licenses.scan(_table(spark, sf, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the runs of 50 words or more that occurred earlier."""
-    from tapeframe.llm import lines
-
     return lines.deduplicate(_table(spark, sf, "documents"))
 
 
@@ -85,15 +85,11 @@ from documents d left join kept k using (doc_id) left join (select doc_id, count
 
 def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """The benchmark items that each document holds, within a fifth of the item's length in edits."""
-    from tapeframe.llm import decontaminate
-
     return decontaminate.matches(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its class of five-word Jaccard similarity 0.8 or more and its number of links."""
-    from tapeframe.llm import jaccard
-
     return jaccard.classes(_table(spark, sf, "documents"))
 
 
@@ -118,35 +114,28 @@ select d.doc_id, (select min(b) from reach where a = d.doc_id) as class_id, (sel
 
 def op7_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in every document: base spans counted and digested, all spans listed."""
-    from tapeframe.llm import pii
-
     return pii.digest(_table(spark, sf, "documents"))
 
 
 def op8_hmm_score(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's log10 probability by a smoothed unigram base and by the hidden Markov model."""
-    from tapeframe.llm import hmm
-
     return hmm.score(_table(spark, sf, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document by hyperdimensional profiles."""
-    from tapeframe.llm import language
-
     return language.identify(_table(spark, sf, "documents"))
 
 
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Calibrated quality of every document."""
-    from tapeframe.llm import quality
-
     return quality.score(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
 QUERIES = {
     "op1_bit_sliced_top_k": op1_bit_sliced_top_k,
     "op5_byte_bpe": op5_byte_bpe,
+    "op2_license_scan": op2_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
@@ -158,6 +147,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_bit_sliced_top_k": OP1,
+    "op2_license_scan": licenses.oracle(),
     "op3_line_dedup": OP3,
     "op6_ngram_jaccard": OP6,
 }
