@@ -63,6 +63,17 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``limit`` bytes of the text column, so that copies stay small."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + limit, "right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 #: Byte classes: letters and digits of ASCII plus all bytes of other characters; ASCII white space.
 ALNUM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 NOT_SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])

@@ -286,7 +286,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(path, pattern)
-        for batch in batches:
+        for batch in arrays.parts(batches, 1):
             texts = arrays.plain_texts(batch.column(1))
             for i, j in arrays.slices(texts, _STEP_BYTES):
                 ids = one.encode_all(texts[i:j].to_pylist())
@@ -318,7 +318,7 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(path, pattern)
-        for batch in batches:
+        for batch in arrays.parts(batches, 1):
             texts = arrays.plain_texts(batch.column(1))
             for i, j in arrays.slices(texts, _STEP_BYTES):
                 count, ids, decoded = [], [], []

@@ -234,7 +234,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConf
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in arrays.parts(batches, 1):
                 texts, ids = arrays.plain_texts(batch.column(1), lower=True), batch.column(0)
                 for i, j in arrays.slices(texts):
                     found = shared.value.find(texts[i:j])
@@ -258,7 +258,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in arrays.parts(batches, at):
                 texts = arrays.plain_texts(batch.column(at), lower=True)
                 keep = np.ones(len(texts), bool)
                 for i, j in arrays.slices(texts):

@@ -112,7 +112,7 @@ def sketches(docs: DataFrame, config: JoinConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = arrays.seeds(bands * rows, 55)
-        for batch in batches:
+        for batch in arrays.parts(batches, 1):
             texts = arrays.plain_texts(batch.column(1), lower=True)
             for i, j in arrays.slices(texts):
                 row, key = word_keys(texts[i:j])
@@ -143,9 +143,10 @@ def ngram_sets(rows: DataFrame, config: JoinConfig) -> DataFrame:
     class's own are left out. The other columns are passed on."""
     names = [c for c in rows.columns if c not in ("text", "high", "low")]
     schema = rows.select(*names).schema.add("grams", "binary")
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.parts(batches, at):
             texts = arrays.plain_texts(batch.column(batch.schema.get_field_index("text")), lower=True)
             key = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("high", "low")])
             for i, j in arrays.slices(texts):

@@ -95,7 +95,7 @@ def prototypes(docs: DataFrame, config: ProfileConfig = ProfileConfig(), text: s
         from pyspark import TaskContext
 
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in arrays.parts(batches, 0):
             texts = arrays.plain_texts(batch.column(0), lower=True)
             names = batch.column(1).to_pylist()
             for i, j in _groups(texts):
@@ -122,7 +122,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], config: ProfileCon
     unit = np.stack([v / np.linalg.norm(v) for v in known.values()]).astype(np.float32) if names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.parts(batches, 2):
             texts = arrays.plain_texts(batch.column(2), lower=True)
             for i, j in _groups(texts):
                 counts, vectors, found = trigrams(texts[i:j], config)

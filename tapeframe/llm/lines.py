@@ -74,7 +74,7 @@ def line_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Windows of every document (doc_id long, text_key long, text): one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.parts(batches, 2):
             texts = arrays.plain_texts(batch.column(2))
             for i, j in arrays.slices(texts):
                 row, parts = [], []
@@ -132,7 +132,7 @@ def _rebuilt(rows: DataFrame, at: int, columns: list, schema, counted: bool) ->
     """Apply ``__runs``, the last column, to the text at ``at``; with ``counted`` append the number of deleted lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.parts(batches, at):
             texts, runs = batch.column(at), batch.column(batch.num_columns - 1)
             gone = np.zeros(len(batch), np.int64)
             hit = np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False))

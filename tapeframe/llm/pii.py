@@ -113,7 +113,7 @@ def _votes(c: dict[str, Column]) -> dict[str, Column]:
     listed = lambda words: "|".join(words.split())
     pick = lambda by: F.coalesce(*[F.when(kind == k, v) for k, v in by.items()])
     strict = pick({
-        "email": _vote(hit.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,24}$"), ~hit.rlike(r"\.[A-Za-z]{2,24}$")),
+        "email": _vote(hit.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]* ?(@|\[at\]|\(at\)) ?[A-Za-z0-9].*[. \])][A-Za-z]{2,24}$"), ~hit.rlike(r"[. \])][A-Za-z]{2,24}$")),
         "ip": _vote(hit.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$"), F.lit(True)),
         "card": _vote(hit.rlike(r"^([0-9]{13,19}|([0-9]{4}[ -]){3}[0-9]{1,7})$"), F.length(digits) * 2 < F.length(hit) + 2),
         "phone": _vote(F.length(digits).between(10, 13), ~F.length(digits).between(8, 15)),

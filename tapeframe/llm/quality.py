@@ -102,7 +102,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """doc_id and its vector of statistics (binary float64)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.parts(batches, 1):
             texts = arrays.plain_texts(batch.column(1))
             for i, j in arrays.slices(texts):
                 found = statistics(texts[i:j])
@@ -254,7 +254,7 @@ def clean(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityCon
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.parts(batches, at):
             texts = arrays.plain_texts(batch.column(at))
             parts = [_scores(model, statistics(texts[i:j])) for i, j in arrays.slices(texts)]
             yield batch.filter(pa.array(np.concatenate(parts) >= threshold)) if parts else batch
