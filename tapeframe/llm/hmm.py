@@ -32,7 +32,7 @@ from tapeframe.llm.quality import held_out
 from tapeframe.session import staged
 
 #: Text of one block, and places (steps times texts) of one forward pass.
-_BLOCK_BYTES = 8 << 20
+_BLOCK_BYTES = 4 << 20
 _PASS_PLACES = 250_000
 
 #: The hash of the end of a text; no word has it.
@@ -53,7 +53,7 @@ class ModelConfig:
 
 def tokenise(docs: DataFrame, config: ModelConfig, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Blocks of documents: ids, lengths, words as numbers into the block's own vocabulary of word hashes
-    (0 is the end), and how often each occurs in the block's training texts."""
+    (0 is the end, then by falling frequency), and how often each occurs in the block's training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -61,7 +61,7 @@ def tokenise(docs: DataFrame, config: ModelConfig, doc_id: str = "doc_id", text:
         block = TaskContext.get().partitionId() << 33
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
-        for batch in batches:
+        for batch in arrays.parts(batches, 2, _BLOCK_BYTES):
             texts = arrays.plain_texts(batch.column(2))
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in arrays.slices(texts, _BLOCK_BYTES):
@@ -70,22 +70,27 @@ def tokenise(docs: DataFrame, config: ModelConfig, doc_id: str = "doc_id", text:
                 row, start, end = arrays.spans(raw, at, arrays.NOT_SPACE)
                 key = np.maximum(arrays.span_hashes(raw, start, end), np.uint64(1))
                 words = np.bincount(row, minlength=j - i)
-                vocabulary, number = np.unique(key, return_inverse=True)
+                vocabulary, number, times = np.unique(key, return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")  # frequent words get small numbers
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order))
+                vocabulary, number = vocabulary[order], place[number]
                 tokens = np.zeros(len(key) + j - i, np.uint32)
                 tokens[np.arange(len(key)) + row] = number.astype(np.uint32) + 1
                 train = ~held[i:j]
                 counts = np.bincount(number[train[row]], minlength=len(vocabulary))
                 vocabulary = np.concatenate([[_END], vocabulary]).astype(np.uint64)
-                counts = np.concatenate([[train.sum()], counts]).astype(np.int64)
+                counts = np.concatenate([[train.sum()], counts]).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block], pa.int64()), pa.array([batch.column(0)[i:j].to_pylist()], pa.list_(pa.int64())),
                      pa.array([held[i:j].tobytes()]), pa.array([(words + 1).astype(np.int64).tobytes()]),
-                     pa.array([tokens.tobytes()]), pa.array([vocabulary.tobytes()]), pa.array([counts.tobytes()])],
-                    names=["block", "ids", "held", "lengths", "tokens", "vocabulary", "counts"])
+                     pa.array([(tokens & np.uint32(0xFFFF)).astype(np.uint16).tobytes()]), pa.array([(tokens >> np.uint32(16)).astype(np.uint16).tobytes()]),
+                     pa.array([vocabulary.tobytes()]), pa.array([counts.tobytes()])],
+                    names=["block", "ids", "held", "lengths", "low", "high", "vocabulary", "counts"])
                 block += 1
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id, config.folds).alias("held"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "block long, ids array<long>, held binary, lengths binary, tokens binary, vocabulary binary, counts binary")
+    return rows.mapInArrow(run, "block long, ids array<long>, held binary, lengths binary, low binary, high binary, vocabulary binary, counts binary")
 
 
 def _array(batch, name: str, k: int, kind) -> np.ndarray:
@@ -93,6 +98,11 @@ def _array(batch, name: str, k: int, kind) -> np.ndarray:
     return np.frombuffer(column[k].as_buffer(), kind)
 
 
+def _tokens(batch, i: int) -> np.ndarray:
+    """The block's words as numbers; stored as two halves, of which the upper one is mostly zero."""
+    return _array(batch, "low", i, np.uint16) | _array(batch, "high", i, np.uint16).astype(np.uint32) << np.uint32(16)
+
+
 def _symbols(vocabulary: np.ndarray, classes: int) -> np.ndarray:
     """The class of each word hash; the end's is the last."""
     return np.where(vocabulary == _END, classes, (vocabulary >> np.uint64(20)) % np.uint64(classes)).astype(np.int64)
@@ -104,7 +114,7 @@ def vocabulary_rows(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                words, counts = _array(batch, "vocabulary", k, np.int64), _array(batch, "counts", k, np.int64)
+                words, counts = _array(batch, "vocabulary", k, np.int64), _array(batch, "counts", k, np.uint32).astype(np.int64)
                 block = np.full(len(words), batch.column(0)[k].as_py())
                 for lo in range(0, len(words), 1 << 16):
                     cut = slice(lo, lo + (1 << 16))
@@ -138,7 +148,7 @@ class Model:
         """(alive, emission, scaled forward, scale): ``alive[t]`` texts, the first ones, have a step t."""
         steps, n = table.shape
         alive = np.searchsorted(-length, -np.arange(steps), "left")
-        emission = self.emit.T[table]
+        emission = np.take(np.ascontiguousarray(self.emit.T), table, axis=0, mode="wrap")
         state = np.empty((steps, n, len(self.start)))
         scale = np.ones((steps, n))
         now = self.start * emission[0]
@@ -212,7 +222,7 @@ def train(blocks: DataFrame, totals: np.ndarray, config: ModelConfig) -> Model:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["shard", "v"])
 
-        got = arrays.merge_sums(blocks.select("held", "lengths", "tokens", "vocabulary").mapInArrow(run, "shard int, v binary"), []).collect()
+        got = arrays.merge_sums(blocks.select("held", "lengths", "low", "high", "vocabulary").mapInArrow(run, "shard int, v binary"), []).collect()
         if not got:
             return model
         v = np.frombuffer(bytes(got[0].v), np.float64)[:-1] + config.prior
@@ -223,7 +233,7 @@ def train(blocks: DataFrame, totals: np.ndarray, config: ModelConfig) -> Model:
 
 def _block_symbols(batch, i: int, config: ModelConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     symbols = _symbols(_array(batch, "vocabulary", i, np.uint64), config.classes)
-    return symbols[_array(batch, "tokens", i, np.uint32)], _array(batch, "lengths", i, np.int64), _array(batch, "held", i, bool)
+    return symbols[_tokens(batch, i)], _array(batch, "lengths", i, np.int64), _array(batch, "held", i, bool)
 
 
 def score(docs: DataFrame, config: ModelConfig = ModelConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,7 +259,7 @@ def score(docs: DataFrame, config: ModelConfig = ModelConfig(), doc_id: str = "d
         c = np.zeros(len(vocabulary))
         c[right.column("place").to_numpy()] = right.column("c").to_numpy()
         classes, lengths, held = _block_symbols(batch, 0, config)
-        tokens = _array(batch, "tokens", 0, np.uint32)
+        tokens = _tokens(batch, 0)
         own = _symbols(vocabulary, config.classes)
         base = np.log10((c + alpha) / (every + alpha * (distinct + 1)))
         inside = np.where(own == config.classes, 0.0, np.log10((c + alpha) / (totals[own] + alpha * (kinds[own] + 1))))
@@ -261,7 +271,7 @@ def score(docs: DataFrame, config: ModelConfig = ModelConfig(), doc_id: str = "d
             pa.array(added(inside[tokens]) + model.log10(classes, lengths))], names=[n for n, _ in _SCORE])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return (blocks.select("block", "ids", "held", "lengths", "tokens", "vocabulary").groupBy("block")
+    return (blocks.select("block", "ids", "held", "lengths", "low", "high", "vocabulary").groupBy("block")
             .cogroup(known.groupBy("block")).applyInArrow(run, schema))
 
 
