@@ -298,8 +298,9 @@ def bbo_timeline(intervals: DataFrame, chunk_events: int = CHUNK_EVENTS) -> Data
     """Best bid and offer after every event that changes them.
 
     Instruments are cut into runs of ``chunk_events`` sequence numbers. A chunk starts from the
-    levels live at its first event, which are level states that span the boundary; so a group holds
-    one chunk's changes plus one row per live price level, however long the instrument's log is.
+    levels live just before its first event, which are level states that reach the boundary; so a
+    group holds one chunk's changes plus one row per live price level, however long the instrument's
+    log is, and the rows do not depend on where the cuts fall.
     """
     spans = running(
         level_timeline(intervals), [*KEY, "side", "price"], ["seq"], descending=True,
@@ -308,12 +309,13 @@ def bbo_timeline(intervals: DataFrame, chunk_events: int = CHUNK_EVENTS) -> Data
     ends = intervals.groupBy(*KEY).agg(
         F.max(F.greatest("start_seq", F.coalesce("end_seq", F.lit(0)))).alias("last_seq")
     )
-    # A level changed by a chunk's very first event is not carried into it: its new state is there.
+    # A chunk starts from the book just before its first event, so a level that this very event
+    # changes is carried into it as well; the change then replaces it.
     spans = spans.join(ends, KEY).withColumns(
         {
             "home": F.expr(f"seq div {chunk_events}L"),
             "until": F.expr(
-                f"if(quantity > 0, (coalesce(next_seq - 1, last_seq)) div {chunk_events}L,"
+                f"if(quantity > 0, coalesce(next_seq, last_seq) div {chunk_events}L,"
                 f" seq div {chunk_events}L)"
             ),
         }

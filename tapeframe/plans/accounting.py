@@ -81,7 +81,7 @@ def _signals(spark, sf):
     q = q.select(
         "instrument_id", "sequence_num", "source_timestamp_ns", "receive_timestamp_ns",
         "best_bid_price", "best_ask_price",
-        F.expr("is_valid and sequence_num % 5 = 0").alias("is_valid"),
+        "is_valid",
         F.expr("coalesce(book_imbalance_top, 0.0D)").alias("target_weight"),
     )
     return ledger.sweep(q, RUNS)
@@ -192,7 +192,9 @@ def equity_curve(spark, sf):
         "run_id", "instrument_id", "sequence_num", "cash", "position", "market_mid_price",
         "portfolio_equity", "realized_pnl", "unrealized_pnl",
     )
-    return _round(out, "cash", "portfolio_equity", "realized_pnl", "unrealized_pnl", digits=3)
+    # Average entry prices put exact halves at the cut; a small shift moves them off it on both sides.
+    shifted = {c: F.col(c) + 1e-7 for c in ("cash", "portfolio_equity", "realized_pnl", "unrealized_pnl")}
+    return _round(out.withColumns(shifted), *shifted, digits=3)
 
 
 def run_summary(spark, sf):
@@ -321,7 +323,7 @@ _RUNS = ", ".join(
 _MATCH = QUOTES + f""", sig as (
  select run_id, capital, latency_ns, q.*,
   best_bid_price < best_ask_price and best_bid_quantity > 0 and best_ask_quantity > 0
-   and best_bid_price > 0 and sequence_num % 5 = 0 usable,
+   and best_bid_price > 0 usable,
   (best_bid_price + best_ask_price) / 200.0::double mid,
   (best_bid_quantity - best_ask_quantity)::double / (best_bid_quantity + best_ask_quantity) w
  from quotes q, (values {_RUNS}) c(run_id, capital, latency_ns)),
@@ -518,10 +520,10 @@ union all select run_id, instrument_id, order_row, 0, pre from matched where pre
 select instrument_id, fill_seq, pos position_after, round(entry, 3) average_entry_price,
  round(delta, 3) realized_delta, round(pnl, 3) realized_pnl
  from pnl join steps using (instrument_id, rn)""",
-    "equity_curve": _EQUITY + """ select run_id, instrument_id, sequence_num, round(cash, 3) cash,
- position, market_mid_price, round(cash + position * market_mid_price, 3) portfolio_equity,
- round(realized_pnl, 3) realized_pnl, round(case when position <> 0 and market_mid_price > 0
-  then position * (market_mid_price - entry) else 0 end, 3) unrealized_pnl from eq""",
+    "equity_curve": _EQUITY + """ select run_id, instrument_id, sequence_num, round(cash + 1e-7, 3) cash,
+ position, market_mid_price, round(cash + position * market_mid_price + 1e-7, 3) portfolio_equity,
+ round(realized_pnl + 1e-7, 3) realized_pnl, round(case when position <> 0 and market_mid_price > 0
+  then position * (market_mid_price - entry) else 0 end + 1e-7, 3) unrealized_pnl from eq""",
     "run_summary": _EQUITY + f""", fin as (select run_id, instrument_id, count(*) n_quotes,
  arg_max(eq, receive_timestamp_ns) e from eq group by 1, 2)
 select run_id, instrument_id, n_quotes, e.position,

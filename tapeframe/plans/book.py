@@ -86,6 +86,11 @@ def bbo_timeline(spark, sf):
     return ops.bbo_timeline(_intervals(spark, sf))
 
 
+def bbo_timeline_chunked(spark, sf):
+    """The same timeline cut into runs of 50 events."""
+    return ops.bbo_timeline(_intervals(spark, sf), chunk_events=50)
+
+
 def book_change_feed(spark, sf):
     log = _log(spark, sf)
     return ops.change_feed(log, ops.bbo_timeline(ops.order_intervals(log)))
@@ -200,7 +205,7 @@ _SNAPS = """snaps as (
    else 50 + (o_orderkey + i) % 40 end, 'order_count': (o_orderkey + i) % 4}) bids,
   list_transform([0, 1, 2], lambda i: {'price': 10010 + i * 2,
    'quantity': 60 + (o_orderkey * 3 + i) % 50, 'order_count': (o_orderkey + i) % 3}) asks
- from orders where o_orderkey % 199 = 7),
+ from orders),
 snap_levels as (
  select instrument_id, snapshot_id, ts_ns, side, row_number() over (
   partition by snapshot_id, side order by case when side = 1 then -x.price else x.price end)
@@ -213,7 +218,7 @@ QUERIES = {
     for f in (
         order_intervals, book_update_status, trade_reductions, l3_snapshot, l2_depth, top_levels,
         depth_quantity, best_quotes, level_lookup, orders_at_level, queue_positions,
-        level_timeline, bbo_timeline, book_change_feed, book_invariants, snapshot_overlay_depth,
+        level_timeline, bbo_timeline, bbo_timeline_chunked, book_change_feed, book_invariants, snapshot_overlay_depth,
         snapshot_validation, snapshot_levels, snapshot_rebuild, depth_imbalance,
     )
 }
@@ -241,7 +246,7 @@ select instrument_id, seq, action, order_id, case when bad <> 0 then bad
  select instrument_id, 3, order_id, case x when 1 then qty // 2 else qty // 2 + order_id % 3 end,
   t0 * 1000 + case x when 1 then (1 + order_id % 240) * 3600000000000 // 4
    else (1 + order_id % 240) * 3600000000000 * 3 // 4 end
- from book_orders, (values (1), (2)) v(x) where order_id % 4 = 0),
+ from book_orders, (values (1), (2)) v(x)),
 tl as (select *, row_number() over (partition by instrument_id order by ts_ns, order_id, action)
  seq from traded),
 steps as (select *, row_number() over (partition by instrument_id, order_id order by seq) rn
@@ -286,6 +291,7 @@ select *, best_ask_price - best_bid_price spread,
  from l3 window w as (partition by instrument_id, side, price order by queue_seq)""",
     "level_timeline": f"with {_LEVELS} select * from levels",
     "bbo_timeline": f"with {_BBO} select * from bbo",
+    "bbo_timeline_chunked": f"with {_BBO} select * from bbo",
     "book_change_feed": f"""with {_BBO} select instrument_id, seq, case action when 4 then 'added'
  when 5 then 'modified' else 'deleted' end kind, order_id, price, quantity from okd
 union all select instrument_id, seq, 'bbo_changed', null, null, null from bbo""",

@@ -192,7 +192,7 @@ select dataset_id, i = 5 is_incomplete, i = 4 bad_version, i = 6 count_mismatch,
  cast(null as bigint) first_bid from trades
 union all select 7, o_custkey % 16, o_orderkey,
  (epoch_us(o_orderdate) + 43200000000) * 1000 + o_orderkey, null, null, 3, 9990
- from orders where o_orderkey % 199 = 7""",
+ from orders""",
     "table_concat": f"with {TRADES}, {QUOTES} select instrument_id, sequence_num,"
     " source_timestamp_ns from trades union all select instrument_id, sequence_num,"
     " source_timestamp_ns from quotes",

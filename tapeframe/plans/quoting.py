@@ -31,9 +31,9 @@ CONFIGS = [
 
 
 def _market(spark, sf):
-    """Quotes with the maker's inventory; its fills are every tenth print."""
+    """Quotes with the maker's inventory; every print is one of its fills."""
     q = views.quotes(spark, sf)
-    fills = views.trades(spark, sf).where("sequence_num % 10 = 0").selectExpr(
+    fills = views.trades(spark, sf).selectExpr(
         "instrument_id", "receive_timestamp_ns fill_ts", "sequence_num fill_seq",
         "if(aggressor_side = 1, quantity, -quantity) signed_quantity",
     )
@@ -138,7 +138,7 @@ _INV = """mm_fills as (
  select instrument_id, receive_timestamp_ns fill_ts, cast(sum(case when aggressor_side = 1
   then quantity else -quantity end) over (partition by instrument_id
   order by receive_timestamp_ns, sequence_num rows unbounded preceding) as bigint) inventory
- from trades where sequence_num % 10 = 0),
+ from trades),
 market as (
  select q.*, coalesce(f.inventory, 0) inventory, q.receive_timestamp_ns available_timestamp_ns,
   q.receive_timestamp_ns + q.sequence_num % 3 * 100000 decision_timestamp_ns

@@ -74,7 +74,7 @@ def stream_quote_decisions(spark, sf):
     feats = streams.quote_features(views.quotes_of(_events(spark, sf))).withColumn(
         "realized_volatility", F.round("realized_volatility", 9)
     )
-    position = views.trades(spark, sf).where("sequence_num % 10 = 0").groupBy("instrument_id").agg(
+    position = views.trades(spark, sf).groupBy("instrument_id").agg(
         F.sum(F.expr("if(aggressor_side = 1, quantity, -quantity)")).alias("inventory")
     )
     d = streams.decisions(feats, position, [CONFIG])
@@ -111,7 +111,7 @@ ORACLES = {
     "stream_bbo": book_plans.ORACLES["bbo_timeline"],
     "stream_quote_decisions": f"""with {feature_plans._QUOTE_CORE}, {TRADES}, held as (
  select instrument_id, cast(sum(case when aggressor_side = 1 then quantity else -quantity end)
-  as bigint) inventory from trades where sequence_num % 10 = 0 group by 1),
+  as bigint) inventory from trades group by 1),
 market as (
  select q.*, coalesce(held.inventory, 0) inventory, receive_timestamp_ns available_timestamp_ns,
   receive_timestamp_ns decision_timestamp_ns from qf q left join held using (instrument_id)),

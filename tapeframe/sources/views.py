@@ -192,9 +192,9 @@ def faulty_book_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traded_book_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The book log with executions (action 3) against every fourth order, some too large."""
+    """The book log with executions (action 3) against every order, some too large."""
     log = book_log(spark, sf_dir)
-    adds = log.where("action = 4 and order_id % 4 = 0")
+    adds = log.where("action = 4")
     life = "(1 + order_id % 240) * 3600000000000"
     trades_ = adds.select(
         "instrument_id", F.lit(3).cast("long").alias("action"), "order_id", "side", "price",
@@ -209,9 +209,9 @@ def traded_book_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-level L2 snapshots, about one per 200 orders, some out of price order."""
+    """Three-level L2 snapshots, one per order, some out of price order."""
     us = _US.format("o_orderdate")
-    return table(spark, sf_dir, "orders").where("o_orderkey % 199 = 7").selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_custkey % 16 instrument_id", "o_orderkey snapshot_id",
         f"({us} + 43200000000) * 1000 + o_orderkey ts_ns",
         "transform(sequence(0L, 2L), i -> named_struct('price', 9990 - i * if(o_orderkey % 5 = 0 and"

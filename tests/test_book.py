@@ -97,7 +97,7 @@ def test_status_bbo_and_queue(spark, both_plans, seed):
     got = {r.seq: r.book_status for r in ops.with_update_status(log).collect()}
     assert got == status
     iv = ops.order_intervals(log)
-    for chunk in (20, 10_000):
+    for chunk in (1, 2, 7, 20, 50, 10_000):
         assert _bbo_map(ops.bbo_timeline(iv, chunk)) == bbo
     l3 = ops.l3_as_of(iv, 10**9)
     place = {(r.instrument_id, r.order_id): (r.queue_position, r.quantity_ahead)
@@ -109,6 +109,18 @@ def test_status_bbo_and_queue(spark, both_plans, seed):
     assert not place
 
 
+def test_a_chunk_starts_from_the_book_before_its_first_event(spark):
+    """The event at a cut takes the best level away, or leaves the book's top as it was."""
+    rows = [(1, 8, 4, 1, 1, 100, 5, 8), (1, 9, 4, 2, 1, 99, 5, 9), (1, 9, 4, 3, 2, 110, 5, 9), (1, 10, 6, 1, 1, 100, 5, 10),
+            (1, 11, 4, 4, 1, 90, 1, 11)]
+    log = ops.with_log_sequence(spark.createDataFrame(rows, LOG).drop("seq")).withColumn("seq", F.col("seq") + 6)
+    iv = ops.order_intervals(log)
+    want = _bbo_map(ops.bbo_timeline(iv, 10_000))
+    assert want[10] == (99, 5, 1, 110, 5, 1) and 11 not in want
+    for chunk in (1, 2, 3, 5, 10, 11):
+        assert _bbo_map(ops.bbo_timeline(iv, chunk)) == want
+
+
 def test_reject_policy_stream(spark):
     rows = _random_log(9)
     log = spark.createDataFrame(rows, LOG)
