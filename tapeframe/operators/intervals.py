@@ -1,4 +1,4 @@
-"""Interval predicates and joins against small effective-dated dimensions."""
+"""Interval predicates and joins against effective-dated dimensions."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeframe.operators.asof import asof
 from tapeframe.operators.scan import input_bytes, is_narrow
 
-BROADCAST_ROWS = 100_000
+#: A dimension of up to so many rows goes along as one sorted array.
+ARRAY_ROWS = 256
 
 
 def touches(obs: Column, end: Column, start: Column, stop: Column) -> Column:
@@ -29,23 +31,33 @@ def contains(ts: Column, start: Column, stop: Column) -> Column:
     return (ts >= start) & (ts < stop)
 
 
-def small_side(dim: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``dim`` after proving it has at most ``bound`` rows; refuse it otherwise."""
+def is_small(dim: DataFrame, bound: int = ARRAY_ROWS) -> bool:
+    """Whether ``dim`` is proven to have at most ``bound`` rows."""
     proven = is_narrow(dim) and input_bytes(dim) <= bound * 8
-    if not proven and dim.limit(bound + 1).count() > bound:
-        raise ValueError(f"dimension has more than {bound} rows; join it on an equality key instead")
-    return F.broadcast(dim)
+    return proven or dim.limit(bound + 1).count() <= bound
 
 
 def overlap_join(left: DataFrame, blocks: DataFrame, obs: str, end: str) -> DataFrame:
-    """Each label interval with every evaluation block (``start``, ``stop``) it touches.
+    """Each label interval with every evaluation block (``block_start``, ``block_stop``) it touches.
 
-    ``blocks`` is a fold table: a handful of rows, checked before it is broadcast.
+    Time is cut into buckets of a quarter of a mean block, or of a mean interval if that is longer.
+    Both sides are joined on the buckets they reach, and a pair counts in the first one they share: an
+    equality join, whatever the number of blocks.
     """
-    b = small_side(blocks)
-    return left.join(
-        b, touches(F.col(obs), F.col(end), F.col("block_start"), F.col("block_stop")), "inner"
-    )
+    sizes = blocks.agg(F.avg(F.col("block_stop") - F.col("block_start")).alias("w")).first()["w"] or 1
+    longest = left.agg(F.avg(F.col(end) - F.col(obs)).alias("w")).first()["w"] or 1
+    width = max(1, int(max(sizes / 4, longest)))
+
+    def bucket(c: Column) -> Column:
+        return F.floor(c / F.lit(width)).cast("long")
+
+    mine = left.withColumns({"__from": bucket(F.col(obs)), "__to": bucket(F.col(end))}).withColumn(
+        "__bucket", F.explode(F.sequence("__from", "__to")))
+    b = blocks.where("block_start < block_stop").withColumn("__b_from", bucket(F.col("block_start")))
+    b = b.withColumn("__bucket", F.explode(F.sequence("__b_from", bucket(F.col("block_stop") - 1))))
+    hit = touches(F.col(obs), F.col(end), F.col("block_start"), F.col("block_stop"))
+    first = F.col("__bucket") == F.greatest("__from", "__b_from")
+    return mine.join(b, "__bucket").where(hit & first).drop("__bucket", "__from", "__to", "__b_from")
 
 
 def effective_dated(
@@ -59,24 +71,29 @@ def effective_dated(
     """Attach the dimension row whose [start_ns, end_ns) holds ``ts``.
 
     Rows before the first start take the first row, or get NULLs when ``strict``: check those with
-    ``uncovered``. The dimension is broadcast after its size is checked, so ``df`` is not shuffled.
-    A boolean ``is_first`` column marks the first row; without one it is looked up.
+    ``uncovered``. A small dimension goes along as one sorted array, so ``df`` is neither joined nor
+    shuffled; a larger one is met by an as-of join. Either way no pairs are formed.
     """
-    small = small_side(dim)
-    start = F.col("start_ns")
-    if not strict:
-        first = (
-            F.col("is_first") if "is_first" in dim.columns
-            else start == dim.agg(F.min("start_ns")).first()[0]
-        )
-        start = F.when(first, F.lit(-(1 << 63))).otherwise(start)
-    d = small.select(
-        start.alias("__start"), F.coalesce("end_ns", F.lit((1 << 63) - 1)).alias("__end"),
-        *[F.col(v).alias(f"__v_{v}") for v in values],
-    )
-    inside = (F.col(ts) >= F.col("__start")) & (F.col(ts) < F.col("__end"))
-    out = df.join(F.broadcast(d), inside, "left")
-    return out.select(*df.columns, *[F.col(f"__v_{v}").alias(f"{prefix}{v}") for v in values])
+    rows = dim.select("start_ns", "end_ns", *values)
+    if is_small(dim):
+        one = F.sort_array(F.collect_list(F.struct("start_ns", "end_ns", *values)))
+        at, table = F.col(ts), F.col("__table")
+        known = F.filter(table, lambda r: (r["start_ns"] <= at) & (r["end_ns"].isNull() | (at < r["end_ns"])))
+        early = F.when(at < F.get(table, F.lit(0))["start_ns"], F.get(table, F.lit(0)))
+        hit = F.get(known, F.lit(0)) if strict else F.coalesce(F.get(known, F.lit(0)), early)
+        out = df.withColumn("__table", rows.agg(one.alias("a")).scalar()).withColumn("__dim", hit)
+        return out.select(*df.columns, *[F.col(f"__dim.{v}").alias(f"{prefix}{v}") for v in values])
+    first = rows.orderBy("start_ns").limit(1)
+    out = asof(df, rows, [], ts, "start_ns", [ts], ["start_ns"], ["start_ns", "end_ns", *values], prefix="__d_")
+    inside = F.col("__d_start_ns").isNotNull() & (F.col("__d_end_ns").isNull() | (F.col(ts) < F.col("__d_end_ns")))
+
+    def value(v: str) -> Column:
+        here = F.when(inside, F.col(f"__d_{v}"))
+        if not strict:
+            here = here.when(F.col(ts) < first.select("start_ns").scalar(), first.select(v).scalar())
+        return here.alias(f"{prefix}{v}")
+
+    return out.select(*df.columns, *[value(v) for v in values])
 
 
 def uncovered(df: DataFrame, dim: DataFrame, ts: str) -> DataFrame:

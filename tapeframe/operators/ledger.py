@@ -15,10 +15,7 @@ from pyspark.sql import functions as F
 from tapeframe.operators.asof import asof
 from tapeframe.operators.scan import (
     CHUNK,
-    CHUNK_ROWS_CONF,
-    DEFAULT_CHUNK_ROWS,
     chunk_width,
-    input_bytes,
     running,
     running_count,
     running_last,
@@ -130,10 +127,10 @@ def allocate_depth(
     matched: DataFrame, order: Sequence[str], enforce: bool = True, allow_partial: bool = False,
     fraction: float = 1.0,
 ) -> DataFrame:
-    """``fill_quantity`` and ``rejection`` of orders that share the displayed depth of a quote.
+    """``fill_quantity``, ``available_depth`` and ``rejection`` of orders that share a quote's depth.
 
     Orders on one (run, quote, side) take depth in turn; each may use ``int(remaining * fraction)``.
-    The turns are folded over arrays of at most ``FOLD_ROWS`` orders. A quote hit by more orders is
+    ``available_depth`` is what was left when an order's turn came. The turns are folded over arrays of at most ``FOLD_ROWS`` orders. A quote hit by more orders is
     folded in rounds, each starting from the depth the last one left.
     """
     touch = F.when(F.col("side") == "buy", F.col("quote_ask")).otherwise(F.col("quote_bid"))
@@ -149,23 +146,19 @@ def allocate_depth(
         ).drop("__pre")
     group = ["run_id", "instrument_id", "quote_row", "side"]
     live = out.where(F.col("__pre").isNull())
-    big = input_bytes(live) > FOLD_ROWS * 64
-    if big:
-        live = staged(
-            running(live, group, list(order), __turn=running_count()), "orders"
-        ).withColumn("__round", F.expr(f"(__turn - 1) div {FOLD_ROWS}")).drop("__turn")
-        rounds = live.agg(F.max("__round")).first()[0] or 0
-    else:
-        live, rounds = live.withColumn("__round", F.lit(0)), 0
+    live = staged(
+        running(live, group, list(order), __turn=running_count()), "orders"
+    ).withColumn("__round", F.expr(f"(__turn - 1) div {FOLD_ROWS}")).drop("__turn")
+    rounds = live.agg(F.max("__round")).first()[0] or 0
     at = F.struct(*[F.col(c) for c in order])
     take = (
         f"least(o.quantity, cast(floor(s.left * {fraction}D) as bigint))" if allow_partial else
         f"if(o.quantity <= cast(floor(s.left * {fraction}D) as bigint), o.quantity, 0L)"
     )
     fold = f"""aggregate(__orders,
-        named_struct('left', __depth, 'fills', cast(array() as array<bigint>)),
-        (s, o) -> named_struct('left', s.left - greatest({take}, 0L),
-                               'fills', concat(s.fills, array(greatest({take}, 0L)))))"""
+        named_struct('left', __depth, 'fills', cast(array() as array<struct<fill:bigint,left:bigint>>)),
+        (s, o) -> named_struct('left', s.left - greatest({take}, 0L), 'fills',
+            concat(s.fills, array(named_struct('fill', greatest({take}, 0L), 'left', s.left)))))"""
     done, left = None, None
     for r in range(rounds + 1):
         turn = live.where(F.col("__round") == r)
@@ -183,9 +176,11 @@ def allocate_depth(
             left = packed.select(*group, F.col("__fold.left").alias("__left"))
         fills = packed.select(
             *group, F.explode(F.arrays_zip("__orders", F.col("__fold.fills").alias("fill"))).alias("z")
-        ).select(*group, "z.__orders.at.*", F.col("z.fill").alias("fill_quantity"))
+        ).select(*group, "z.__orders.at.*", F.col("z.fill.fill").alias("fill_quantity"),
+                 F.col("z.fill.left").alias("__left_then"))
         done = fills if done is None else done.unionByName(fills)
-    filled = live.drop("__round").join(done, [*group, *order], "left")
+    filled = live.drop("__round").join(done, [*group, *order], "left").withColumn(
+        "available_depth", F.col("__left_then")).drop("__left_then")
     short = F.lit("zero_depth" if allow_partial else "insufficient_depth")
     filled = filled.withColumn("rejection", F.when(F.col("fill_quantity") <= 0, short))
     dead = out.where(F.col("__pre").isNotNull()).withColumns(
@@ -269,8 +264,7 @@ def average_cost(
     a = F.when(after == 0, 0.0).when(opens, 0.0).when(adds, size / (size + q)).otherwise(1.0)
     b = F.when(after == 0, 0.0).when(opens, price).when(adds, q * price / (size + q)).otherwise(0.0)
     out = out.withColumns({"a": a, "b": b})
-    if input_bytes(out) > _chunk_rows(out) * 8 or out.sparkSession.conf.get(CHUNK_ROWS_CONF, None):
-        out = staged(out, "fills")
+    out = staged(out, "fills")
     width = chunk_width(out, keys, order[0]) or (1 << 62)
     axis = f"`{order[0]}`"
     maps = out.select(*keys, *order, "a", "b").withColumn(
@@ -299,10 +293,6 @@ def average_cost(
         "__pos", "position_after").drop("__before", "__entry")
 
 
-def _chunk_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(CHUNK_ROWS_CONF, None) or DEFAULT_CHUNK_ROWS)
-
-
 def _chunk_carries(maps: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Average price at the start of each chunk, from the composed map of every earlier chunk."""
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:

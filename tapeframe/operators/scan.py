@@ -27,7 +27,9 @@ CHUNK = "__chunk"
 HALO = "__halo"
 CHUNK_ROWS_CONF = "spark.tapeframe.chunkRows"
 DEFAULT_CHUNK_ROWS = 4_000_000
-_MIN_ROW_BYTES = 8
+
+# Nodes that may give out more rows than they take in.
+_EXPANDS = re.compile(r"\b(Join|Generate|Expand|MapIn|FlatMap|Range|LogicalRDD)")
 
 
 @dataclass(frozen=True)
@@ -75,6 +77,27 @@ def input_bytes(df: DataFrame) -> int:
     return total
 
 
+_file_rows: dict[tuple, int] = {}
+
+
+def row_bound(df: DataFrame) -> int | None:
+    """An upper bound on the rows of ``df``: those of the files it reads, from their footers; None for
+    plans that may multiply rows. Files are counted once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if _EXPANDS.search(plan):
+        return None
+    files = tuple(sorted(df.inputFiles()))
+    if not files:
+        return None
+    reads = plan.count("Relation [")
+    known = (df.sparkSession.sparkContext.applicationId, files)
+    if known not in _file_rows:
+        if len(_file_rows) > 1000:
+            _file_rows.clear()
+        _file_rows[known] = df.sparkSession.read.parquet(*files).count()
+    return _file_rows[known] * max(1, reads)
+
+
 def is_narrow(df: DataFrame) -> bool:
     """True when re-reading ``df`` costs only a scan, so it need not be staged before two uses."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -109,7 +132,8 @@ def chunk_width(df: DataFrame, keys: Sequence[str], axis: str) -> int | None:
     spark = df.sparkSession
     conf = spark.conf.get(CHUNK_ROWS_CONF, None)
     rows = int(conf) if conf else DEFAULT_CHUNK_ROWS
-    if input_bytes(df) < rows * _MIN_ROW_BYTES:
+    bound = row_bound(df)
+    if bound is not None and bound <= rows:
         return None
     keys = [k for k in keys if not k.startswith("__") or k == "__all"]
     if not keys:

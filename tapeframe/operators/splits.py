@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeframe.operators.intervals import small_side, touches
+from tapeframe.operators.intervals import touches
 from tapeframe.operators.scan import running, running_count, running_sum
 from tapeframe.session import inline_table
 
@@ -366,7 +366,7 @@ def split_compliance(
         F.count_if(F.col("in_train") > 1).alias("duplicate_train"),
         F.count_if(F.col("in_test") > 1).alias("duplicate_test"),
     )
-    blocks = small_side(folds).select("split_index", "block_start", "block_stop")
+    blocks = folds.select("split_index", "block_start", "block_stop")
     t = F.col(ts)
     leaks = (
         members.where(F.col("role") == "train")

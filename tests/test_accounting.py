@@ -177,3 +177,36 @@ def test_strict_schedule_leaves_early_rows_uncovered(spark):
     assert [r.sale_fee_rate for r in out] == [None, 0.0000278]
     assert [r.i for r in uncovered(df, fees, "ts").collect()] == [1]
     assert effective_dated(df, fees, "ts", ["sale_fee_rate"]).where(F.col("i") == 1).first()[2] == 8e-6
+
+
+def test_a_second_order_sees_the_depth_that_is_left(spark):
+    rows = [(1, 1, 5, "buy", r, q, 100, 101, 50, 60) for r, q in ((1, 40), (2, 30), (3, 5))]
+    df = spark.createDataFrame(
+        rows, "run_id long, instrument_id long, quote_row long, side string, order_row long, quantity long, quote_bid long,"
+        " quote_ask long, quote_bid_quantity long, quote_ask_quantity long")
+    for partial, want in ((True, [(40, 60), (20, 20), (0, 0)]), (False, [(40, 60), (0, 20), (5, 20)])):
+        got = ledger.allocate_depth(df, ["order_row"], allow_partial=partial).orderBy("order_row").collect()
+        assert [(r.fill_quantity, r.available_depth) for r in got] == want
+
+
+def test_no_nested_loops(spark):
+    """Interval and dated joins compare no row with every row of the other side."""
+    from tapeframe.plans import registry
+
+    queries = registry.queries()
+    for name in ("fee_schedule_join", "regulatory_fees", "running_cash_position", "equity_curve", "label_interval_overlap"):
+        plan = queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_large_schedules_are_met_by_an_as_of_join(spark):
+    from tapeframe.operators.intervals import ARRAY_ROWS, effective_dated
+
+    n = ARRAY_ROWS + 50
+    dim = spark.range(n).selectExpr("id * 10 start_ns", "if(id % 7 = 0, id * 10 + 5, id * 10 + 10) end_ns", "id * 1.0D rate")
+    df = spark.range(-3, n * 10).selectExpr("id ts")
+    want = lambda t: 0.0 if t < 0 else None if t // 10 % 7 == 0 and t % 10 >= 5 else t // 10 * 1.0
+    for frame in (dim, dim.where(f"start_ns < {ARRAY_ROWS * 10 - 100}")):
+        top = frame.count() * 10
+        for r in effective_dated(df.where(F.col("ts") < top), frame, "ts", ["rate"]).collect():
+            assert r.rate == want(r.ts), r
