@@ -239,7 +239,7 @@ def plain_distance(pattern, text):
 def test_edit_distance(pattern, text):
     want = plain_distance(pattern, text)
     assert decontaminate.distance_within(pattern, text, 99) == want
-    assert decontaminate.distance_within(pattern, text, want - 1) is None
+    assert want == 0 or decontaminate.distance_within(pattern, text, want - 1) is None
 
 
 def test_anchors():
