@@ -155,7 +155,31 @@ _STATS = _DATED + """, stats as (
   max(source_timestamp_ns) max_timestamp_ns, min(sequence_num) min_sequence,
   max(sequence_num) max_sequence from dated group by 1, 2)"""
 
+# The trade contract beside the table given to it: price as text, aggressor side an int, one column too many.
+_CONFORMANCE = [
+    ("version", "smallint", None), ("message_type", "smallint", None), ("flags", "int", None), ("venue_id", "int", None),
+    ("feed_id", "int", None), ("instrument_id", "bigint", "bigint"), ("checksum", "int", None),
+    ("sequence_num", "bigint", "bigint"), ("source_timestamp_ns", "bigint", "bigint"),
+    ("receive_timestamp_ns", "bigint", "bigint"), ("trade_id", "bigint", None), ("price", "bigint", "string"),
+    ("quantity", "bigint", "bigint"), ("aggressor_side", "smallint", "int"), ("maker_order_id", "bigint", None),
+    ("taker_order_id", "bigint", None), ("odd", None, "int"),
+]
+
+
+def _conformance_sql() -> str:
+    rows, at = [], 0
+    for i, (name, want, have) in enumerate(_CONFORMANCE):
+        quoted = [f"'{x}'" if x else "null" for x in (name, want, have)]
+        nulls = f"(select count(*) filter ({name} is null) from trades)" if want and have else "0"
+        rows.append(f"({', '.join(quoted)}, {i if want else 'null'}, {at if have else 'null'}, {want is None}, {nulls},"
+                    f" {have is None}, {want == have})".lower())
+        at += have is not None
+    return (f"with {TRADES} select * from (values {', '.join(rows)}) t(\"column\", expected_type, actual_type, expected_position,"
+            " actual_position, is_extra, null_violations, is_missing, is_type_match)")
+
+
 ORACLES = {
+    "conformance_report": _conformance_sql(),
     "column_projection": f"with {TRADES} select instrument_id, price from trades",
     "dataset_roundtrip": f"with {TRADES} select * from trades",
     "partition_filtered_read": f"with {_DATED} select sequence_num, price from dated"

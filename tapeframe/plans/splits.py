@@ -157,7 +157,9 @@ def split_manifest(spark, sf):
     m = ops.split_manifest(
         ops.fold_table(spark, folds), "purged_k_fold", "trades", "none", axis.total, PURGE
     )
-    return ops.verify_split_manifest(m)
+    sealed = ops.verify_split_manifest(m)
+    return sealed.select("split_type", "dataset_id", "total_records", "purge_horizon_ns", "embargo_ns", "is_sealed",
+                         F.length("content_hash").alias("hash_length"), F.inline("folds"))
 
 
 def forward_return_labels(spark, sf):
@@ -318,6 +320,10 @@ select split_index, row_id, case when ts >= s1 and ts < e1 or ts >= s2 and ts <
     "label_intervals": f"""with {_SAMPLES} select row_id,
  case when row_id % 9 >= 1 then ts + (row_id % 9 - 1) * {HOUR} end label_end_ns,
  row_id % 9 < 1 is_bad_horizon from samples""",
+    "split_manifest": f"""with {_blocks(5)} select 'purged_k_fold' split_type, 'trades' dataset_id,
+ (select count(*) from samples) total_records, {PURGE.purge_horizon_ns} purge_horizon_ns, {PURGE.embargo_ns} embargo_ns,
+ true is_sealed, 64 hash_length, block split_index, cast(0 as bigint) test_position, start_row, stop_row, block_start,
+ block_stop from blocks""",
     "split_bounds": f"with {_blocks(5)} select block split_index, cast(0 as bigint) test_position,"
     " start_row, stop_row, block_start, block_stop from blocks",
     "split_compliance": f"""with {_blocks(5)}, m as (

@@ -240,6 +240,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "content_digest": f"""with {TRADES}, hashed as (
+ select cast('0x' || substr(md5(concat_ws('|', aggressor_side, instrument_id, price, quantity, receive_timestamp_ns,
+  sequence_num, source_timestamp_ns)), 1, 15) as bigint) h from trades)
+select count(*) n_rows, bit_xor(h) digest_xor, cast(sum(h % 1000003) as bigint) digest_sum from hashed""",
     "message_validation": f"with {_VALIDATION} select input_index, header_status, payload_status,"
     " validation_status from validated",
     "sequence_status": f"with {_SEQ} select venue_id, feed_id, input_index, sequence_num,"
