@@ -33,7 +33,7 @@ from tapeframe.llm.quality import held_out
 from tapeframe.session import staged
 
 #: Text of one block, text that shares one vocabulary, and places (steps times texts) of one forward pass.
-_BLOCK_BYTES = 4 << 20
+_BLOCK_BYTES = 2 << 20
 _SCOPE_BYTES = 32 << 20
 _PASS_PLACES = 200_000
 
