@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeframe import contracts
 from tapeframe.operators import calendar as cal
-from tapeframe.operators import costs, ledger
+from tapeframe.operators import costs, extension, ledger
 from tapeframe.operators import features as feat
 from tapeframe.operators.intervals import effective_dated
-from tapeframe.plans.duck import FILLS, QUOTES
+from tapeframe.plans.duck import FILLS, QUOTES, VALID_QUOTES
 from tapeframe.sources import views
 
 CASH = 1_000_000.0
@@ -211,6 +212,37 @@ def flat_benchmark(spark, sf):
     return ledger.flat_signals(views.quotes(spark, sf))
 
 
+def strategy_signals(spark, sf):
+    """A strategy that leans to the heavier side when it is heavier than usual."""
+    q = feat.with_quote_validity(views.quotes(spark, sf))
+    lean = F.col("best_bid_quantity") - F.col("best_ask_quantity")
+
+    def fit(train):
+        return train.where("is_valid").agg((F.sum(F.abs(lean)) / F.count(F.lit(1))).alias("usual"))
+
+    def signals(features, learned):
+        heavy = F.col("is_valid") & (F.abs(lean) >= learned.scalar())
+        side = F.when(heavy, F.signum(lean)).otherwise(0.0)
+        return features.select(
+            F.col("receive_timestamp_ns").alias("decision_timestamp_ns"), "instrument_id", side.alias("direction"),
+            (side * 0.5).alias("target_weight"), F.abs(side).alias("strength"), F.lit(1.0).alias("confidence"), "is_valid")
+
+    return extension.strategy_signals(q, q, fit, signals)
+
+
+def normalised_feed(spark, sf):
+    """Raw events as rows of the trade contract."""
+    def normaliser(raw):
+        ns = "unix_micros(cast(ts as timestamp)) * 1000"
+        return raw.selectExpr(
+            "1 version", "1 message_type", "0 flags", "1 venue_id", "user_id % 4 feed_id", "user_id % 8 instrument_id", "0 checksum",
+            "event_id + 1 sequence_num", f"{ns} source_timestamp_ns", f"{ns} + 500000 receive_timestamp_ns", "event_id trade_id",
+            "round(value * 100) + 1 price", "1 + event_id % 500 quantity", "if(event_id % 3 = 0, 2, 1) aggressor_side",
+            "event_id * 2 maker_order_id", "event_id * 2 + 1 taker_order_id")
+
+    return extension.normalise(views.table(spark, sf, "events"), normaliser, contracts.TRADE)
+
+
 def signal_audit(spark, sf):
     s = views.quotes(spark, sf).selectExpr(
         "cast(sequence_num % 5 - 2 as tinyint) direction",
@@ -436,6 +468,7 @@ QUERIES = {
         slippage_cost, regulatory_fees, signal_orders, order_quote_match, order_rejections,
         depth_allocation_partial, depth_allocation_all_or_none, fill_ledger,
         running_cash_position, average_cost_pnl, equity_curve, run_summary, flat_benchmark,
+        strategy_signals, normalised_feed,
         signal_audit, order_audit, fill_audit,
     )
 }
@@ -532,6 +565,18 @@ select run_id, instrument_id, n_quotes, e.position,
  round(e.cash + e.position * e.market_mid_price - {CASH}, 3) net_pnl,
  round(e.friction, 3) total_friction,
  round(e.cash + e.position * e.market_mid_price - {CASH} + e.friction, 3) gross_pnl from fin""",
+    "strategy_signals": f"""with {VALID_QUOTES}, usual as (
+ select sum(abs(best_bid_quantity - best_ask_quantity))::double / count(*) u from vq where is_valid),
+leaning as (select vq.*, case when is_valid and abs(best_bid_quantity - best_ask_quantity) >= u
+  then sign(best_bid_quantity - best_ask_quantity) else 0 end d from vq, usual)
+select receive_timestamp_ns decision_timestamp_ns, instrument_id, d::tinyint direction, d * 0.5::double target_weight,
+ abs(d)::double strength, 1.0::double confidence, is_valid from leaning""",
+    "normalised_feed": """select 1::smallint as version, 1::smallint message_type, 0 flags, 1 venue_id,
+ (user_id % 4)::int feed_id, (user_id % 8)::bigint instrument_id, 0 checksum, (event_id + 1)::bigint sequence_num,
+ epoch_us(ts) * 1000 source_timestamp_ns, epoch_us(ts) * 1000 + 500000 receive_timestamp_ns, event_id::bigint trade_id,
+ cast(round(value * 100) as bigint) + 1 price, (1 + event_id % 500)::bigint quantity,
+ (case when event_id % 3 = 0 then 2 else 1 end)::smallint aggressor_side, (event_id * 2)::bigint maker_order_id,
+ (event_id * 2 + 1)::bigint taker_order_id from events""",
     "flat_benchmark": f"""with {QUOTES} select receive_timestamp_ns decision_timestamp_ns,
  instrument_id, cast(0 as tinyint) direction, 0.0::double target_weight, 0.0::double strength,
  0.0::double confidence, true is_valid from quotes""",
