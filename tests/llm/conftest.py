@@ -1,5 +1,5 @@
 import pytest
-from odd_rows import ODD
+from .odd_rows import ODD
 from pyspark.sql import types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),

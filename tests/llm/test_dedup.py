@@ -8,7 +8,7 @@ import pytest
 from tapeframe.llm import jaccard, lines
 from tapeframe.llm.components import components
 
-from odd_rows import LONG, ODD
+from .odd_rows import LONG, ODD
 
 
 def plain_lines(docs, min_words):

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from tapeframe.llm import bpe
 
-from odd_rows import ODD
+from .odd_rows import ODD
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from odd_rows import ODD
+from .odd_rows import ODD
 from pyspark.sql import functions as F
 
 from tapeframe.llm import arrays, decontaminate, hmm, language, licenses, pii, quality

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from test_dedup import plain_classes, plain_lines
+from .test_dedup import plain_classes, plain_lines
 
 from tapeframe.llm import bpe, decontaminate, quality
 
