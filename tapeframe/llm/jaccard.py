@@ -4,7 +4,8 @@ Texts are lower-cased words (runs of letters and digits); an n-gram is ``n`` con
 fewer words is one n-gram. Two documents are linked if the Jaccard similarity of their sets of n-grams is
 ``threshold`` or more.
 
-1. Texts of equal words are one *class*; its least doc_id goes on for all of them.
+1. Texts of equal words are one *class*, known by two hashes of the words and numbered as a node; its row of
+   least doc_id goes on for all of them. Nodes do not depend on doc_ids, which may be null or repeat.
 2. Every representative's MinHash values are cut into bands; bands and rows are chosen so that a pair at
    the threshold meets in some band with probability ``recall``. Band hashes are shuffled, single-member
    buckets go.
@@ -13,11 +14,11 @@ fewer words is one n-gram. Two documents are linked if the Jaccard similarity of
 4. N-gram sets of what is left are made from the texts and sent to their buckets. A large bucket is cut
    into blocks and every two blocks meet in a group of their own. A group counts the links of each
    member and returns a row for each, never a row for each pair.
-5. Links become classes by connected components.
+5. Links become classes by connected components; the least doc_id of each is looked up at the end.
 
 Defined results: texts without words (null, empty, only marks) have no links and are classes of their own;
 repeated rows are copies of each other; a null doc_id comes before all others; where a doc_id stands for
-several texts, its rows share the links of one of them; an empty table gives no rows; extra columns are
+several texts, each row has the links of its own text; an empty table gives no rows; extra columns are
 ignored, whatever their names.
 """
 
@@ -107,7 +108,8 @@ def sequence_keys(row: np.ndarray, key: np.ndarray, texts: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, config: JoinConfig) -> DataFrame:
-    """(doc, high, low, bands): the class key and the band hashes; null where a text has no words."""
+    """(doc, text_key, high, low, bands) of ``docs`` (doc, text, text_key): the class key and the band hashes; null
+    where a text has no words."""
     bands, rows = config.banding()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +134,10 @@ def sketches(docs: DataFrame, config: JoinConfig) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(sequence[:, 0], mask=empty), pa.array(sequence[:, 1], mask=empty), lists],
-                    names=["doc", "high", "low", "bands"])
+                    [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(sequence[:, 0], mask=empty), pa.array(sequence[:, 1], mask=empty), lists],
+                    names=["doc", "text_key", "high", "low", "bands"])
 
-    return docs.mapInArrow(run, "doc long, high long, low long, bands array<long>")
+    return docs.mapInArrow(run, "doc long, text_key long, high long, low long, bands array<long>")
 
 
 def ngram_sets(rows: DataFrame, config: JoinConfig) -> DataFrame:
@@ -212,17 +214,23 @@ def verify_group(band: int, part: np.ndarray, nodes: np.ndarray, copies: np.ndar
     return nodes[has], nodes[root[has]], links[has]
 
 
-def links(docs: DataFrame, config: JoinConfig = JoinConfig()) -> tuple[DataFrame, DataFrame]:
-    """(members, found) for ``docs`` (doc, text): members (doc, node, copies) with the representative of
-    each document; found (node, root, links), rows of the verified groups."""
+def links(docs: DataFrame, config: JoinConfig = JoinConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, nodes, found) for ``docs`` (doc, text): members (doc, text_key, node, copies) with the node of each
+    document, below 0 where it has no words; nodes (node, doc, text_key) with the row that stands for each; found
+    (node, root, links), rows of the verified groups."""
     bands, _ = config.banding()
+    docs = docs.select("doc", "text", F.xxhash64("text").alias("text_key"))
     sketch = staged(sketches(docs, config), "sketches")
-    worded = sketch.where("high is not null")
-    classes = worded.groupBy("high", "low").agg(F.min("doc").alias("node"), F.count("*").alias("copies"))
-    members = (worded.join(classes, ["high", "low"]).select("doc", "node", "copies", "high", "low", "bands")
-               .unionAll(sketch.where("high is null").select("doc", F.col("doc").alias("node"), F.lit(1).cast("long").alias("copies"), "high", "low", "bands")))
-    members = staged(members, "members")
-    single = members.where("doc = node and high is not null").dropDuplicates(["node"])
+    least = F.min(F.struct("doc", "text_key")).alias("least")
+    classes = sketch.where("high is not null").groupBy("high", "low").agg(least, F.count("*").alias("copies"))
+    # Stored, so that the numbers stay the same for all readers.
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "high", "low", "least", "copies"), "nodes")
+    own = ["doc", "text_key", "node", "copies", "high", "low", "bands"]
+    worded = sketch.join(classes, ["high", "low"]).select(*own, (F.struct("doc", "text_key") == F.col("least")).alias("first"))
+    # Numbers below 0, so that texts without words are spread over later joins and meet nothing.
+    wordless = sketch.where("high is null").withColumns({"node": -1 - F.monotonically_increasing_id(), "copies": F.lit(1).cast("long")})
+    members = staged(worded.unionAll(wordless.select(*own, F.lit(False))), "members")
+    single = members.where("first").dropDuplicates(["node"])
     spread = single.select("node", F.posexplode("bands").alias("band", "bucket"))
     crowded = spread.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     seats = staged(spread.join(crowded, ["band", "bucket"]), "seats")
@@ -236,8 +244,8 @@ def links(docs: DataFrame, config: JoinConfig = JoinConfig()) -> tuple[DataFrame
     useful = useful.where(~F.greatest(*[F.col(f"s{k}").cast("int") for k in range(bands - 1)], F.lit(0), F.lit(0)).cast("boolean")).select("band", "bucket")
     seats_of = (seated.join(useful, ["band", "bucket"]).groupBy("node", "shape")
                 .agg(F.collect_list(F.struct("band", "bucket", F.ceil(F.col("size") / config.block).cast("int").alias("blocks"))).alias("seats")))
-    asked = seats_of.join(single.select("node", "copies", "high", "low"), "node")
-    texts = docs.join(asked, docs["doc"] == asked["node"]).select("node", "shape", "seats", "copies", "high", "low", "text")
+    asked = seats_of.join(single.select("node", "doc", "text_key", "copies", "high", "low"), "node")
+    texts = docs.join(asked, ["doc", "text_key"]).select("node", "shape", "seats", "copies", "high", "low", "text")
     sets = ngram_sets(texts, config)
     seat = sets.select("node", "shape", "copies", "grams", F.explode("seats").alias("s")).select(
         "node", "shape", "copies", "grams", "s.*", F.pmod(F.xxhash64("node"), F.col("s.blocks")).cast("int").alias("part"))
@@ -257,28 +265,44 @@ def links(docs: DataFrame, config: JoinConfig = JoinConfig()) -> tuple[DataFrame
         return pa.table({"node": pa.array(found[0], pa.int64()), "root": pa.array(found[1], pa.int64()), "links": pa.array(found[2], pa.int64())})
 
     found = paired.groupBy("band", "bucket", "p", "q").applyInArrow(run, "node long, root long, links long")
-    return members.select("doc", "node", "copies"), found
+    return members.select("doc", "text_key", "node", "copies"), classes.select("node", "least.*"), found
+
+
+def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST)).alias("doc"), F.col(text).cast("string").alias("text"))
+
+
+def _least(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, least) for every node that has links: the first (doc, text_key) that links lead to."""
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    least = nodes.join(roots, "node").groupBy("root").agg(F.min(F.struct("doc", "text_key")).alias("least"))
+    return roots.join(least, "root").select("node", "least")
 
 
 def classes(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id (the least doc_id that links lead to) and n_links, the number of other documents
     at the threshold or above, one row per row of ``docs``."""
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST)).alias("doc"), F.col(text).cast("string").alias("text"))
-    members, found = links(own, config)
+    members, nodes, found = links(_own(docs, doc_id, text), config)
     found = staged(found, "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = counts.join(roots, "node", "left")
+    alone = nodes.select("node", F.struct("doc", "text_key").alias("own"))
+    known = alone.join(counts, "node", "left").join(_least(nodes, found), "node", "left")
+    known = known.select("node", "links", F.coalesce("least", "own")["doc"].alias("first"))
     back = lambda c: F.when(c != _LOWEST, c)
     return members.join(known, "node", "left").select(
-        back(F.col("doc")).alias("doc_id"), back(F.coalesce("root", "node")).alias("class_id"),
+        back(F.col("doc")).alias("doc_id"), back(F.coalesce("first", "doc")).alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
 def clean(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, the one of least doc_id, with all its columns; of rows that repeat a
     doc_id and its text one stays."""
-    gone = classes(docs, config, doc_id, text).where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    name = "`" + doc_id.replace("`", "``") + "`"
-    kept = docs.join(gone, docs[name].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
-    return kept.withColumn("__text", F.xxhash64("`" + text.replace("`", "``") + "`")).dropDuplicates([doc_id, "__text"]).drop("__text")
+    members, nodes, found = links(_own(docs, doc_id, text), config)
+    own = F.struct("doc", "text_key")
+    known = nodes.select("node", own.alias("own")).join(_least(nodes, staged(found, "found")), "node", "left")
+    known = known.select("node", F.coalesce("least", "own").alias("least"))
+    gone = members.join(known, "node").where(own != F.col("least")).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    name, body = ("`" + c.replace("`", "``") + "`" for c in (doc_id, text))
+    keys = {"__doc": F.coalesce(F.col(name).cast("long"), F.lit(_LOWEST)), "__key": F.xxhash64(F.col(body).cast("string"))}
+    kept = docs.withColumns(keys).join(gone, ["__doc", "__key"], "left_anti")
+    return kept.dropDuplicates(["__doc", "__key"]).select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])

@@ -113,6 +113,18 @@ def test_odd_classes(odd, none):
     assert sum(r.text == LONG for r in kept.select("text").collect()) == 1
 
 
+@pytest.mark.parametrize("own_id", [None, 5])
+def test_texts_under_one_id_keep_their_own_links(docs_of, own_id):
+    texts = [[f"t{k}w{i}" for i in range(60)] for k in range(4)]
+    near = [x[:30] + [f"new{k}"] + x[30:] for k, x in enumerate(texts)]
+    docs = [(own_id, " ".join(x)) for x in texts] + [(10 + k, " ".join(x)) for k, x in enumerate(near)] + [(own_id, ""), (own_id, "single one"), (own_id, "Single, one")]
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(docs_of(docs)).collect()), key=repr)
+    want = [(own_id, own_id, 1)] * 4 + [(10 + k, own_id, 1) for k in range(4)] + [(own_id, own_id, 0)] + [(own_id, own_id, 1)] * 2
+    assert got == sorted(want, key=repr)
+    kept = [(r.doc_id, r.text.lower().replace(",", "")) for r in jaccard.clean(docs_of(docs)).collect()]
+    assert sorted(kept, key=repr) == sorted([(own_id, " ".join(x)) for x in texts] + [(own_id, ""), (own_id, "single one")], key=repr)
+
+
 def test_banding_reaches_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = jaccard.JoinConfig(threshold=threshold).banding()
