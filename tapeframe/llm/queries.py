@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeframe.llm import bitslice, bpe, decontaminate, hmm, jaccard, language, licenses, lines, pii, quality
+from tapeframe.llm import bitslice, bpe, clusters, decontaminate, hmm, jaccard, language, licenses, lines, pii, quality, resample
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -132,6 +132,86 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, its noisy score and its place in the draw of a quarter."""
+    return resample.resample(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")).drop("n_words")
+
+
+OP11 = r"""
+with recursive bits as (
+  select b::bigint as b, b::bigint as x, 0 as k from range(256) r(b)
+  union all
+  select b, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, k + 1 from bits where k < 8
+), crc as (
+  select list(x order by b) as t from bits where k = 8
+), text as (
+  select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark
+), word as (
+  select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from text
+), feature as (
+  select kind, id, unnest(w) as f from word
+  union all
+  select kind, id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) from word
+), bucketed as (
+  select f, xor(list_reduce(list_transform(generate_series(1, strlen(f)), lambda i: ('0x' || hex(encode(f))[2 * i - 1:2 * i])::bigint),
+    lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8), 4294967295), 4294967295) % 10000 as bucket
+  from (select distinct f from feature), crc
+), hit as (
+  select kind, id, bucket, count(*) as n from feature join bucketed using (f) group by all
+), total as (
+  select coalesce(sum(n) filter (kind = 'd'), 0)::double as s, coalesce(sum(n) filter (kind = 'b'), 0)::double as t from hit
+), gain as (
+  select bucket, cast(floor(1000 * ln((coalesce(sum(n) filter (kind = 'b'), 0) + 1)::double * (any_value(total.s) + 10000)
+    / ((coalesce(sum(n) filter (kind = 'd'), 0) + 1)::double * (any_value(total.t) + 10000)))) as bigint) as g
+  from hit, total group by bucket
+), own as (
+  select id, sum(n)::bigint as n, sum(n * g)::bigint as g from hit join gain using (bucket) where kind = 'd' group by id
+), scored as (
+  select w.id as doc_id, len(w.w) as words, coalesce(n, 0) as n_features, case when n is null then 0 else (g - ((g % n) + n) % n) // n end as weight,
+    cast(floor(-1000 * ln(-ln((('0x' || sha256('7:' || w.id)[1:8])::bigint + 0.5) / 4294967296.0::double))) as bigint) as noise
+  from word w left join own on own.id = w.id where w.kind = 'd'
+), ranked as (
+  select *, row_number() over (partition by words >= 20 order by weight + noise desc, doc_id) as r, count(*) filter (words >= 20) over () as n from scored
+)
+select doc_id, n_features::bigint as n_features, weight::bigint as weight, (weight + noise)::bigint as score,
+  case when words >= 20 and r <= 25 * n // 100 then r end as rank
+from ranked
+"""
+
+
+def op12_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's cluster after three rounds from 16 hashed starts."""
+    return clusters.cluster(_table(spark, sf, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """Three rounds and the last assignment, written out."""
+    nearest = """dist{r} as (
+  select v.vec_id, v.n, v.v, c.c, c.m, cast(list_sum(list_transform(list_zip(v.v, c.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d
+  from v cross join cent{r} c
+), near{r} as (
+  select * from dist{r} qualify row_number() over (partition by n order by d, c) = 1
+)"""
+    mean = """mean{r} as (
+  select c, i, (s - ((s % k) + k) % k) // k as x from (
+    select c, i, sum(x)::bigint as s, count(*) as k from (select c, unnest(v) as x, unnest(range(64)) as i from near{r}) group by c, i)
+), cent{s} as (
+  select p.c, coalesce(q.m, p.m) as m from cent{r} p left join (select c, list(x order by i) as m from mean{r} group by c) q on p.c = q.c
+)"""
+    parts = [nearest.format(r=r) + (",\n" + mean.format(r=r, s=r + 1) if r < 3 else "") for r in range(4)]
+    return """with v as (
+  select vec_id, row_number() over () as n, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), cent0 as (
+  select row_number() over (order by sha256('1:' || vec_id), v) - 1 as c, v as m from v qualify c < 16
+),
+""" + ",\n".join(parts) + """
+select vec_id, cast(c as integer) as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from near3
+"""
+
+
 QUERIES = {
     "op1_bit_sliced_top_k": op1_bit_sliced_top_k,
     "op5_byte_bpe": op5_byte_bpe,
@@ -143,6 +223,8 @@ QUERIES = {
     "op8_hmm_score": op8_hmm_score,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
@@ -150,4 +232,6 @@ ORACLES: dict[str, str] = {
     "op2_license_scan": licenses.oracle(),
     "op3_line_dedup": OP3,
     "op6_ngram_jaccard": OP6,
+    "op11_importance_resampling": OP11,
+    "op12_centroid_clustering": _op12_sql(),
 }
