@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeframe.llm import bitslice, bpe, clusters, decontaminate, hmm, jaccard, language, licenses, lines, pii, quality, resample
+from tapeframe.llm import bitslice, bpe, clusters, decontaminate, hmm, jaccard, language, licenses, lines, pii, quality, resample, suffixes
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -212,6 +212,36 @@ from near3
 """
 
 
+def op13_repeated_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that start more than once, as a digest."""
+    return suffixes.digest(_table(spark, sf, "documents"))
+
+
+OP13 = """
+with d as (
+  select doc_id, row_number() over () as n, hex(encode(coalesce(text, ''))) as h from documents
+), string as (
+  select n, i, md5(substr(h, 2 * i + 1, 400)) as s from (select n, h, unnest(range(strlen(h) // 2 - 199)) as i from d)
+), twice as (
+  select n, i from string qualify count(*) over (partition by s) > 1
+), islands as (
+  select n, i, sum(new) over (partition by n order by i) as k from (select n, i, case when i - lag(i) over (partition by n order by i) <= 200 then 0 else 1 end as new from twice)
+), gone as (
+  select n, min(i) as a, max(i) + 200 as b from islands group by n, k
+), piece as (
+  select n, lag(b, 1, 0) over w as a, a as b from gone window w as (partition by n order by a)
+  union all select n, max(b), null from gone group by n
+), kept as (
+  select n, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, strlen(h) // 2) - a)), '' order by a) as h from piece join d using (n) group by n
+), sums as (
+  select n, sum(b - a)::bigint as removed, count(*) as spans from gone group by n
+)
+select doc_id, (strlen(d.h) // 2)::bigint as n_bytes, coalesce(removed, 0) as n_removed, coalesce(spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join kept using (n) left join sums using (n)
+"""
+
+
 QUERIES = {
     "op1_bit_sliced_top_k": op1_bit_sliced_top_k,
     "op5_byte_bpe": op5_byte_bpe,
@@ -225,6 +255,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_repeated_strings": op13_repeated_strings,
 }
 
 ORACLES: dict[str, str] = {
@@ -234,4 +265,5 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": OP6,
     "op11_importance_resampling": OP11,
     "op12_centroid_clustering": _op12_sql(),
+    "op13_repeated_strings": OP13,
 }
