@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeframe.operators import dyadic
 from tapeframe.operators.asof import asof
-from tapeframe.operators.scan import input_bytes, is_narrow
 
 #: A dimension of up to so many rows goes along as one sorted array.
 ARRAY_ROWS = 256
@@ -32,32 +32,54 @@ def contains(ts: Column, start: Column, stop: Column) -> Column:
 
 
 def is_small(dim: DataFrame, bound: int = ARRAY_ROWS) -> bool:
-    """Whether ``dim`` is proven to have at most ``bound`` rows."""
-    proven = is_narrow(dim) and input_bytes(dim) <= bound * 8
-    return proven or dim.limit(bound + 1).count() <= bound
+    """Whether ``dim`` has at most ``bound`` rows; reads no more than that and one."""
+    return dim.limit(bound + 1).count() <= bound
 
 
 def overlap_join(left: DataFrame, blocks: DataFrame, obs: str, end: str) -> DataFrame:
     """Each label interval with every evaluation block (``block_start``, ``block_stop``) it touches.
 
-    Time is cut into buckets of a quarter of a mean block, or of a mean interval if that is longer.
-    Both sides are joined on the buckets they reach, and a pair counts in the first one they share: an
-    equality join, whatever the number of blocks.
+    Time is cut into buckets of a quarter of a mean block. Two spans of buckets meet if the first bucket of
+    one lies in the other, so every pair is found once: by the label's first bucket among the blocks' dyadic
+    ranges, or else by the block's first bucket among those of the label. A label or block of any length is a
+    few rows, and both joins are on equality.
     """
-    sizes = blocks.agg(F.avg(F.col("block_stop") - F.col("block_start")).alias("w")).first()["w"] or 1
-    longest = left.agg(F.avg(F.col(end) - F.col(obs)).alias("w")).first()["w"] or 1
-    width = max(1, int(max(sizes / 4, longest)))
+    blocks = blocks.where("block_start < block_stop")
+    sizes = blocks.agg(F.avg(F.col("block_stop") - F.col("block_start")).alias("w"), F.min("block_start").alias("a"),
+                       F.max("block_stop").alias("b")).first()
+    if sizes["w"] is None:
+        return left.join(blocks, F.lit(False))
+    width = max(1, int(sizes["w"] / 4))
+    # Only time that blocks cover counts; what lies before it is one bucket, and so is what lies behind.
+    top = (sizes["b"] - sizes["a"]) // width + 2
+
+    def bucket(c: str) -> Column:
+        return F.least(F.greatest(F.floor((F.col(c) - sizes["a"]) / F.lit(width)).cast("long") + 1, F.lit(0)), F.lit(top))
+
+    levels = dyadic.levels_for(top + 1)
+    mine = left.withColumns({"__from": bucket(obs), "__to": bucket(end)})
+    b = blocks.withColumns({"__b_from": bucket("block_start"), "__b_to": bucket("block_stop")})
+    used = dyadic.levels_for(int(blocks.agg(F.max(F.col("block_stop") - F.col("block_start"))).first()[0]) // width + 2)
+    starts = dyadic.points(mine, "__from", min(levels, used)).join(dyadic.spans(b, "__b_from", "__b_to + 1", levels), dyadic.RANGE)
+    inside = dyadic.spans(mine, "__from + 1", "__to + 1", levels).join(dyadic.points(b, "__b_from", levels), dyadic.RANGE)
+    hit = touches(F.col(obs), F.col(end), F.col("block_start"), F.col("block_stop"))
+    names = [*left.columns, *blocks.columns]
+    return starts.select(*names).unionAll(inside.select(*names)).where(hit)
 
-    def bucket(c: Column) -> Column:
-        return F.floor(c / F.lit(width)).cast("long")
 
-    mine = left.withColumns({"__from": bucket(F.col(obs)), "__to": bucket(F.col(end))}).withColumn(
-        "__bucket", F.explode(F.sequence("__from", "__to")))
-    b = blocks.where("block_start < block_stop").withColumn("__b_from", bucket(F.col("block_start")))
-    b = b.withColumn("__bucket", F.explode(F.sequence("__b_from", bucket(F.col("block_stop") - 1))))
-    hit = touches(F.col(obs), F.col(end), F.col("block_start"), F.col("block_stop"))
-    first = F.col("__bucket") == F.greatest("__from", "__b_from")
-    return mine.join(b, "__bucket").where(hit & first).drop("__bucket", "__from", "__to", "__b_from")
+def disjoint(dim: DataFrame, values: Sequence[str]) -> DataFrame:
+    """``dim`` as segments (start_ns, values and ``is_held``) that start where some interval starts or ends and
+    last until the next: of the intervals that hold a segment the one of latest start gives the values."""
+    rows = dim.select("start_ns", "end_ns", *values).where("start_ns is not null")
+    low, high = rows.agg(F.min("start_ns"), F.greatest(F.max("start_ns"), F.coalesce(F.max("end_ns"), F.max("start_ns")))).first()
+    low, high = low or 0, high or 0
+    levels = dyadic.levels_for(high - low + 2)
+    one = F.struct("start_ns", "end_ns", *values)
+    held = dyadic.spans(rows.select(one.alias("one")), f"one.start_ns - {low}L", f"coalesce(one.end_ns, {high + 1}L) - {low}L", levels)
+    best = held.groupBy(*dyadic.RANGE).agg(F.max("one").alias("one"))
+    edges = rows.select(F.explode(F.array("start_ns", "end_ns")).alias("at")).where("at is not null").distinct()
+    found = dyadic.points(edges, f"at - {low}L", levels).join(best, dyadic.RANGE, "left").groupBy("at").agg(F.max("one").alias("one"))
+    return found.select(F.col("at").alias("start_ns"), *[F.col(f"one.{v}").alias(v) for v in values], F.col("one").isNotNull().alias("is_held"))
 
 
 def effective_dated(
@@ -68,27 +90,28 @@ def effective_dated(
     prefix: str = "",
     strict: bool = False,
 ) -> DataFrame:
-    """Attach the dimension row whose [start_ns, end_ns) holds ``ts``.
+    """Attach the dimension row whose [start_ns, end_ns) holds ``ts``; of several the one of latest start.
 
     Rows before the first start take the first row, or get NULLs when ``strict``: check those with
     ``uncovered``. A small dimension goes along as one sorted array, so ``df`` is neither joined nor
-    shuffled; a larger one is met by an as-of join. Either way no pairs are formed.
+    shuffled; a larger one is cut into disjoint segments that an as-of join meets. Both give the same rows,
+    and no pairs are formed.
     """
-    rows = dim.select("start_ns", "end_ns", *values)
-    if is_small(dim):
+    rows = dim.select("start_ns", "end_ns", *values).where("start_ns is not null")
+    if is_small(rows):
         one = F.sort_array(F.collect_list(F.struct("start_ns", "end_ns", *values)))
         at, table = F.col(ts), F.col("__table")
         known = F.filter(table, lambda r: (r["start_ns"] <= at) & (r["end_ns"].isNull() | (at < r["end_ns"])))
         early = F.when(at < F.get(table, F.lit(0))["start_ns"], F.get(table, F.lit(0)))
-        hit = F.get(known, F.lit(0)) if strict else F.coalesce(F.get(known, F.lit(0)), early)
+        latest = F.get(known, F.size(known) - 1)
+        hit = latest if strict else F.coalesce(latest, early)
         out = df.withColumn("__table", rows.agg(one.alias("a")).scalar()).withColumn("__dim", hit)
         return out.select(*df.columns, *[F.col(f"__dim.{v}").alias(f"{prefix}{v}") for v in values])
-    first = rows.orderBy("start_ns").limit(1)
-    out = asof(df, rows, [], ts, "start_ns", [ts], ["start_ns"], ["start_ns", "end_ns", *values], prefix="__d_")
-    inside = F.col("__d_start_ns").isNotNull() & (F.col("__d_end_ns").isNull() | (F.col(ts) < F.col("__d_end_ns")))
+    first = rows.agg(F.min(F.struct("start_ns", "end_ns", *values)).alias("one")).select("one.*")
+    out = asof(df, disjoint(dim, values), [], ts, "start_ns", [ts], ["start_ns"], [*values, "is_held"], prefix="__d_")
 
     def value(v: str) -> Column:
-        here = F.when(inside, F.col(f"__d_{v}"))
+        here = F.when(F.col("__d_is_held"), F.col(f"__d_{v}"))
         if not strict:
             here = here.when(F.col(ts) < first.select("start_ns").scalar(), first.select(v).scalar())
         return here.alias(f"{prefix}{v}")

@@ -5,11 +5,12 @@ Every table carries ``run_id``: a parameter sweep is one job whose keys are (run
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tapeframe.operators.asof import asof
@@ -17,14 +18,14 @@ from tapeframe.operators.scan import (
     CHUNK,
     chunk_width,
     running,
-    running_count,
     running_last,
     running_sum,
 )
 from tapeframe.session import staged
 
 KEYS = ["run_id", "instrument_id"]
-FOLD_ROWS = 10_000
+#: Configurations that travel with a row as one array.
+SWEEP_BLOCK = 256
 
 
 def flat_signals(df: DataFrame, decision: str = "receive_timestamp_ns") -> DataFrame:
@@ -36,12 +37,27 @@ def flat_signals(df: DataFrame, decision: str = "receive_timestamp_ns") -> DataF
     )
 
 
-def sweep(df: DataFrame, configs: Sequence[dict]) -> DataFrame:
-    """Each row once per run configuration: an explode of a literal array, so nothing shuffles."""
-    if not configs or len(configs) > 10_000:
-        raise ValueError("a sweep takes between 1 and 10,000 configurations")
-    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in configs]))
-    return df.withColumn("__config", each).select(*df.columns, "__config.*")
+def sweep(df: DataFrame, configs: Sequence[dict] | DataFrame) -> DataFrame:
+    """Each row once per run configuration.
+
+    A table of configurations (one row each) may have any number of rows: the rows of ``df`` are copied
+    once per block of ``SWEEP_BLOCK`` configurations, and an equality join on the block opens them. A short
+    list of dicts goes along as a literal array instead, so nothing shuffles.
+    """
+    if not isinstance(configs, DataFrame):
+        if not configs:
+            raise ValueError("a sweep takes at least one configuration")
+        if len(configs) <= SWEEP_BLOCK:
+            each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in configs]))
+            return df.withColumn("__config", each).select(*df.columns, "__config.*")
+        configs = df.sparkSession.createDataFrame([Row(**c) for c in configs])
+    names = configs.columns
+    # Numbered by content: the number of a configuration is the same whenever the table is read.
+    blocks = max(1, -(-configs.count() // SWEEP_BLOCK))
+    block = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")
+    packed = configs.groupBy(block.alias("__block")).agg(F.collect_list(F.struct(*names)).alias("__configs"))
+    copies = df.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return copies.join(packed, "__block").withColumn("__config", F.explode("__configs")).select(*df.columns, "__config.*")
 
 
 def target_orders(signals: DataFrame, order: Sequence[str], price_scale: float = 100.0) -> DataFrame:
@@ -123,6 +139,28 @@ def quote_rejection() -> Column:
     )
 
 
+def _in_turn(columns: Sequence[str], group: Sequence[str], fraction: float, allow_partial: bool):
+    """Fold sorted orders, each taking from what its group has left; only that number is kept between rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = None, 0
+        for batch in batches:
+            keys = zip(*(batch.column(columns.index(c)).to_pylist() for c in group), strict=True)
+            wanted, depth = (batch.column(columns.index(c)).to_pylist() for c in ("quantity", "available_depth"))
+            before, fills = [], []
+            for key, quantity, displayed in zip(keys, wanted, depth, strict=True):
+                if key != now:
+                    now, left = key, displayed
+                room = int(left * fraction)
+                fill = max(0, min(quantity, room) if allow_partial else quantity if quantity <= room else 0)
+                before.append(left)
+                fills.append(fill)
+                left -= fill
+            out = [pa.array(before, pa.int64()) if c == "available_depth" else batch.column(k) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(fills, pa.int64())], names=[*columns, "fill_quantity"])
+
+    return run
+
+
 def allocate_depth(
     matched: DataFrame, order: Sequence[str], enforce: bool = True, allow_partial: bool = False,
     fraction: float = 1.0,
@@ -130,14 +168,18 @@ def allocate_depth(
     """``fill_quantity``, ``available_depth`` and ``rejection`` of orders that share a quote's depth.
 
     Orders on one (run, quote, side) take depth in turn; each may use ``int(remaining * fraction)``.
-    ``available_depth`` is what was left when an order's turn came. The turns are folded over arrays of at most ``FOLD_ROWS`` orders. A quote hit by more orders is
-    folded in rounds, each starting from the depth the last one left.
+    ``available_depth`` is what was left when an order's turn came.
+
+    Partial fills of all that is left are clipped prefix sums: a fill is what the quantities ahead of it
+    leave of the depth, so a quote that any number of orders meet is summed in chunks. In the other modes a
+    turn depends on which earlier orders were taken; sorted orders then stream through a fold that holds
+    one number, and nothing is collected per quote.
     """
     touch = F.when(F.col("side") == "buy", F.col("quote_ask")).otherwise(F.col("quote_bid"))
     depth = F.when(F.col("side") == "buy", F.col("quote_ask_quantity")).otherwise(
         F.col("quote_bid_quantity"))
     out = matched.withColumns(
-        {"__pre": quote_rejection(), "fill_price": touch, "available_depth": depth}
+        {"__pre": quote_rejection(), "fill_price": touch, "available_depth": depth.cast("long")}
     )
     if not enforce:
         return out.withColumns(
@@ -145,42 +187,18 @@ def allocate_depth(
              "fill_quantity": F.when(F.col("__pre").isNull(), F.col("quantity")).otherwise(0)}
         ).drop("__pre")
     group = ["run_id", "instrument_id", "quote_row", "side"]
-    live = out.where(F.col("__pre").isNull())
-    live = staged(
-        running(live, group, list(order), __turn=running_count()), "orders"
-    ).withColumn("__round", F.expr(f"(__turn - 1) div {FOLD_ROWS}")).drop("__turn")
-    rounds = live.agg(F.max("__round")).first()[0] or 0
-    at = F.struct(*[F.col(c) for c in order])
-    take = (
-        f"least(o.quantity, cast(floor(s.left * {fraction}D) as bigint))" if allow_partial else
-        f"if(o.quantity <= cast(floor(s.left * {fraction}D) as bigint), o.quantity, 0L)"
-    )
-    fold = f"""aggregate(__orders,
-        named_struct('left', __depth, 'fills', cast(array() as array<struct<fill:bigint,left:bigint>>)),
-        (s, o) -> named_struct('left', s.left - greatest({take}, 0L), 'fills',
-            concat(s.fills, array(named_struct('fill', greatest({take}, 0L), 'left', s.left)))))"""
-    done, left = None, None
-    for r in range(rounds + 1):
-        turn = live.where(F.col("__round") == r)
-        packed = turn.groupBy(*group).agg(
-            F.array_sort(F.collect_list(F.struct(at.alias("at"), "quantity"))).alias("__orders"),
-            F.max("available_depth").alias("__depth"),
-        )
-        if left is not None:
-            packed = packed.join(left, group, "left").withColumn(
-                "__depth", F.coalesce("__left", "__depth")
-            )
-        packed = packed.withColumn("__fold", F.expr(fold))
-        if rounds:
-            packed = staged(packed, "depth")
-            left = packed.select(*group, F.col("__fold.left").alias("__left"))
-        fills = packed.select(
-            *group, F.explode(F.arrays_zip("__orders", F.col("__fold.fills").alias("fill"))).alias("z")
-        ).select(*group, "z.__orders.at.*", F.col("z.fill.fill").alias("fill_quantity"),
-                 F.col("z.fill.left").alias("__left_then"))
-        done = fills if done is None else done.unionByName(fills)
-    filled = live.drop("__round").join(done, [*group, *order], "left").withColumn(
-        "available_depth", F.col("__left_then")).drop("__left_then")
+    out = staged(out, "matched")
+    live = out.where(F.col("__pre").isNull()).drop("__pre")
+    if allow_partial and fraction == 1.0:
+        ahead = running_sum(F.greatest("quantity", F.lit(0)), inclusive=False)
+        live = running(live, group, list(order), __ahead=ahead)
+        left = F.greatest(F.col("available_depth") - F.coalesce("__ahead", F.lit(0)), F.lit(0))
+        filled = live.withColumn("available_depth", left).withColumn(
+            "fill_quantity", F.greatest(F.least("quantity", "available_depth"), F.lit(0)).cast("long")).drop("__ahead")
+    else:
+        sized = live.withColumn("quantity", F.col("quantity").cast("long"))
+        filled = sized.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(
+            _in_turn(sized.columns, group, fraction, allow_partial), sized.schema.add("fill_quantity", "long"))
     short = F.lit("zero_depth" if allow_partial else "insufficient_depth")
     filled = filled.withColumn("rejection", F.when(F.col("fill_quantity") <= 0, short))
     dead = out.where(F.col("__pre").isNotNull()).withColumns(

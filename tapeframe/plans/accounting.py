@@ -57,6 +57,16 @@ def fee_schedule_join(spark, sf):
     )
 
 
+def overlapping_schedule_join(spark, sf):
+    """Fills beside dated rows that overlap and nest: of those that hold a fill the one of latest start counts."""
+    ns = "unix_micros(cast(ts as timestamp)) * 1000"
+    length = "(1 + event_id % 97) * 60000000000"
+    dim = views.table(spark, sf, "events").selectExpr(
+        f"{ns} + event_id % 1000 start_ns", f"if(event_id % 1000 = 0, null, {ns} + event_id % 1000 + {length}) end_ns", "event_id")
+    f = views.fills(spark, sf).select("fill_seq", "fill_timestamp_ns")
+    return effective_dated(f, dim, "fill_timestamp_ns", ["event_id"], strict=True)
+
+
 def spread_cost(spark, sf):
     return costs.with_spread_cost(views.fills(spark, sf)).select("fill_seq", "spread_cost")
 
@@ -129,8 +139,13 @@ def depth_allocation_all_or_none(spark, sf):
     return m.select("run_id", "instrument_id", "order_row", "fill_quantity", "rejection")
 
 
-def _fills(spark, sf):
-    m = ledger.allocate_depth(_matched(spark, sf), ["order_row"], enforce=False)
+UNLIMITED = {"enforce": False}
+PARTIAL = {"allow_partial": True}
+ALL_OR_NONE = {"fraction": 0.5}
+
+
+def _fills(spark, sf, limits=UNLIMITED):
+    m = ledger.allocate_depth(_matched(spark, sf), ["order_row"], **limits)
     f = m.where(F.col("rejection").isNull()).select(
         "run_id", "instrument_id", F.col("order_row").alias("fill_seq"),
         F.col("quote_row").alias("fill_row"), "fill_timestamp_ns", "side",
@@ -145,20 +160,34 @@ FILL_ORDER = ["fill_timestamp_ns", "fill_row", "fill_seq"]
 _COSTS = ["spread_cost", "slippage_cost", "exchange_fee", "regulatory_fee"]
 
 
-def _ledger(spark, sf):
-    return ledger.fill_ledger(_fills(spark, sf))
+def _ledger(spark, sf, limits=UNLIMITED):
+    return ledger.fill_ledger(_fills(spark, sf, limits))
 
 
-def fill_ledger(spark, sf):
-    out = _ledger(spark, sf).select(
+def fill_ledger(spark, sf, limits=UNLIMITED):
+    out = _ledger(spark, sf, limits).select(
         "run_id", "instrument_id", "fill_seq", "side", "quantity", "price", *_COSTS, "notional",
         "cash_delta",
     )
     return _round(_round(out, *_COSTS, digits=9), "notional", "cash_delta")
 
 
-def running_cash_position(spark, sf):
-    out = ledger.running_totals(_ledger(spark, sf), FILL_ORDER).select(
+def fill_ledger_limited(spark, sf):
+    """The ledger of fills that take what earlier orders left of the displayed depth."""
+    return fill_ledger(spark, sf, PARTIAL)
+
+
+def fill_ledger_all_or_none(spark, sf):
+    """The ledger of orders that half of the depth left can fill whole."""
+    return fill_ledger(spark, sf, ALL_OR_NONE)
+
+
+def running_cash_position_limited(spark, sf):
+    return running_cash_position(spark, sf, PARTIAL)
+
+
+def running_cash_position(spark, sf, limits=UNLIMITED):
+    out = ledger.running_totals(_ledger(spark, sf, limits), FILL_ORDER).select(
         "run_id", "instrument_id", "fill_seq", "position", "cash_flow", "turnover",
         "volume_traded", "cum_spread_cost", "cum_slippage_cost", "cum_exchange_fee",
         "cum_regulatory_fee",
@@ -180,16 +209,20 @@ def average_cost_pnl(spark, sf):
     return _round(out, "average_entry_price", "realized_delta", "realized_pnl", digits=3)
 
 
-def _equity(spark, sf):
+def _equity(spark, sf, limits=UNLIMITED):
     totals = ledger.average_cost(
-        ledger.running_totals(_ledger(spark, sf), FILL_ORDER), FILL_ORDER
+        ledger.running_totals(_ledger(spark, sf, limits), FILL_ORDER), FILL_ORDER
     )
     quotes = ledger.sweep(views.quotes(spark, sf), [{"run_id": r["run_id"]} for r in RUNS])
     return ledger.equity_curve(quotes, totals, CASH)
 
 
-def equity_curve(spark, sf):
-    out = _equity(spark, sf).select(
+def equity_curve_limited(spark, sf):
+    return equity_curve(spark, sf, PARTIAL)
+
+
+def equity_curve(spark, sf, limits=UNLIMITED):
+    out = _equity(spark, sf, limits).select(
         "run_id", "instrument_id", "sequence_num", "cash", "position", "market_mid_price",
         "portfolio_equity", "realized_pnl", "unrealized_pnl",
     )
@@ -198,9 +231,17 @@ def equity_curve(spark, sf):
     return _round(out.withColumns(shifted), *shifted, digits=3)
 
 
-def run_summary(spark, sf):
+def run_summary_limited(spark, sf):
+    return run_summary(spark, sf, PARTIAL)
+
+
+def run_summary_all_or_none(spark, sf):
+    return run_summary(spark, sf, ALL_OR_NONE)
+
+
+def run_summary(spark, sf, limits=UNLIMITED):
     out = ledger.run_summary(
-        _equity(spark, sf), ["receive_timestamp_ns", "sequence_num"], CASH
+        _equity(spark, sf, limits), ["receive_timestamp_ns", "sequence_num"], CASH
     ).select(
         "run_id", "instrument_id", "n_quotes", "position", "portfolio_equity", "turnover",
         "realized_pnl", "net_pnl", "total_friction", "gross_pnl",
@@ -382,7 +423,27 @@ matched as (
  from orders_ o asof left join quotes q on o.instrument_id = q.instrument_id
   and o.actionable_timestamp_ns <= q.receive_timestamp_ns)"""
 
-_LEDGER = _MATCH + f""", filled as (
+#: How orders take depth, each as the table ``taken``: ``matched`` with the quantity filled and the depth found.
+_TAKE_ALL = """, taken as (select * from matched where pre is null)"""
+_TAKE_LEFT = """, ahead as (select *, coalesce(sum(quantity) over (partition by run_id, instrument_id, quote_row, side
+  order by order_row rows between unbounded preceding and 1 preceding), 0) gone from matched where pre is null),
+taken as (select * replace (cast(greatest(0, least(quantity, available_depth - gone)) as bigint) as quantity,
+  cast(greatest(0, available_depth - gone) as bigint) as available_depth) from ahead where available_depth > gone)"""
+_TAKE_WHOLE = """, turns as (
+ select *, row_number() over (partition by run_id, instrument_id, quote_row, side order by order_row) rn
+ from matched where pre is null),
+walk as (
+ select t.* exclude (rn), rn, available_depth found, case when quantity <= available_depth // 2 then quantity else 0 end fill
+ from turns t where rn = 1
+ union all
+ select t.* exclude (rn), t.rn, w.found - w.fill, case when t.quantity <= (w.found - w.fill) // 2 then t.quantity else 0 end
+ from walk w join turns t on t.run_id = w.run_id and t.instrument_id = w.instrument_id
+  and t.quote_row = w.quote_row and t.side = w.side and t.rn = w.rn + 1),
+taken as (select * replace (cast(found as bigint) as available_depth) from walk where fill > 0)"""
+
+
+def _ledger_sql(take: str) -> str:
+    return _MATCH + take + f""", filled as (
  select run_id, instrument_id, order_row fill_seq, quote_row fill_row, fill_timestamp_ns, side,
   quantity, fill_price price,
   greatest(0, case when side = 'buy' then quote_ask - (quote_bid + quote_ask) / 2.0::double
@@ -394,7 +455,7 @@ _LEDGER = _MATCH + f""", filled as (
   0.0030::double * quantity exchange_fee,
   case when side = 'sell' then 0.0000080::double * (fill_price * quantity / 100.0::double)
    + least(0.000195::double * quantity, 9.79::double) else 0 end regulatory_fee
- from matched where pre is null),
+ from taken),
 led as (
  select *, case when side = 'buy' then quantity else -quantity end sq,
   price * quantity / 100.0::double notional,
@@ -403,13 +464,19 @@ led as (
    else price * quantity / 100.0::double - (slippage_cost + exchange_fee + regulatory_fee) end
    cash_delta from filled)"""
 
+
+_LEDGER = _ledger_sql(_TAKE_ALL)
+
 _MONEY_SUMS = ", ".join(
     f"cast(sum({c}::decimal(38, 12)) over w as double) {t}" for t, c in (
         ("cash_flow", "cash_delta"), ("turnover", "notional"), ("cum_spread_cost", "spread_cost"),
         ("cum_slippage_cost", "slippage_cost"), ("cum_exchange_fee", "exchange_fee"),
         ("cum_regulatory_fee", "regulatory_fee"))
 )
-_TOTALS = _LEDGER + f""", tot as (
+
+
+def _totals_sql(take: str) -> str:
+    return _ledger_sql(take) + f""", tot as (
  select *, cast(sum(sq) over w as bigint) position,
   cast(sum(quantity) over w as bigint) volume_traded, {_MONEY_SUMS},
   row_number() over w rn
@@ -436,11 +503,12 @@ def _walk_pnl(src: str, keys: str) -> str:
  from pnl w join {src} s on {same} and s.rn = w.rn + 1)"""
 
 
-_EQUITY = (
-    "with recursive " + _TOTALS
-    + ", steps as (select run_id, instrument_id, rn, sq, price / 100.0::double px from tot), "
-    + _walk_pnl("steps", "run_id, instrument_id")
-    + f""", state as (
+def _equity_sql(take: str) -> str:
+    return (
+        "with recursive " + _totals_sql(take)
+        + ", steps as (select run_id, instrument_id, rn, sq, price / 100.0::double px from tot), "
+        + _walk_pnl("steps", "run_id, instrument_id")
+        + f""", state as (
  select tot.*, pnl.entry, pnl.pnl from tot join pnl using (run_id, instrument_id, rn)),
 latest as (
  select run_id, instrument_id, fill_timestamp_ns, max(rn) rn from state group by 1, 2, 3),
@@ -459,15 +527,45 @@ eq as (
   coalesce(cum_spread_cost + cum_slippage_cost + cum_exchange_fee + cum_regulatory_fee, 0) friction
  from eq0 e left join state s on s.run_id = e.run_id and s.instrument_id = e.instrument_id
   and s.rn = e.rn)"""
-)
+    )
+
+
+def _ledger_oracles(take: str, suffix: str) -> dict[str, str]:
+    return {
+        f"fill_ledger{suffix}": f"""with recursive {_ledger_sql(take)} select run_id, instrument_id, fill_seq, side, quantity, price,
+ round(spread_cost, 9) spread_cost, round(slippage_cost, 9) slippage_cost,
+ round(exchange_fee, 9) exchange_fee, round(regulatory_fee, 9) regulatory_fee,
+ round(notional, 6) notional, round(cash_delta, 6) cash_delta from led""",
+        f"running_cash_position{suffix}": f"""with recursive {_totals_sql(take)} select run_id, instrument_id, fill_seq, position,
+ round(cash_flow, 3) cash_flow, round(turnover, 3) turnover, volume_traded,
+ round(cum_spread_cost, 6) cum_spread_cost, round(cum_slippage_cost, 6) cum_slippage_cost,
+ round(cum_exchange_fee, 6) cum_exchange_fee, round(cum_regulatory_fee, 8) cum_regulatory_fee
+ from tot""",
+        f"equity_curve{suffix}": _equity_sql(take) + """ select run_id, instrument_id, sequence_num, round(cash + 1e-7, 3) cash,
+ position, market_mid_price, round(cash + position * market_mid_price + 1e-7, 3) portfolio_equity,
+ round(realized_pnl + 1e-7, 3) realized_pnl, round(case when position <> 0 and market_mid_price > 0
+  then position * (market_mid_price - entry) else 0 end + 1e-7, 3) unrealized_pnl from eq""",
+        f"run_summary{suffix}": _equity_sql(take) + f""", fin as (select run_id, instrument_id, count(*) n_quotes,
+ arg_max(eq, receive_timestamp_ns) e from eq group by 1, 2)
+select run_id, instrument_id, n_quotes, e.position,
+ round(e.cash + e.position * e.market_mid_price, 3) portfolio_equity, round(e.turnover, 3) turnover,
+ round(e.realized_pnl, 3) realized_pnl,
+ round(e.cash + e.position * e.market_mid_price - {CASH}, 3) net_pnl,
+ round(e.friction, 3) total_friction,
+ round(e.cash + e.position * e.market_mid_price - {CASH} + e.friction, 3) gross_pnl from fin""",
+    }
+
 
 QUERIES = {
     f.__name__: f
     for f in (
-        eastern_dates, calendar_join, trade_date_resolution, fee_schedule_join, spread_cost,
+        eastern_dates, calendar_join, trade_date_resolution, fee_schedule_join,
+        overlapping_schedule_join, spread_cost,
         slippage_cost, regulatory_fees, signal_orders, order_quote_match, order_rejections,
-        depth_allocation_partial, depth_allocation_all_or_none, fill_ledger,
-        running_cash_position, average_cost_pnl, equity_curve, run_summary, flat_benchmark,
+        depth_allocation_partial, depth_allocation_all_or_none, fill_ledger, fill_ledger_limited,
+        fill_ledger_all_or_none, running_cash_position, running_cash_position_limited,
+        average_cost_pnl, equity_curve, equity_curve_limited, run_summary, run_summary_limited,
+        run_summary_all_or_none, flat_benchmark,
         strategy_signals, normalised_feed,
         signal_audit, order_audit, fill_audit,
     )
@@ -496,6 +594,13 @@ ORACLES = {
     "fee_schedule_join": f"with {FILLS}, {_SCHEDULE} select fill_seq, fill_timestamp_ns,"
     " start_date, sale_fee_rate, activity_fee_rate, activity_fee_max, 0.0030::double taker_fee"
     " from fills asof join schedule on fill_timestamp_ns >= start_ns",
+    "overlapping_schedule_join": f"""with {FILLS}, dim as (
+ select event_id, epoch_us(ts) * 1000 + event_id % 1000 start_ns, case when event_id % 1000 <> 0
+  then epoch_us(ts) * 1000 + event_id % 1000 + (1 + event_id % 97) * 60000000000 end end_ns from events),
+held as (
+ select fill_seq, arg_max(event_id, (start_ns, end_ns, event_id)) event_id from fills join dim
+ on start_ns <= fill_timestamp_ns and (end_ns is null or fill_timestamp_ns < end_ns) group by 1)
+select fill_seq, fill_timestamp_ns, event_id from fills left join held using (fill_seq)""",
     "spread_cost": f"""with {FILLS} select fill_seq, greatest(0, case when side = 'buy'
  then quote_ask - (quote_bid + quote_ask) / 2.0::double
  else (quote_bid + quote_ask) / 2.0::double - quote_bid end / 100.0::double * quantity)
@@ -536,15 +641,6 @@ walk as (
 select run_id, instrument_id, order_row, fill fill_quantity,
  case when fill <= 0 then 'insufficient_depth' end rejection from walk
 union all select run_id, instrument_id, order_row, 0, pre from matched where pre is not null""",
-    "fill_ledger": f"""with {_LEDGER} select run_id, instrument_id, fill_seq, side, quantity, price,
- round(spread_cost, 9) spread_cost, round(slippage_cost, 9) slippage_cost,
- round(exchange_fee, 9) exchange_fee, round(regulatory_fee, 9) regulatory_fee,
- round(notional, 6) notional, round(cash_delta, 6) cash_delta from led""",
-    "running_cash_position": f"""with {_TOTALS} select run_id, instrument_id, fill_seq, position,
- round(cash_flow, 3) cash_flow, round(turnover, 3) turnover, volume_traded,
- round(cum_spread_cost, 6) cum_spread_cost, round(cum_slippage_cost, 6) cum_slippage_cost,
- round(cum_exchange_fee, 6) cum_exchange_fee, round(cum_regulatory_fee, 8) cum_regulatory_fee
- from tot""",
     "average_cost_pnl": f"with recursive {FILLS}" + """, steps as (
  select instrument_id, fill_seq, row_number() over (partition by instrument_id
   order by fill_timestamp_ns, fill_seq) rn,
@@ -553,18 +649,6 @@ union all select run_id, instrument_id, order_row, 0, pre from matched where pre
 select instrument_id, fill_seq, pos position_after, round(entry, 3) average_entry_price,
  round(delta, 3) realized_delta, round(pnl, 3) realized_pnl
  from pnl join steps using (instrument_id, rn)""",
-    "equity_curve": _EQUITY + """ select run_id, instrument_id, sequence_num, round(cash + 1e-7, 3) cash,
- position, market_mid_price, round(cash + position * market_mid_price + 1e-7, 3) portfolio_equity,
- round(realized_pnl + 1e-7, 3) realized_pnl, round(case when position <> 0 and market_mid_price > 0
-  then position * (market_mid_price - entry) else 0 end + 1e-7, 3) unrealized_pnl from eq""",
-    "run_summary": _EQUITY + f""", fin as (select run_id, instrument_id, count(*) n_quotes,
- arg_max(eq, receive_timestamp_ns) e from eq group by 1, 2)
-select run_id, instrument_id, n_quotes, e.position,
- round(e.cash + e.position * e.market_mid_price, 3) portfolio_equity, round(e.turnover, 3) turnover,
- round(e.realized_pnl, 3) realized_pnl,
- round(e.cash + e.position * e.market_mid_price - {CASH}, 3) net_pnl,
- round(e.friction, 3) total_friction,
- round(e.cash + e.position * e.market_mid_price - {CASH} + e.friction, 3) gross_pnl from fin""",
     "strategy_signals": f"""with {VALID_QUOTES}, usual as (
  select sum(abs(best_bid_quantity - best_ask_quantity))::double / count(*) u from vq where is_valid),
 leaning as (select vq.*, case when is_valid and abs(best_bid_quantity - best_ask_quantity) >= u
@@ -603,3 +687,5 @@ select receive_timestamp_ns decision_timestamp_ns, instrument_id, d::tinyint dir
         ledger.ORDER_RULES,
     ),
 }
+for _take, _suffix in ((_TAKE_ALL, ""), (_TAKE_LEFT, "_limited"), (_TAKE_WHOLE, "_all_or_none")):
+    ORACLES.update({k: v for k, v in _ledger_oracles(_take, _suffix).items() if k in QUERIES})

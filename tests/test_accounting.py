@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.operators import calendar as cal
 from tapeframe.operators import costs, ledger
+from tapeframe.operators.scan import CHUNK_ROWS_CONF
 from tapeframe.session import inline_table
 
 ET = ZoneInfo("America/New_York")
@@ -130,9 +131,7 @@ def test_average_cost_matches_loop(spark, both_plans):
 
 @pytest.mark.parametrize("partial", [False, True])
 @pytest.mark.parametrize("fraction", [0.5, 1.0])
-@pytest.mark.parametrize("fold_rows", [10_000, 3])
-def test_depth_allocation_matches_loop(spark, monkeypatch, partial, fraction, fold_rows):
-    monkeypatch.setattr(ledger, "FOLD_ROWS", fold_rows)
+def test_depth_allocation_matches_loop(spark, both_plans, partial, fraction):
     rng = random.Random(5)
     rows, want = [], {}
     for quote in (1, 2, 3):
@@ -163,9 +162,57 @@ def test_zero_latency_order_meets_its_own_quote(spark):
     assert ledger.match_quotes(order, quotes, "row").first().quote_row == 2
 
 
-def test_sweep_bounds(spark):
+def test_sweeps(spark, monkeypatch):
     with pytest.raises(ValueError):
         ledger.sweep(spark.range(1), [])
+    configs = [{"run_id": r, "capital": r * 10.0} for r in range(7)]
+    want = sorted((i, r, r * 10.0) for i in range(3) for r in range(7))
+    assert sorted(map(tuple, ledger.sweep(spark.range(3), configs).collect())) == want
+    monkeypatch.setattr(ledger, "SWEEP_BLOCK", 2)
+    table = spark.createDataFrame([(c["run_id"], c["capital"]) for c in configs], "run_id long, capital double")
+    for some in (configs, table):
+        assert sorted(map(tuple, ledger.sweep(spark.range(3), some).collect())) == want
+    assert ledger.sweep(spark.range(3), table.where("run_id < 0")).collect() == []
+
+
+@pytest.mark.parametrize("partial, fraction", [(True, 1.0), (True, 0.25), (False, 1.0)])
+def test_a_quote_met_by_fifty_thousand_orders(spark, partial, fraction):
+    n, depth = 50_000, 200_000
+    rng = random.Random(9)
+    quantities = [rng.randint(1, 9) if i % 100 else 10_000 for i in range(n)]
+    rows = spark.createDataFrame(list(enumerate(quantities)), "order_row long, quantity long").selectExpr(
+        "1L run_id", "1L instrument_id", "order_row", "'sell' side", "quantity", "7L quote_row", "100L quote_bid",
+        f"{depth}L quote_bid_quantity", "101L quote_ask", "1L quote_ask_quantity")
+    want, left = [], depth
+    for q in quantities:
+        room = int(left * fraction)
+        fill = min(q, room) if partial else (q if q <= room else 0)
+        want.append((fill, left))
+        left -= fill
+    spark.conf.set(CHUNK_ROWS_CONF, "3000")
+    try:
+        got = ledger.allocate_depth(rows.repartition(5), ["order_row"], True, partial, fraction).collect()
+    finally:
+        spark.conf.unset(CHUNK_ROWS_CONF)
+    assert [(r.fill_quantity, r.available_depth) for r in sorted(got, key=lambda r: r.order_row)] == want
+
+
+def test_limited_fills_through_the_ledger(spark, both_plans):
+    """Two orders on one quote: the second gets what is left, and cash, position and profit follow the loop."""
+    orders = [(1, "buy", 40, 1), (2, "buy", 30, 1), (3, "sell", 90, 2), (4, "sell", 5, 2), (5, "buy", 20, 3)]
+    quotes = {1: (100, 50, 101, 60), 2: (104, 85, 105, 60), 3: (99, 10, 100, 10)}
+    rows = [(1, 1, r, side, q, k, k * 10**9, *quotes[k]) for r, side, q, k in orders]
+    df = spark.createDataFrame(
+        rows, "run_id long, instrument_id long, order_row long, side string, quantity long, quote_row long, fill_timestamp_ns long,"
+        " quote_bid long, quote_bid_quantity long, quote_ask long, quote_ask_quantity long")
+    got = ledger.allocate_depth(df, ["order_row"], allow_partial=True).where("rejection is null").selectExpr(
+        "run_id", "instrument_id", "order_row fill_seq", "quote_row fill_row", "fill_timestamp_ns", "side", "fill_quantity quantity",
+        "fill_price price", "0.0D spread_cost", "0.0D slippage_cost", "0.0D exchange_fee", "0.0D regulatory_fee")
+    order = ["fill_timestamp_ns", "fill_row", "fill_seq"]
+    out = ledger.average_cost(ledger.running_totals(ledger.fill_ledger(got), order), order).orderBy("fill_seq").collect()
+    assert [(r.fill_seq, r.quantity, r.position) for r in out] == [(1, 40, 40), (2, 20, 60), (3, 85, -25), (5, 10, -15)]
+    assert out[-1].cash_flow == pytest.approx(-60 * 1.01 + 85 * 1.04 - 10 * 1.00)
+    assert out[-1].realized_pnl == pytest.approx(60 * 0.03 + 10 * 0.04)
 
 
 def test_strict_schedule_leaves_early_rows_uncovered(spark):
@@ -210,3 +257,40 @@ def test_large_schedules_are_met_by_an_as_of_join(spark):
         top = frame.count() * 10
         for r in effective_dated(df.where(F.col("ts") < top), frame, "ts", ["rate"]).collect():
             assert r.rate == want(r.ts), r
+
+
+@pytest.mark.parametrize("n", [10, 256, 257, 3000])
+@pytest.mark.parametrize("strict", [False, True])
+def test_nested_schedules_have_one_rule(spark, n, strict):
+    """The interval of latest start that holds the time counts, however many rows the dimension has."""
+    from tapeframe.operators.intervals import effective_dated
+
+    rng = random.Random(n)
+    rows = []
+    for k in range(n):
+        start = rng.randrange(0, 4 * n)
+        rows.append((start, None if rng.random() < 0.01 else start + rng.randrange(0, 40 if k % 9 else 4 * n), k))
+    rows += [(5 * n, 5 * n + 100, n), (5 * n + 10, 5 * n + 20, n + 1)]
+    dim = spark.createDataFrame(rows, "start_ns long, end_ns long, k long")
+    order = lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])
+    times = [-1, *rng.sample(range(6 * n), min(6 * n, 300)), 5 * n + 15, 5 * n + 50]
+    got = effective_dated(spark.createDataFrame([(t,) for t in times], "ts long"), dim, "ts", ["k"], strict=strict).collect()
+    for r in got:
+        held = [x for x in rows if x[0] <= r.ts and (x[1] is None or r.ts < x[1])]
+        first = min(rows, key=order)
+        want = max(held, key=order)[2] if held else first[2] if r.ts < first[0] and not strict else None
+        assert r.k == want, r
+
+
+def test_overlap_join_matches_all_pairs(spark):
+    from tapeframe.operators.intervals import overlap_join
+
+    rng = random.Random(4)
+    labels = [(k, a, a + rng.choice([0, 3, 30, 5000])) for k in range(200) for a in [rng.randrange(-500, 3000)]] + [(999, -10**15, 10**15)]
+    blocks = [(j, a, a + rng.choice([0, 1, 40, 1500])) for j in range(30) for a in [rng.randrange(0, 2500)]]
+    got = overlap_join(spark.createDataFrame(labels, "k long, obs long, fin long"),
+                       spark.createDataFrame(blocks, "j long, block_start long, block_stop long"), "obs", "fin").collect()
+    want = sorted((k, j) for k, a, b in labels for j, c, d in blocks if c < d and a < d and b >= c)
+    assert sorted((r.k, r.j) for r in got) == want
+    none = spark.createDataFrame([], "j long, block_start long, block_stop long")
+    assert overlap_join(spark.createDataFrame(labels, "k long, obs long, fin long"), none, "obs", "fin").collect() == []
