@@ -16,8 +16,8 @@ them, as in difference-cover suffix sorting.
    those to the left, read backwards. Comparing adjacent prefixes gives each position a name for every depth.
 4. *Remaining suffixes.* The string that starts d bytes before a sampled position is named by the pair of the
    left name at depth d and the right name at depth ``length`` - d; it repeats if its pair is not alone. These
-   names are exact, bytes against bytes. Grams with too many different reaches for one task are split further:
-   their strings are grouped one by one, by 128-bit hashes.
+   names are exact, bytes against bytes. A gram with too many different reaches for one group is dealt over
+   several; strings that are alone in theirs are compared across groups by 128-bit hashes.
 
 Texts are read three times: for grams, for the bytes around the positions left in step 3, and for the removal.
 Equal texts are one text with a count, so a text that a third of the rows hold moves once.
@@ -50,8 +50,7 @@ class RepeatConfig:
     length: int = 200  #: bytes of a string that must not occur twice
     gram: int = 64  #: bytes of the gram that samples a position
     piece: int = 1 << 20  #: string starts that are looked at in one go
-    width: int = 1024  #: reaches of one gram that one task sorts; beyond, strings are grouped one by one
-    bucket: int = 4096  #: positions that one group sorts, on average
+    bucket: int = 4096  #: positions that one group sorts, on average; a gram with more reaches is dealt over groups
 
     @property
     def reach(self) -> int:
@@ -201,56 +200,65 @@ def _spans(table: pa.Table | pa.RecordBatch, row: np.ndarray, near: np.ndarray,
 
 
 _NAMES = ["size", "text_key", "start", "end"]
+_COLUMNS = [*_NAMES, "high", "low", "alone"]
 
 
 def _matrix(values: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint8).reshape(len(values), width)
 
 
+_STRINGS = f"{_SPANS}, high long, low long, alone boolean"
+
+
+def _digests(text: list[bytes], split: np.ndarray, row: np.ndarray, d: np.ndarray, length: int) -> np.ndarray:
+    """128-bit digests, as two numbers, of the strings that start d bytes before the positions of the rows."""
+    parts = zip(row.tolist(), (split[row] - d).tolist(), strict=True)
+    return np.frombuffer(b"".join(hashlib.blake2b(text[r][k:k + length], digest_size=16).digest() for r, k in parts), np.int64).reshape(-1, 2)
+
+
 def _sorted_spans(around: DataFrame, buckets: int, config: RepeatConfig) -> DataFrame:
-    """Spans of the repeated strings among positions whose grams each fit one task."""
+    """Spans of the repeated strings: a group sorts the positions of some grams, or a part of those of one gram.
 
+    What repeats inside a group is known there. Of a gram in several groups each also returns the strings it
+    holds, a row each: those that were alone repeat if another group has them too.
+    """
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         text, split = table.column("bytes").to_pylist(), table.column("split").to_numpy().astype(np.int64)
+        least, back = (table.column(c).to_numpy().astype(np.int64) for c in ("least", "back"))
         left = [t[:s][::-1] for t, s in zip(text, split.tolist(), strict=True)]
         right = [t[s:] for t, s in zip(text, split.tolist(), strict=True)]
         flags = repeated_starts(_matrix(left, config.reach), split, _matrix(right, config.length), np.array([len(x) for x in right]),
-                                table.column("least").to_numpy(), table.column("back").to_numpy(), config.length)
-        return pa.table(_spans(table, *_runs(flags), config.length), names=_NAMES)
-
-    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("bucket")
-    return around.where("not hot").groupBy(bucket).applyInArrow(run, _SPANS)
-
-
-def _hashed_spans(around: DataFrame, config: RepeatConfig) -> DataFrame:
-    """The same for grams with too many reaches: a row for each string."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.slice(i, 512)
-                get = lambda c, part=part: part.column(c).to_numpy().astype(np.int64)
-                least, back, split = get("least"), get("back"), get("split")
-                n = back - least + 1
-                row = np.repeat(np.arange(len(part)), n)
-                d = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + least[row]
-                text = part.column("bytes").to_pylist()
-                digest = np.frombuffer(b"".join(hashlib.blake2b(text[r][s - k:s - k + config.length], digest_size=16).digest()
-                                                for r, s, k in zip(row.tolist(), split[row].tolist(), d.tolist(), strict=True)), np.int64).reshape(-1, 2)
-                own = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([own.column("size"), own.column("text_key"), pa.array(get("place")[row] - d, pa.int32()),
-                                                  pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["size", "text_key", "start", "high", "low"])
-
-    strings = staged(around.where("hot").mapInArrow(run, "size int, text_key long, start int, high long, low long"), "strings")
-    twice = strings.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
-    return strings.join(twice, ["high", "low"]).select("size", "text_key", "start", (F.col("start") + config.length).cast("int").alias("end"))
+                                least, back, config.length)
+        found = _spans(table, *_runs(flags), config.length)
+        nothing = [pa.nulls(len(found[0]), t) for t in (pa.int64(), pa.int64(), pa.bool_())]
+        out = [pa.table([*found, *nothing], names=_COLUMNS)]
+        shared = table.column("parts").to_numpy() > 1
+        if shared.any():
+            place = np.arange(flags.shape[1])
+            row, d = np.nonzero(shared[:, None] & (least[:, None] <= place) & (place <= back[:, None]))
+            digest, alone = _digests(text, split, row, d, config.length), ~flags[row, d]
+            # Of strings that repeat here one row tells the other groups.
+            _, first = np.unique(digest, axis=0, return_index=True)
+            sent = alone.copy()
+            sent[first] = True
+            spans = _spans(table, row[sent], d[sent], d[sent], config.length)
+            out.append(pa.table([*spans, pa.array(digest[sent, 0]), pa.array(digest[sent, 1]), pa.array(alone[sent])], names=_COLUMNS))
+        return pa.concat_tables(out)
+
+    part = F.when(F.col("parts") > 1, F.xxhash64("gram", F.pmod(F.xxhash64("size", "text_key", "place"), F.col("parts")))).otherwise(
+        F.pmod(F.xxhash64("gram"), F.lit(buckets)))
+    found = staged(around.groupBy((F.col("parts") > 1).alias("is_part"), part.alias("part")).applyInArrow(run, _STRINGS), "strings")
+    strings = found.where("high is not null")
+    twice = staged(strings.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low"), "twice")
+    across = strings.where("alone").join(twice, ["high", "low"], "left_semi")
+    return found.where("high is null").select(*_NAMES).unionAll(across.select(*_NAMES))
 
 
 def _around(rows: DataFrame, asked: DataFrame, config: RepeatConfig) -> DataFrame:
     """The asked positions with the bytes around them; ``split`` bytes stand before the position."""
     texts = rows.where(F.col("size") >= config.length).groupBy("size", "text_key").agg(F.first("text").alias("text"))
-    fields = ["place", "back", "least", "gram", "hot"]
+    fields = ["place", "back", "least", "gram", "parts"]
     lists = asked.groupBy("size", "text_key").agg(F.collect_list(F.struct(*fields)).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,24 +277,24 @@ def _around(rows: DataFrame, asked: DataFrame, config: RepeatConfig) -> DataFram
                 names=["size", "text_key", *fields, "split", "bytes"])
 
     return texts.join(lists, ["size", "text_key"]).mapInArrow(
-        run, "size int, text_key long, place int, back short, least short, gram long, hot boolean, split int, bytes binary")
+        run, "size int, text_key long, place int, back short, least short, gram long, parts long, split int, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, config: RepeatConfig = RepeatConfig(), text: str = "text") -> DataFrame:
     """(size, text_key, start, end): byte spans of each text that repeated strings cover; they may overlap."""
     rows = _keyed(docs, text)
-    twice = grams(rows, config).where("n > 1").select("gram")
+    # Stored, so that the join below reads a table and may split a gram that fills a task.
+    twice = staged(grams(rows, config).where("n > 1").select("gram"), "grams")
     found = staged(positions(rows, config).join(twice, "gram"), "positions")
     first = F.min(F.struct("size", "text_key", "place", "back", "least")).alias("first")
     named = staged(found.groupBy("gram", "around").agg(F.count("*").alias("n"), first), "names")
-    whole = found.join(named.where("n > 1").select("gram", "around"), ["gram", "around"]).select(
+    whole = found.join(named.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select(
         "size", "text_key", (F.col("place") - F.col("back")).alias("start"), (F.col("place") - F.col("least") + config.length).alias("end"))
-    several = named.groupBy("gram").agg(F.count("*").alias("reaches")).where("reaches > 1")
-    asked = named.join(several, "gram").select("first.*", "gram", (F.col("reaches") > config.width).alias("hot"))
-    asked = staged(asked, "asked")
-    around = staged(_around(rows, asked, config), "around")
-    buckets = max(1, asked.where("not hot").count() // config.bucket)
-    return whole.unionAll(_sorted_spans(around, buckets, config)).unionAll(_hashed_spans(around, config))
+    several = staged(named.groupBy("gram").agg(F.count("*").alias("reaches")).where("reaches > 1"), "reaches")
+    parts = F.ceil(F.col("reaches") / config.bucket).cast("long").alias("parts")
+    asked = staged(named.join(several, "gram").select("first.*", "gram", parts), "asked")
+    buckets = max(1, asked.where("parts = 1").count() // config.bucket)
+    return whole.unionAll(_sorted_spans(_around(rows, asked, config), buckets, config))
 
 
 def _covered(spans: list, size: int) -> list[tuple[int, int]]:

@@ -11,7 +11,7 @@ from tapeframe.llm.suffixes import RepeatConfig
 
 from .odd_rows import ODD
 
-SMALL = RepeatConfig(length=12, gram=4, piece=64, width=6, bucket=8)
+SMALL = RepeatConfig(length=12, gram=4, piece=64, bucket=8)
 
 
 def plain(rows, length):
