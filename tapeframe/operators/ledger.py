@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeframe.operators.asof import asof
 from tapeframe.operators.scan import (
@@ -198,7 +199,8 @@ def allocate_depth(
     else:
         sized = live.withColumn("quantity", F.col("quantity").cast("long"))
         filled = sized.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(
-            _in_turn(sized.columns, group, fraction, allow_partial), sized.schema.add("fill_quantity", "long"))
+            _in_turn(sized.columns, group, fraction, allow_partial),
+            T.StructType([*sized.schema.fields, T.StructField("fill_quantity", T.LongType())]))
     short = F.lit("zero_depth" if allow_partial else "insufficient_depth")
     filled = filled.withColumn("rejection", F.when(F.col("fill_quantity") <= 0, short))
     dead = out.where(F.col("__pre").isNotNull()).withColumns(

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tapeframe import contracts
 from tapeframe.plans.duck import QUOTES, TRADES
 from tapeframe.session import fresh_folder
-from tapeframe.sources import lake, views
+from tapeframe.plans.stored import extract_and_store
+from tapeframe.sources import commits, lake, views
+from tapeframe.streaming import streams
 
 
 def _trades(spark, sf):
@@ -77,6 +79,87 @@ def integrity_audit(spark, sf):
     )
 
 
+def integrity_audit_damaged(spark, sf):
+    """A dataset of which three files went wrong after it was written: one is cut short, one is gone, one is new."""
+    root = fresh_folder(spark, "lake")
+    lake.write_dataset(_trades(spark, sf), root, "trades", partition_by=("instrument_id",))
+    fs = spark._jvm.org.apache.hadoop.fs
+    folder = fs.Path(f"{root}/trades/data")
+    store, keep = folder.getFileSystem(spark._jsc.hadoopConfiguration()), True
+
+    def only_file(instrument):
+        found = store.globStatus(fs.Path(folder, f"p_instrument_id={instrument}/*.parquet"))
+        return found[0].getPath()
+
+    util, conf = fs.FileUtil, spark._jsc.hadoopConfiguration()
+    util.copy(store, only_file(3), store, fs.Path(folder, "p_instrument_id=3/extra.parquet"), not keep, conf)
+    store.delete(only_file(2), False)
+    short = only_file(1)
+    store.delete(short, False)
+    out = store.create(short, True)
+    out.write(bytearray(b"PAR1"))
+    out.close()
+    return lake.verify_integrity(spark, root, "trades").groupBy(
+        F.regexp_extract("relative_path", r"p_instrument_id=(\d+)", 1).cast("long").alias("instrument_id")
+    ).agg(*[F.count_if(F.col(c)).alias(c) for c in _FLAGS])
+
+
+_FLAGS = ("is_missing", "is_unlisted", "size_mismatch", "checksum_mismatch", "row_mismatch")
+
+
+def _in_batches(spark, sf):
+    """Trades committed in four batches by sequence number, the second one twice."""
+    root, trades = fresh_folder(spark, "lake"), _trades(spark, sf)
+    for k in (0, 1, 1, 2, 3):
+        commits.commit(trades.where(F.pmod("sequence_num", F.lit(4)) == k), root, "trades", f"batch-{k}", provenance={"source": "events"})
+    return root
+
+
+def dataset_commits(spark, sf):
+    """Live batches of a dataset, from its log."""
+    return commits.batch_report(spark, _in_batches(spark, sf), "trades").select(
+        "batch", "record_count", "min_timestamp_ns", "max_timestamp_ns")
+
+
+def dataset_compaction(spark, sf):
+    """Rows read back after four batches became one."""
+    root = _in_batches(spark, sf)
+    commits.compact(spark, root, "trades", "compact-1")
+    return lake.read_dataset(spark, root, "trades")
+
+
+def _catalogued(spark, root, dataset_id):
+    """Catalog row beside the sums of the integrity audit."""
+    flags = lake.verify_integrity(spark, root, dataset_id).agg(
+        *[F.count_if(F.col(c)).alias(c) for c in _FLAGS]).selectExpr(f"{' + '.join(_FLAGS)} as n_faults")
+    row = lake.get_dataset(spark, root, dataset_id).select(
+        "dataset_id", "record_count", "min_timestamp_ns", "max_timestamp_ns",
+        F.array_join(F.col("instrument_ids").cast("array<string>"), ",").alias("instrument_ids"), F.size("dates").alias("n_dates"))
+    return row.withColumn("n_faults", flags.scalar())
+
+
+def compacted_catalog(spark, sf):
+    root = _in_batches(spark, sf)
+    commits.compact(spark, root, "trades", "compact-1")
+    return _catalogued(spark, root, "trades")
+
+
+def streamed_catalog(spark, sf):
+    """A dataset that a stream appended, as the catalog and the audit see it."""
+    base = fresh_folder(spark, "stream-lake")
+    lake.write_dataset(_trades(spark, sf), base, "source", partition_by=("date",))
+    stream = lake.stream_dataset(spark, base, "source", files_per_batch=10)
+    streams.append_to_lake(stream, base, "copy", f"{base}/checkpoint")
+    return _catalogued(spark, base, "copy")
+
+
+def stored_feature_catalog(spark, sf):
+    """A stored feature table, as the catalog and the audit see it."""
+    root = fresh_folder(spark, "features")
+    extract_and_store(views.quotes(spark, sf), root, "features")
+    return _catalogued(spark, root, "features").select("dataset_id", "record_count", "n_faults")
+
+
 def source_lineage(spark, sf):
     df = lake.lineage_of(views.table(spark, sf, "events"))
     return df.select(F.regexp_extract("source_file", r"([^/]+)$", 1).alias("file_name"), "n_rows")
@@ -144,7 +227,8 @@ QUERIES = {
     for f in (
         column_projection, dataset_roundtrip, partition_filtered_read, utc_dates, partition_stats,
         dataset_stats, file_manifest, dataset_catalog, integrity_audit, source_lineage,
-        manifest_audit, replay_upcast, conformance_report, table_concat,
+        manifest_audit, replay_upcast, conformance_report, table_concat, integrity_audit_damaged,
+        dataset_commits, dataset_compaction, compacted_catalog, streamed_catalog, stored_feature_catalog,
     )
 }
 
@@ -198,6 +282,20 @@ ORACLES = {
     "integrity_audit": "select cast(0 as bigint) is_missing, cast(0 as bigint) is_unlisted,"
     " cast(0 as bigint) size_mismatch, cast(0 as bigint) checksum_mismatch,"
     " cast(0 as bigint) row_mismatch",
+    "integrity_audit_damaged": f"""with {TRADES} select instrument_id,
+ count(distinct case when instrument_id = 2 then 1 end) is_missing,
+ count(distinct case when instrument_id = 3 then 1 end) is_unlisted,
+ count(distinct case when instrument_id = 1 then 1 end) size_mismatch,
+ count(distinct case when instrument_id = 1 then 1 end) checksum_mismatch,
+ count(distinct case when instrument_id in (1, 2) then 1 end) row_mismatch from trades group by 1""",
+    "dataset_commits": f"""with {TRADES} select 'batch-' || (sequence_num % 4) batch, count(*) record_count,
+ min(source_timestamp_ns) min_timestamp_ns, max(source_timestamp_ns) max_timestamp_ns from trades group by 1""",
+    "dataset_compaction": f"with {TRADES} select * from trades",
+    **{name: f"""with {TRADES} select '{dataset}' dataset_id, count(*) record_count, min(source_timestamp_ns) min_timestamp_ns,
+ max(source_timestamp_ns) max_timestamp_ns, (select string_agg(i::varchar, ',' order by i) from (select distinct instrument_id i from trades)) instrument_ids,
+ cast(count(distinct cast(make_timestamp(source_timestamp_ns // 1000) as date)) as integer) n_dates, cast(0 as bigint) n_faults from trades"""
+       for name, dataset in (("compacted_catalog", "trades"), ("streamed_catalog", "copy"))},
+    "stored_feature_catalog": f"with {QUOTES} select 'features' dataset_id, count(*) record_count, cast(0 as bigint) n_faults from quotes",
     "source_lineage": "select 'events.parquet' file_name, count(*) n_rows from events",
     "manifest_audit": f"""with {_STATS}, files as (
  select instrument_id i, 'ds' || instrument_id dataset_id,

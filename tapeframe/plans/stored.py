@@ -8,25 +8,18 @@ from pyspark.sql import functions as F
 from tapeframe.contracts import FEATURES
 from tapeframe.operators.features import FeatureConfig, extract_features
 from tapeframe.operators.splits import with_point_in_time_flags
-from tapeframe.sources import lake
+from tapeframe.sources import commits, lake
 
 
 def extract_and_store(
-    tape: DataFrame, root: str, dataset_id: str, config: FeatureConfig = FeatureConfig()
+    tape: DataFrame, root: str, dataset_id: str, config: FeatureConfig = FeatureConfig(), batch: str = "features"
 ) -> DataFrame:
-    """Features of a tape, stored under their contract, with the point-in-time audit of what was stored.
+    """Features of a tape, committed under their contract as one batch, with the point-in-time audit of what is stored.
 
     The audit takes the receive time as availability, so a row used before it arrived is found.
     """
-    stored = lake.with_date(extract_features(tape, config), "event_timestamp_ns")
-    order = ["p_date", "instrument_id", "event_timestamp_ns", "sequence_num"]
-    path = f"{root}/{dataset_id}"
-    (
-        stored.withColumnRenamed("date", "p_date").repartitionByRange(*order)
-        .sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd")
-        .partitionBy("p_date").parquet(f"{path}/data")
-    )
-    rows = lake.contracted(tape.sparkSession.read.parquet(f"{path}/data"), FEATURES)
+    commits.commit(extract_features(tape, config), root, dataset_id, batch, FEATURES, provenance={"operator": "extract_features"})
+    rows = lake.contracted(lake.read_dataset(tape.sparkSession, root, dataset_id), FEATURES)
     return with_point_in_time_flags(
         rows, "event_timestamp_ns", "source_timestamp_ns", "decision_timestamp_ns"
     ).agg(

@@ -203,22 +203,24 @@ def _data(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/data")
 
 
-def _relative(path: Column) -> Column:
+def relative_path(path: Column) -> Column:
     """Path below ``data/``; URI escapes are undone so both readers agree."""
     return F.regexp_replace(F.url_decode(path), r"^.*/data/", "")
 
 
-def file_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Actual files of a dataset: size, SHA-256 and row statistics, from the files themselves."""
+def file_facts(spark: SparkSession, path: str, below: str = "", data: DataFrame | None = None) -> DataFrame:
+    """Actual files of a dataset: size, SHA-256 and row statistics, from the files themselves; ``below``
+    limits them to one folder, whose rows are ``data``. A file that cannot be read has no row statistics."""
     ts, seq = STAMPS
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true").load(f"{path}/data")
-        .select(_relative(F.col("path")).alias("relative_path"), F.col("length").alias("byte_size"),
+        .option("recursiveFileLookup", "true").load(f"{path}/data/{below}".rstrip("/"))
+        .select(relative_path(F.col("path")).alias("relative_path"), F.col("length").alias("byte_size"),
                 F.sha2("content", 256).alias("sha256_checksum"))
     )
-    data = _data(spark, path)
-    rows = data.groupBy(_relative(F.col("_metadata.file_path")).alias("relative_path")).agg(
+    data = _data(spark, path) if data is None else data
+    ts, seq = (F.col(c) if c in data.columns else F.lit(None).cast("long") for c in (ts, seq))
+    rows = data.groupBy(relative_path(F.col("_metadata.file_path")).alias("relative_path")).agg(
         F.count(F.lit(1)).alias("record_count"),
         F.min(ts).alias("min_timestamp_ns"), F.max(ts).alias("max_timestamp_ns"),
         F.min(seq).alias("min_sequence"), F.max(seq).alias("max_sequence"),
@@ -261,8 +263,12 @@ def read_dataset(
     spark: SparkSession, root: str, dataset_id: str, columns: Sequence[str] | None = None,
     partitions: dict[str, object] | None = None,
 ) -> DataFrame:
-    """Dataset rows with column and partition pruning; an unknown partition key is an error."""
-    df = _data(spark, f"{root}/{dataset_id}")
+    """Dataset rows with column and partition pruning; an unknown partition key is an error. Of a dataset
+    with a commit log only live batches are read."""
+    from tapeframe.sources import commits
+
+    path = f"{root}/{dataset_id}"
+    df = commits.read_committed(spark, path) if commits.has_log(spark, path) else _data(spark, path)
     dirs = [c for c in df.columns if c.startswith(KEY_PREFIX)]
     for key, value in (partitions or {}).items():
         if KEY_PREFIX + key not in dirs:
@@ -338,12 +344,21 @@ def manifest_audit(manifests: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def verify_integrity(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
-    """Files against the manifest: one row per file with a flag per difference."""
+    """Files against the manifest: one row per file with a flag per difference. Files that cannot be read
+    as Parquet count as without rows."""
+    from tapeframe.sources import commits
+
     path = f"{root}/{dataset_id}"
+    data = spark.read.option("ignoreCorruptFiles", "true").schema(_data(spark, path).schema).parquet(f"{path}/data")
+    replaced = F.lit(False)
+    if commits.has_log(spark, path):
+        old = commits.entries(spark, path).where("relative_path is not null").select("relative_path", "batch")
+        replaced = F.regexp_extract("relative_path", f"^{commits.BATCH_DIR}=([^/]*)", 1).isin(
+            [r.batch for r in old.where(~F.col("batch").isin(commits.live_batches(spark, path))).select("batch").distinct().collect()])
     want = spark.read.schema(FILE_SCHEMA).parquet(f"{path}/files").select(
         "relative_path", "record_count", "byte_size", "sha256_checksum"
     )
-    have = file_facts(spark, path).select(
+    have = file_facts(spark, path, data=data).where(~replaced).select(
         "relative_path", F.col("record_count").alias("actual_count"),
         F.col("byte_size").alias("actual_size"), F.col("sha256_checksum").alias("actual_sha"),
     )

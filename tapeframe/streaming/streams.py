@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tapeframe.operators.features import FeatureConfig, with_quote_validity, with_spread_mid
 from tapeframe.operators.quoting import QuotingConfig, quote_decisions
 from tapeframe.session import STATE_STORE, fresh_folder
-from tapeframe.sources import lake
+from tapeframe.sources import commits, lake
 from tapeframe.streaming.processors import BookKeeper, LateGuard, QuoteFeatures, SequenceGuard
 
 
@@ -144,28 +144,24 @@ def run_in_steps(
 
 def append_to_lake(
     stream: DataFrame, root: str, dataset_id: str, checkpoint: str,
-    partition_by: Sequence[str] = ("date",),
+    partition_by: Sequence[str] = ("date",), provenance: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Append each micro-batch to a dataset and log its audit row; returns the audit log.
+    """Append each micro-batch to a dataset as a commit and log its audit row; returns the audit log.
 
-    A batch replayed after a failure overwrites its own folder, so rows are written once.
+    A batch replayed after a failure is written once: by its log entry, or else over its own half-written
+    folder. The dataset has a manifest after every batch.
     """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        dirs = {f"{lake.KEY_PREFIX}{k}": F.col(k) for k in partition_by}
+        name = f"{batch_id:012d}"
+        if commits.is_committed(spark, f"{root}/{dataset_id}", name):
+            return
         kept = batch.persist()
-        layout = lake.with_date(kept) if "date" in partition_by else kept
-        (
-            layout.withColumns(dirs).drop("date")
-            .withColumn(f"{lake.KEY_PREFIX}batch", F.lit(batch_id))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .option("compression", "zstd")
-            .partitionBy(f"{lake.KEY_PREFIX}batch", *dirs).parquet(f"{root}/{dataset_id}/data")
-        )
         lake.partition_stats(kept, ["instrument_id"]).withColumn(
             "batch_id", F.lit(batch_id)
         ).write.mode("overwrite").parquet(f"{root}/{dataset_id}/audit/batch={batch_id}")
+        commits.commit(kept, root, dataset_id, name, partition_by=partition_by, provenance=provenance)
         kept.unpersist()
 
     query = (
