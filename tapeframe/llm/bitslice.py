@@ -8,12 +8,14 @@ at most a bound. From the most significant slice downward the k-th largest appro
 all rows within the bound of it, the boundary, are scored exactly, so the result is exact.
 
 Queries and rows meet in a grid: rows are dealt over row cells, queries over query cells, and a task
-holds one of each, both of bounded size. Each returns the best k of a query in its cell.
-
-Defined results: a vector that is null, holds a null or a value that is not finite, or has a component
-of 2**20 or more in size, takes no part; neither does a row without id. Vectors of other length than
-the query's are no candidates for it. Of rows that repeat an id the least vector stands for it. Fewer
-candidates than k give all; an empty table gives no rows; extra columns are ignored.
+holds one of each, both of bounded size; there are at least as many pairs of cells as cores, if there are
+queries enough. Each returns the best k of a query in its cell.
+
+Defined results: a vector that is null or holds a null or a value that is not finite takes no part;
+neither does a row without id. Vectors of other length than the query's are no candidates for it. Rows that
+repeat an id are rows of their own, as queries and as candidates. Fewer candidates than k give all; an empty
+table gives no rows; extra columns are ignored. Components of any size are exact (in Python integers, where
+64 bits do not hold a sum); a score among the best that does not fit a long is an error.
 """
 
 from __future__ import annotations
@@ -33,16 +35,28 @@ class SearchConfig:
     k: int = 10
     scale: int = 1024  #: components become floor(scale * x)
     slices: int = 6  #: leading bits of a component that are indexed
-    rows: int = 1 << 15  #: vectors of a row cell
-    queries: int = 1 << 11  #: queries of a query cell
+    cell_bytes: int = 1 << 24  #: of the vectors of a row cell, at 8 bytes a component
+    queries: int = 1 << 11  #: queries of a query cell at most
+
+
+def integers(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), as int64 or, where that is too small, as Python integers."""
+    scaled = np.floor(values * float(scale))
+    if np.abs(scaled).max(initial=0) < 1 << 61:
+        return scaled.astype(np.int64)
+    if not np.isfinite(scaled).all():
+        raise OverflowError("a scaled component is no double")
+    return np.array([int(x) for x in scaled.ravel()], object).reshape(scaled.shape)
 
 
 class Cell:
-    """The index of up to ``rows`` vectors of equal length."""
+    """The index of some vectors of equal length; ``ids`` are row numbers."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, config: SearchConfig):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, config: SearchConfig, order: np.ndarray | None = None):
         self.config, self.ids, self.vectors = config, ids, vectors
+        self.order = (ids if order is None else order).tolist()  # of rows with equal scores
         n, self.dims = vectors.shape
+        self.most = int(np.abs(vectors).max()) if vectors.size else 0
         self.low = int(vectors.min()) if vectors.size else 0
         bits = max(1, (int(vectors.max()) - self.low if vectors.size else 0).bit_length())
         self.shift = max(0, bits - config.slices)
@@ -70,7 +84,7 @@ class Cell:
         return total
 
     def search(self, query: np.ndarray, own: int) -> list[tuple[int, int]]:
-        """(score, id) of the best k rows other than ``own``."""
+        """(score, place in the cell) of the best k rows other than ``own``."""
         k = self.config.k
         among = self.alive
         mine = np.flatnonzero(self.ids == own)
@@ -81,12 +95,14 @@ class Cell:
         total = self.approximate(query)
         least = kth_largest(total, among, k)
         # A row's exact score minus its approximate one lies between 0 and this, after a common shift.
-        slack = int(np.abs(query).sum()) * ((1 << self.shift) - 1)
+        size = sum(abs(int(x)) for x in query)
+        slack = size * ((1 << self.shift) - 1)
         boundary = at_least(total, among, least - (-(-slack >> self.shift)))
         rows = np.flatnonzero(np.unpackbits(boundary.view(np.uint8), bitorder="little"))
-        scores = self.vectors[rows] @ query
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return list(zip(scores[best].tolist(), self.ids[rows[best]].tolist(), strict=True))
+        near = self.vectors[rows]
+        scores = (near @ query if size * self.most < 1 << 63 else near.astype(object) @ query.astype(object)).tolist()
+        best = sorted(range(len(rows)), key=lambda i: (-scores[i], self.order[rows[i]]))[:k]
+        return [(scores[i], int(rows[i])) for i in best]
 
 
 def add(total: list[np.ndarray], part: np.ndarray, at: int) -> None:
@@ -148,39 +164,41 @@ def at_least(total: list[np.ndarray], among: np.ndarray, bound: int) -> np.ndarr
     return above | tied
 
 
-_COMPONENTS = "transform(embedding, x -> cast(floor({scale} * cast(x as double)) as bigint))"
-
-
 def top_k(vectors: DataFrame, is_query: F.Column, config: SearchConfig = SearchConfig(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k rows of largest score for every query row.
 
     ``is_query`` is a condition on ``vec_id``. Ties go to the smaller id.
     """
-    clean = (vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-             .where("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and abs(x) < 1048576)"))
-    rows = staged(clean.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-                  .select("vec_id", F.size("embedding").alias("dims"), F.expr(_COMPONENTS.format(scale=config.scale)).alias("v")), "vectors")
+    clean = (vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+             .where("vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"))
+    # Stored, so that the row numbers stay the same for all readers.
+    rows = staged(clean.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("dims"), "v"), "vectors")
     asked = rows.where(is_query)
-    n, m = rows.count(), asked.count()
-    across, down = max(1, -(-n // config.rows)), max(1, -(-m // config.queries))
-    deal = lambda cells: F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int")
-    left = rows.select("dims", "vec_id", "v", deal(across).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("c"))
-    right = asked.select("dims", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("r"), deal(down).alias("c"))
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("vec_id").to_numpy()
-        return ids, table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(ids), -1)
+    n, m, dims = rows.agg(F.count("*"), F.count_if(is_query), F.max("dims")).first()
+    across = max(1, -(-n * max(dims or 1, 1) * 8 // config.cell_bytes))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    down = max(1, -(-m // config.queries), min(-(-cores // across), m // 16))
+    deal = lambda cells: F.pmod(F.xxhash64("row"), F.lit(cells)).cast("int")
+    left = rows.select("dims", "row", "vec_id", "v", deal(across).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("c"))
+    right = asked.select("dims", "row", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("r"), deal(down).alias("c"))
+
+    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = table.column("row").to_numpy()
+        values = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return row, table.column("vec_id").to_numpy(), integers(values.reshape(len(row), -1), config.scale)
 
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
         if len(candidates) and len(queries):
-            cell = Cell(*matrix(candidates), config)
-            for own, query in zip(*matrix(queries), strict=True):
-                out += [(int(own), i, s) for s, i in cell.search(query, own)]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+            row, ids, v = matrix(candidates)
+            cell = Cell(row, v, config, ids)
+            for own, query_id, query in zip(*matrix(queries), strict=True):
+                out += [(int(own), int(query_id), int(ids[i]), s) for s, i in cell.search(query, own)]
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        # A score beyond 64 bits stops here with an error.
+        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("query_row", "query_id", "vec_id", "score"), columns, strict=True)})
 
     keys = ["dims", "r", "c"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= config.k).select("query_id", "rank", "vec_id", "score")

@@ -26,15 +26,13 @@ def op1_bit_sliced_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 OP1 = """
 with v as (
-  select vec_id, list_transform(min(embedding), lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
-  where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, lambda x: x is null or not isfinite(x) or abs(cast(x as double)) >= 1048576)) = 0
-  group by vec_id
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, r.vec_id, cast(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) as bigint) as score
-  from v q join v r on q.vec_id % 100 = 0 and q.vec_id <> r.vec_id and len(q.v) = len(r.v)
+  select q.n, q.vec_id as query_id, r.vec_id, cast(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v r on q.vec_id % 100 = 0 and q.n <> r.n and len(q.v) = len(r.v)
 )
-select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+select query_id, cast(row_number() over (partition by n order by score desc, vec_id) as integer) as rank, vec_id, score
 from scored qualify rank <= 10
 """
 
