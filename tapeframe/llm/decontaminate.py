@@ -1,28 +1,32 @@
 """Benchmark decontamination: random-walk embeddings, bit-sampling LSH, exact edit verification.
 
-Texts and items are lower-cased words (runs of letters and digits). A random walk over the words from a
-window's start emits one word per step and, by a random bit of step and word, moves on or stays. Two
-windows at a small edit distance fall back into step, so their emitted sequences differ in few places
-(edit distance becomes Hamming distance). A repetition samples some of the steps; the sampled words are
-the bucket key. Windows start at anchors, the words of least hash in any few consecutive ones, so item
-and document agree on the starts inside an unedited stretch.
-
-Every hit names an item-sized stretch of the document. It counts if the item is within
-``max_distance`` of its own length, in characters, of some substring there: exact edit distance, by
-bit-parallel dynamic programming. Keys of chance cost time, never a wrong row.
-
-Recall under the default settings, measured on items with random edits that stay within
-``max_distance``: over 0.99 with one word in ten replaced, dropped or added, over 0.9 with one character
-in twenty replaced. An unedited copy is never missed.
+Texts and items are lower-cased words (runs of letters and digits) joined by one space, as bytes. A random
+walk (CGK) from a window's start emits one byte per step and, by a random bit of step and byte, moves on or
+stays. Two windows at a small edit distance fall back into step, so their emitted sequences differ in few
+places: edit distance becomes Hamming distance. A repetition has its own random bits and samples some of the
+steps; the sampled bytes are the bucket key. Windows start at anchors, places whose two bytes fall into a
+fixed class, so item and document agree on them wherever these bytes are unedited.
+
+An item of n characters is embedded by windows over its whole length. It is a candidate where windows from
+two places of it meet the document in one item-sized stretch, at starts that differ by no more edits than
+allowed. The length of the walks and the number of repetitions are not fixed: for every size class of items
+the most selective ones are taken whose recall, tried on edited copies of the class's own items at
+``max_distance``, is ``recall`` or more. (One walk over a whole item does not reach it: at one edit in five
+characters two such walks are out of step for good, and what they emit agrees as little as chance.)
+
+A candidate counts if the item is within ``max_distance`` of its own length, in characters, of some
+substring of the stretch: exact edit distance, by bit-parallel dynamic programming. Keys of chance cost
+time, never a wrong row. An unedited copy is never missed.
 
 Defined results: null and empty texts and items without a word match nothing; an item of few words is
-matched whole, by shorter windows; rows that repeat are reported alike; equal item_ids with other texts
-are further items of that id; a null doc_id is kept; an empty benchmark leaves every document clean;
-extra columns are ignored by ``matches`` and passed through by ``clean``.
+matched by shorter windows, a single one being enough; rows that repeat are reported alike; equal item_ids
+with other texts are further items of that id; a null doc_id is kept; an empty benchmark leaves every
+document clean; extra columns are ignored by ``matches`` and passed through by ``clean``.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,76 +37,81 @@ from pyspark.sql import functions as F
 
 from tapeframe.llm import arrays
 
-
-#: Bits of a key that a first look-up takes, before the exact one.
-_SEEN = 1 << 17
+_SPACE = 32
+#: Slots of the first look-up, by the bytes that all walks of a repetition sample first.
+_SEEN_BITS = 20
+_HEAD_STEPS, _HEAD = 12, 4
+#: (steps, repetitions) of a size class, the most selective first.
+_DESIGNS = ((64, 2), (64, 3), (64, 4), (48, 3), (48, 4), (40, 3), (40, 4), (32, 3), (32, 4), (28, 3), (28, 4), (24, 3), (20, 3), (16, 3), (16, 4))
 
 
 @dataclass(frozen=True)
 class LeakConfig:
     max_distance: float = 0.2  #: edits per character of the item
-    repetitions: int = 8  #: walks with their own random bits and sampled steps
-    window: int = 8  #: words of the longest window; shorter items use a half, a quarter and so on
-    anchor: int = 3  #: of so many consecutive words, the one of least hash starts a window
-    samples: int = 6  #: sampled steps of a walk, one from each of as many equal parts
+    recall: float = 0.9  #: of items with as many random edits as ``max_distance`` allows
+    anchor: int = 4  #: one in so many places starts a window
+    samples: int = 8  #: sampled steps of a walk
+    trials: int = 96  #: edited copies that a design is tried on; they set the walks, never what counts
     block_bytes: int = 4 << 20  #: benchmark text that one pass over the documents holds in memory
 
 
-def _sizes(words: int, config: LeakConfig) -> int:
-    """The window of an item: at most half of it, so that an anchor leaves room for one."""
-    size = config.window
-    while size > 1 and 2 * size - 1 > words:
-        size //= 2
-    return size
-
-
-def anchors(key: np.ndarray, row: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the least key (all, if equal) in any ``width`` consecutive words of a row."""
-    n = len(key)
-    if width == 1 or n < width:
-        return np.arange(n if width == 1 else 0)
-    # Least keys of windows of 1, 2, 4, ... words, joined to those of ``width`` words.
-    least, span = key, 1
-    while 2 * span <= width:
-        least, span = np.minimum(least[:-span], least[span:]), 2 * span
-    if span < width:
-        least = np.minimum(least[:len(least) - (width - span)], least[width - span:])
-    whole = row[:len(least)] == row[width - 1:]
-    picked = np.zeros(n, bool)
-    for d in range(width):
-        picked[d:d + len(least)] |= (key[d:d + len(least)] == least) & whole
-    return np.flatnonzero(picked)
-
-
-def _sampled(size: int, repetition: int, config: LeakConfig) -> set[int]:
-    random = np.random.default_rng([repetition, size])
-    return {int(random.choice(part)) for part in np.array_split(np.arange(size), min(size, config.samples))}
-
-
-def walk_keys(key: np.ndarray, start: np.ndarray, sizes: list[int], repetition: int, config: LeakConfig) -> dict[int, tuple]:
-    """Window size to (bucket keys, words passed) of the windows at ``start``; a window of n words is walked n steps."""
-    sampled = {size: _sampled(size, repetition, config) for size in sizes}
+def normal(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): the words of each lower-cased text, a space after each."""
+    raw, at = arrays.buffers(texts)
+    row, start, end = arrays.spans(raw, at, arrays.ALNUM)
+    place = np.concatenate([[0], np.cumsum(end - start + 1)])
+    out = np.full(place[-1], _SPACE, np.uint8)
+    inside = np.flatnonzero(arrays.ALNUM[raw])
+    out[inside + np.repeat(place[:-1] - start, end - start)] = raw[inside]
+    return out, place[np.searchsorted(row, np.arange(len(at)))]
+
+
+def anchors(text: np.ndarray, one_in: int) -> np.ndarray:
+    """The places where two bytes of a fixed class start; all, if ``one_in`` is 1."""
+    if one_in == 1:
+        return np.arange(len(text))
+    chosen = arrays.seeds(1 << 16, 3) % np.uint64(one_in) == 0
+    return np.flatnonzero(chosen[text[:-1].astype(np.int64) << 8 | text[1:]]) if len(text) else np.zeros(0, np.int64)
+
+
+def _steps(steps: int, repetition: int, config: LeakConfig) -> list[int]:
+    """The sampled steps: the first few are the same for walks of every length."""
+    head = np.random.default_rng([repetition, 0])
+    tail = np.random.default_rng([repetition, steps])
+    rest = np.array_split(np.arange(_HEAD_STEPS, steps), config.samples - _HEAD)
+    return [int(head.choice(x)) for x in np.array_split(np.arange(_HEAD_STEPS), _HEAD)] + [int(tail.choice(x)) for x in rest if len(x)]
+
+
+def walk(text: np.ndarray, start: np.ndarray, lengths: list[int], repetition: int, config: LeakConfig,
+         seen: np.ndarray | None = None) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """(kept, keys, ends) of the windows at ``start``: for each length of walk the sampled bytes as one number and
+    the last place sampled. With ``seen`` only windows are kept whose first samples it knows."""
+    bits = (arrays.seeds(256 * max(lengths), 1000 + repetition) >> np.uint64(17) & np.uint64(1)).astype(np.int64).reshape(-1, 256)
+    # The walk may step past the text; it then stays on spaces.
+    text = np.concatenate([text, np.full(max(lengths) + 1, _SPACE, np.uint8)])
+    sampled = {n: _steps(n, repetition, config) for n in lengths}
+    kept, at = np.arange(len(start)), start.copy()
+    keys = {n: np.zeros(len(start), np.uint64) for n in lengths}
+    ends = {}
+    for step in range(1 + max(s[-1] for s in sampled.values())):
+        here = text[at]
+        if step == _HEAD_STEPS and seen is not None:
+            alive = np.flatnonzero(seen[_slot(keys[lengths[0]])])
+            kept, at, here = kept[alive], at[alive], here[alive]
+            keys = {n: k[alive] for n, k in keys.items()}
+        for n in lengths:
+            if step in sampled[n]:
+                keys[n] <<= np.uint64(8)
+                keys[n] |= here
+                if step == sampled[n][-1]:
+                    ends[n] = at.copy()
+        at += bits[step][here]
+    return kept, keys, ends
+
+
+def _slot(head: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        symbol = arrays.mix(key ^ arrays.seeds(config.repetitions, 5)[repetition])
-        # The walk may step past the last word; it then stays on a word of no text.
-        symbol = np.concatenate([symbol, np.zeros(max(sizes) + 1, np.uint64)])
-        at = start.copy()
-        out = {size: np.full(len(start), size, np.uint64) for size in sizes}
-        passed = {}
-        steps = 1 + max(max(s) for s in sampled.values())
-        for step in range(steps):
-            here = symbol[at]
-            for size in sizes:
-                if step in sampled[size]:
-                    out[size] *= np.uint64(0x9FB21C651E98DF25)
-                    out[size] += here
-                    if step == max(sampled[size]):
-                        passed[size] = at - start
-            if step + 1 < steps:
-                here >>= np.uint64(step)
-                here &= np.uint64(1)
-                at += here.view(np.int64)
-        return {size: (arrays.mix(x), passed[size]) for size, x in out.items()}
+        return (head * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)
 
 
 def distance_within(pattern: str, text: str, limit: int) -> int | None:
@@ -115,6 +124,8 @@ def distance_within(pattern: str, text: str, limit: int) -> int | None:
         return 0
     if pattern in text:
         return 0
+    if limit == 0:
+        return None
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
@@ -138,83 +149,182 @@ def distance_within(pattern: str, text: str, limit: int) -> int | None:
     return best if best <= limit else None
 
 
+def shares_grams(pattern: str, text: str, limit: int, size: int = 4) -> bool:
+    """Whether ``text`` has enough of the pattern's grams to hold it within ``limit`` edits: an edit spoils at most
+    ``size`` of them."""
+    needed = len(pattern) - size + 1 - limit * size
+    if needed <= 0:
+        return True
+    own = {text[i:i + size] for i in range(len(text) - size + 1)}
+    return sum(pattern[i:i + size] in own for i in range(len(pattern) - size + 1)) >= needed
+
+
+class Windows:
+    """The buckets of items of one size class."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, one_in: int, steps: int, repetitions: int, config: LeakConfig):
+        self.one_in, self.steps, self.config = one_in, steps, config
+        self.size = np.diff(at)
+        self.gap = 1 + (self.size * config.max_distance / 2).astype(np.int64)
+        start = anchors(text, one_in)
+        item = np.searchsorted(at, start, "right") - 1
+        start, item = start[start < at[-1]], item[start < at[-1]]
+        self.tables = []
+        first, last = np.full(len(self.size), 1 << 60), np.zeros(len(self.size), np.int64)
+        for r in range(repetitions):
+            _, keys, ends = walk(text, start, [steps], r, config)
+            # A window that leaves its item is no window of it.
+            own = np.flatnonzero(ends[steps] < at[item + 1] - 1)
+            offset = (start - at[item])[own]
+            np.minimum.at(first, item[own], offset)
+            np.maximum.at(last, item[own], offset)
+            key = keys[steps][own]
+            order = np.argsort(key, kind="stable")
+            known = np.zeros(1 << _SEEN_BITS, bool)
+            known[_slot(key)] = True
+            self.tables.append((key[order], item[own][order], offset[order], known))
+        #: One window is enough for an item whose windows start at one place.
+        self.single = last - first < 4
+
+    def heads(self, repetition: int) -> np.ndarray:
+        key = self.tables[repetition][0]
+        return _slot(key >> np.uint64(8 * (len(_steps(self.steps, repetition, self.config)) - _HEAD)))
+
+    def hits(self, repetition: int, start: np.ndarray, got: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, offset in the item) of every meeting."""
+        key, item, offset, known = self.tables[repetition]
+        maybe = np.flatnonzero(known[_slot(got)])
+        start, got = start[maybe], got[maybe]
+        low, high = np.searchsorted(key, got, "left"), np.searchsorted(key, got, "right")
+        met = np.flatnonzero(high > low)
+        n = high[met] - low[met]
+        slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[met], n)
+        return np.repeat(start[met], n), item[slot], offset[slot]
+
+    def stretches(self, found: list, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item, first start, last start) where windows of two places of an item, or of one if that is
+        all it has, agree on where it starts."""
+        place, item, offset = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        if not len(place):
+            return []
+        doc = np.searchsorted(at, place, "right") - 1
+        begin = place - offset
+        order = np.lexsort((begin, item, doc))
+        doc, item, begin, offset = doc[order], item[order], begin[order], offset[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > self.gap[item[1:]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc)) - 1
+        spread = np.maximum.reduceat(offset, first) - np.minimum.reduceat(offset, first)
+        take = (spread >= 4) | self.single[item[first]]
+        first, last = first[take], last[take]
+        return list(zip(doc[first].tolist(), item[first].tolist(), begin[first].tolist(), begin[last].tolist(), strict=True))
+
+
+def _edited(text: str, edits: int, rng: random.Random) -> str:
+    """``text`` with so many characters replaced, added or dropped, half of them replaced."""
+    out = list(text)
+    for _ in range(edits):
+        i, kind = rng.randrange(len(out) + 1), rng.randrange(4)
+        if kind < 2 and out:
+            out[min(i, len(out) - 1)] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        elif kind == 2:
+            out.insert(i, rng.choice("abcdefghijklmnopqrstuvwxyz"))
+        elif out:
+            del out[min(i, len(out) - 1)]
+    return "".join(out)
+
+
+def _designed(items: list[str], config: LeakConfig) -> Windows:
+    """The most selective windows of a size class that find the target share of edited copies of its items."""
+    text, at = normal(arrays.plain_texts(pa.array(items, pa.large_string())))
+    rng = random.Random(5)
+    tried = [k % len(items) for k in range(max(config.trials, 1))]
+    copies = [_edited(items[k], int(config.max_distance * len(items[k])), rng) for k in tried]
+    edited, places = normal(arrays.plain_texts(pa.array([f"{' zq' * 20} {c} {'qz ' * 20}" for c in copies], pa.large_string()), lower=True))
+    for one_in in (config.anchor, 1):
+        for steps, repetitions in _DESIGNS:
+            made = Windows(text, at, one_in, steps, repetitions, config)
+            if len(np.unique(np.concatenate([t[1] for t in made.tables]))) < len(items):
+                continue  # an item without windows would miss even unedited copies
+            start, found = anchors(edited, one_in), []
+            for r in range(repetitions):
+                _, keys, _ = walk(edited, start, [steps], r, config)
+                found.append(made.hits(r, start, keys[steps]))
+            got = {(d, i) for d, i, _, _ in made.stretches(found, places)}
+            if sum((d, k) in got for d, k in enumerate(tried)) >= config.recall * len(tried):
+                return made
+    # Items of a word or two: the shortest walks from every place.
+    return Windows(text, at, 1, _HEAD_STEPS + 1, 1, config)
+
+
 class Benchmark:
-    """The buckets of one block of items, as sorted keys per window size and repetition."""
+    """One block of items: windows per size class, and the texts to verify against."""
 
     def __init__(self, items: list[tuple[int, str]], config: LeakConfig):
-        self.config, self.items = config, []
-        tables: dict[tuple[int, int], list] = {}
+        self.config = config
         texts = arrays.plain_texts(pa.array([t for _, t in items], pa.large_string()), lower=True)
-        raw, at = arrays.buffers(texts)
-        row, start, end = arrays.spans(raw, at, arrays.ALNUM)
-        key = arrays.span_hashes(raw, start, end)
-        first = np.searchsorted(row, np.arange(len(items) + 1))
+        raw, at = normal(texts)
+        by_size: dict[int, list[tuple[int, str]]] = {}
         for k, (item_id, _) in enumerate(items):
-            lo, hi = first[k], first[k + 1]
-            if lo == hi:
-                continue
-            words = [raw[start[i]:end[i]].tobytes().decode() for i in range(lo, hi)]
-            number = len(self.items)
-            self.items.append((item_id, " ".join(words), hi - lo))
-            size = _sizes(hi - lo, config)
-            own, width = key[lo:hi], min(size, config.anchor)
-            starts = anchors(own, np.zeros(hi - lo, np.int64), width)
-            starts = starts[starts + size <= hi - lo]
-            walks = [walk_keys(own, starts, [size], r, config)[size] for r in range(config.repetitions)]
-            # A walk that hardly left its first word is a key of a word or two, met everywhere.
-            moved = [passed >= 3 * size // 8 for _, passed in walks]
-            every = not any(x.any() for x in moved)
-            for r, (keys, _) in enumerate(walks):
-                take = moved[r] | every
-                tables.setdefault((width, r, size), []).append((keys[take], np.full(take.sum(), number), starts[take]))
-        self.tables = {}
-        for where, parts in tables.items():
-            keys, number, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(keys, kind="stable")
-            seen = np.zeros(_SEEN, bool)
-            seen[(keys & np.uint64(_SEEN - 1)).astype(np.int64)] = True
-            self.tables[where] = keys[order], number[order], offset[order], seen
+            own = raw[at[k]:at[k + 1] - 1].tobytes().decode() if at[k + 1] > at[k] else ""
+            if own:
+                by_size.setdefault(len(own).bit_length(), []).append((item_id, own))
+        #: (windows, items, first looks per repetition) of each class; very short items are looked for whole.
+        self.classes, self.short = [], []
+        for _, own in sorted(by_size.items()):
+            made = _designed([t for _, t in own], config)
+            known = np.unique(np.concatenate([t[1] for t in made.tables]))
+            self.classes.append((made, own))
+            self.short += [own[k] for k in sorted(set(range(len(own))) - set(known.tolist()))]
+        self.seen = {}
+        for one_in in {m.one_in for m, _ in self.classes}:
+            for r in range(max(len(m.tables) for m, _ in self.classes if m.one_in == one_in)):
+                seen = np.zeros(1 << _SEEN_BITS, bool)
+                for m, _ in self.classes:
+                    if m.one_in == one_in and r < len(m.tables):
+                        seen[m.heads(r)] = True
+                self.seen[one_in, r] = seen
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item_id, distance) for every text and item of it; ``texts`` are lower-cased."""
-        raw, at = arrays.buffers(texts)
-        row, start, end = arrays.spans(raw, at, arrays.ALNUM)
-        if not len(row) or not self.tables:
+        text, at = normal(texts)
+        if not len(text):
             return []
-        key = arrays.span_hashes(raw, start, end)
-        stretches: set[tuple[int, int, int]] = set()
-        for width in {w for w, _, _ in self.tables}:
-            every = anchors(key, row, width)
-            for r in range(self.config.repetitions):
-                sizes = [size for w, k, size in self.tables if (w, k) == (width, r)]
-                for size, (got, _) in walk_keys(key, every, sizes, r, self.config).items():
-                    keys, number, offset, seen = self.tables[width, r, size]
-                    maybe = np.flatnonzero(seen[(got & np.uint64(_SEEN - 1)).astype(np.int32)])
-                    got, starts = got[maybe], every[maybe]
-                    lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                    real = hi > lo
-                    for s, a, b in zip(starts[real].tolist(), lo[real].tolist(), hi[real].tolist(), strict=True):
-                        stretches.update((int(row[s]), n, s - o) for n, o in zip(number[a:b].tolist(), offset[a:b].tolist(), strict=True))
+        found: list[list] = [[] for _ in self.classes]
+        for one_in in {m.one_in for m, _ in self.classes}:
+            every = anchors(text, one_in)
+            for r in range(max(len(m.tables) for m, _ in self.classes if m.one_in == one_in)):
+                own = [k for k, (m, _) in enumerate(self.classes) if m.one_in == one_in and r < len(m.tables)]
+                lengths = sorted({self.classes[k][0].steps for k in own})
+                kept, keys, _ = walk(text, every, lengths, r, self.config, self.seen[one_in, r])
+                for k in own:
+                    made = self.classes[k][0]
+                    found[k].append(made.hits(r, every[kept], keys[made.steps]))
         best: dict[tuple[int, int], int] = {}
-        first = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
-        joined: list[list[int]] = []  # starts of one document and item that lie close are one stretch
-        for doc, n, begin in sorted(stretches):
-            if joined and joined[-1][:2] == [doc, n] and begin - joined[-1][3] <= 4:
-                joined[-1][3] = begin
-            else:
-                joined.append([doc, n, begin, begin])
-        for doc, n, begin, end_begin in joined:
-            item_id, pattern, words = self.items[n]
-            if best.get((doc, item_id)) == 0:
-                continue
-            slack = 1 + int(words * self.config.max_distance)
-            lo, hi = max(first[doc], begin - slack), min(first[doc + 1], end_begin + words + slack)
-            text = " ".join([raw[start[i]:end[i]].tobytes().decode() for i in range(lo, hi)])
-            found = distance_within(pattern, text, int(self.config.max_distance * len(pattern)))
-            if found is not None:
-                best[doc, item_id] = min(found, best.get((doc, item_id), found))
+        for (made, items), hits in zip(self.classes, found, strict=True):
+            for doc, item, first, last in made.stretches(hits, at):
+                self._verify(best, text, at, doc, items[item], first, last)
+        for item in self.short:
+            for doc in range(len(texts)):
+                self._verify(best, text, at, doc, item, int(at[doc]), int(at[doc + 1]))
         return [(doc, item, d) for (doc, item), d in best.items()]
 
+    def _verify(self, best: dict, text: np.ndarray, at: np.ndarray, doc: int, item: tuple[int, str], first: int, last: int) -> None:
+        item_id, pattern = item
+        if best.get((doc, item_id)) == 0:
+            return
+        size = len(pattern.encode())
+        # Of a true match every window starts where the item does, give or take the characters added or dropped.
+        edits = 4 + int(size * self.config.max_distance)
+        low, high = max(int(at[doc]), first - edits), min(int(at[doc + 1]), last + size + 2 * edits)
+        stretch = text[low:high].tobytes().decode(errors="ignore")
+        if not shares_grams(pattern, stretch, int(self.config.max_distance * len(pattern))):
+            return
+        found = distance_within(pattern, stretch, int(self.config.max_distance * len(pattern)))
+        if found is not None:
+            best[doc, item_id] = min(found, best.get((doc, item_id), found))
+
 
 def _blocks(benchmark: DataFrame, config: LeakConfig, item_id: str, text: str) -> Iterator[Benchmark]:
     """The benchmark in parts of about ``block_bytes``, each small enough to go with a task."""

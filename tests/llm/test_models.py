@@ -338,15 +338,47 @@ def test_edit_distance(pattern, text):
     assert want == 0 or decontaminate.distance_within(pattern, text, want - 1) is None
 
 
-def test_anchors():
-    random_ = np.random.default_rng(3)
-    key, row = random_.integers(0, 30, 200).astype(np.uint64), np.repeat([0, 1, 2], [90, 2, 108])
-    for width in (1, 2, 3, 5, 8):
-        want = set()
-        for a in range(200 - width + 1):
-            if row[a] == row[a + width - 1]:
-                want.update(a + i for i in range(width) if key[a + i] == key[a:a + width].min())
-        assert set(decontaminate.anchors(key, row, width).tolist()) == want
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aB9 .é\n漢", max_size=30), min_size=1, max_size=5))
+def test_normal_texts(texts):
+    out, at = decontaminate.normal(arrays.plain_texts(pa.array(texts, pa.large_string()), lower=True))
+    want = ["".join(w + " " for w in re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower())) for t in texts]
+    assert [out[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_walks_that_share_a_repetition_agree():
+    config = decontaminate.LeakConfig()
+    text = np.frombuffer(b"the quick brown fox jumps over the lazy dog and runs away from it all the way home ", np.uint8)
+    start = np.arange(20)
+    _, both, _ = decontaminate.walk(text, start, [24, 48], 1, config)
+    _, alone, _ = decontaminate.walk(text, start, [24], 1, config)
+    assert (both[24] == alone[24]).all() and (both[24] >> np.uint64(32) == both[48] >> np.uint64(32)).all()
+    seen = np.zeros(1 << 20, bool)
+    seen[decontaminate._slot(both[24] >> np.uint64(32))[[3, 7]]] = True
+    kept, some, _ = decontaminate.walk(text, start, [24, 48], 1, config, seen)
+    assert {3, 7} <= set(kept.tolist()) and (some[48] == both[48][kept]).all()
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.18])
+def test_recall_of_edited_items(spark, share):
+    """Items of the small table with so many characters replaced, each inside other text."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    rnd, stock = random.Random(12), [f"w{i}" for i in range(2000)]
+    found = total = 0
+    made = decontaminate.Benchmark(items, decontaminate.LeakConfig())
+    for _ in range(3):
+        docs = []
+        for _, text in items:
+            out = list(text)
+            for i in rnd.sample(range(len(out)), int(share * len(out))):
+                out[i] = rnd.choice("abcdefghijklmnopqrstuvwxyz")
+            docs.append(f"{' '.join(rnd.choices(stock, k=50))} {''.join(out)} {' '.join(rnd.choices(stock, k=50))}")
+        got = {(d, i) for d, i, _ in made.find(arrays.plain_texts(pa.array(docs, pa.large_string()), lower=True))}
+        for d, (item_id, text) in enumerate(items):
+            norm = lambda t: " ".join(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()))
+            if decontaminate.distance_within(norm(text), norm(docs[d]), int(0.2 * len(norm(text)))) is not None:
+                total, found = total + 1, found + ((d, item_id) in got)
+    assert total >= 100 and found >= 0.9 * total
 
 
 def test_leaks(spark, docs_of, odd, none):
