@@ -323,9 +323,14 @@ def content_digest(df: DataFrame) -> DataFrame:
     """Order-free digest of a table's rows: count, xor and sum of row hashes.
 
     A row's hash is the leading 60 bits of the MD5 of its values as text, columns by name and parted
-    by a vertical bar; NULL counts as a lone backslash. Other tools can recompute it.
+    by a vertical bar. Bars and backslashes in a value follow a backslash; NULL is a lone backslash.
+    Other tools can recompute it.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\")) for c in sorted(df.columns)])
+    def escaped(c: str) -> Column:
+        value = F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        return F.coalesce(F.replace(value, F.lit("|"), F.lit("\\|")), F.lit("\\"))
+
+    text = F.concat_ws("|", *[escaped(c) for c in sorted(df.columns)])
     hashed = df.select(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("h"))
     return hashed.agg(
         F.count(F.lit(1)).alias("n_rows"),

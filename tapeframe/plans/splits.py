@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeframe.operators import features as feat
-from tapeframe.operators import intervals, labels
+from tapeframe.operators import intervals, labels, sealed, tape
 from tapeframe.operators import splits as ops
 from tapeframe.plans.duck import ARRIVALS, QUOTES, TRADES
+from tapeframe.session import inline_table
 from tapeframe.sources import views
 
 HOUR = 3600 * 10**9
@@ -162,6 +163,53 @@ def split_manifest(spark, sf):
                          F.length("content_hash").alias("hash_length"), F.inline("folds"))
 
 
+def _role_members(spark, sf):
+    """Three unpurged train, validation and test splits with rows planted in two roles, and their blocks."""
+    df = ops.with_label_interval(_samples(spark, sf), "ts", LABEL_NS)
+    b = ops.contiguous_blocks(ops.TimeAxis(df, "ts", "row_id"), 5)
+    cuts = [(k, b[k + 1].start, b[k + 2].start, b[k + 2].stop) for k in range(3)]
+    own = ", ".join(
+        f"if(ts < {end}L, named_struct('split_index', {k}L, 'role', if(ts < {val}L, 'train', if(ts < {test}L, 'validation', 'test'))), null)"
+        for k, val, test, end in cuts)
+    rows = df.withColumn("m", F.expr(f"explode(array_compact(array({own})))")).select(*df.columns, "m.*")
+    planted = rows.withColumn("role", F.expr(
+        "case when role = 'train' and row_id % 50 = 0 then 'validation' when role = 'train' and row_id % 90 = 1 then 'test'"
+        " when role = 'validation' and row_id % 70 = 0 then 'test' end")).where("role is not null")
+    blocks = inline_table(spark, "split_index long, role string, block_start long, block_stop long", [
+        r for k, val, test, end in cuts for r in ((k, "validation", val, test), (k, "test", test, end))])
+    return rows.unionByName(planted), blocks
+
+
+def role_compliance(spark, sf):
+    """Leaks between every two roles: rows in both, and labels that reach into a later role."""
+    return sealed.role_audit(*_role_members(spark, sf), "row_id", "ts")
+
+
+def role_duplicates(spark, sf):
+    """Rows that a role holds more than once, where every hundredth row was appended again."""
+    members, _ = _role_members(spark, sf)
+    return sealed.repeated_in_role(members.unionByName(members.where("row_id % 100 = 0")), "row_id")
+
+
+def _sealed(spark, sf):
+    df = _samples(spark, sf)
+    folds = [ops.Fold(i, (b,), None, None) for i, b in enumerate(ops.contiguous_blocks(ops.TimeAxis(df, "ts", "row_id"), 5))]
+    d = tape.content_digest(df).first()
+    return sealed.seal_split(
+        ops.membership(df, "ts", "row_id", folds, LABEL_NS, PURGE), ops.fold_table(spark, folds), "ts", "purged_k_fold", "trades",
+        f"{d.n_rows}:{d.digest_xor}:{d.digest_sum}", {"n_splits": 5, "label_horizon_ns": LABEL_NS}, PURGE)
+
+
+def split_seal(spark, sf):
+    """The sealed description of a purged split: settings, bounds, counts and the digest of its data."""
+    return sealed.is_sealed(_sealed(spark, sf))
+
+
+def sealed_partition_rows(spark, sf):
+    """A training partition read back from the sealed bounds."""
+    return sealed.read_partition(_samples(spark, sf), _sealed(spark, sf), 2, "train", LABEL_NS).select("row_id", "ts", "price")
+
+
 def forward_return_labels(spark, sf):
     out = labels.forward_returns(
         views.trades(spark, sf).select("instrument_id", "sequence_num", "source_timestamp_ns", "price"),
@@ -273,11 +321,39 @@ QUERIES = {
         purge_embargo_counts, combinatorial_purged, split_partition_rows, label_interval_overlap,
         interval_predicates, label_intervals, split_compliance, membership_overlap,
         duplicate_membership, point_in_time_audit, feature_target_correlation,
-        availability_latency, split_bounds, split_manifest, forward_return_labels, triple_barrier_labels,
-        label_distribution,
+        availability_latency, split_bounds, split_manifest, role_compliance, role_duplicates, split_seal,
+        sealed_partition_rows, forward_return_labels, triple_barrier_labels, label_distribution,
     )
 }
 
+_ROLES = _blocks(5) + f""", cut as (
+ select v.block - 1 split_index, v.block_start v, t.block_start t, t.block_stop e from blocks v join blocks t on t.block = v.block + 1 where v.block between 1 and 3),
+own as (
+ select split_index, row_id, ts, v, t, e, case when ts < v then 'train' when ts < t then 'validation' else 'test' end as role
+ from samples join cut on ts < e),
+placed as (
+ select * from own union all
+ select split_index, row_id, ts, v, t, e, case when role = 'train' and row_id % 50 = 0 then 'validation'
+   when role = 'train' and row_id % 90 = 1 then 'test' else 'test' end
+ from own where (role = 'train' and (row_id % 50 = 0 or row_id % 90 = 1)) or (role = 'validation' and row_id % 70 = 0)),
+pair as (select * from (values ('train', 'validation'), ('train', 'test'), ('validation', 'test')) p(earlier, later))"""
+
+_SEALED = _KFOLD + f""", hashed as (
+ select ('0x' || substr(md5(price::varchar || '|' || row_id::varchar || '|' || ts::varchar), 1, 15))::bigint h from samples),
+digest as (select count(*) || ':' || bit_xor(h) || ':' || cast(sum(h % 1000003) as bigint) d from hashed),
+per as (
+ select split_index, count(*) filter (role = 'embargoed') embargoed, count(*) filter (role = 'purged') purged,
+  count(*) filter (role = 'test') test, count(*) filter (role = 'train') train, min(ts) filter (role = 'train') a,
+  max(ts) filter (role = 'train') + 1 b from members group by 1),
+sealed as (
+ select '{{"config":{{"embargo_ns":{PURGE.embargo_ns},"label_horizon_ns":{LABEL_NS},"n_splits":5,"purge_horizon_ns":{PURGE.purge_horizon_ns},'
+  || '"timestamp_column":"ts"}},"dataset_hash":"' || (select d from digest) || '","dataset_id":"trades","spec_version":"1.0.0",'
+  || '"split_type":"purged_k_fold","splits":[' || string_agg('{{"embargoed_rows":' || embargoed || ',"purged_rows":' || purged
+  || ',"split_index":' || split_index || ',"test":[{{"start":' || block_start || ',"stop":' || block_stop || '}}],"test_rows":' || test
+  || ',"train_rows":' || train || ',"train_start":' || a || ',"train_stop":' || b || '}}', ',' order by split_index)
+  || '],"time_start":' || (select min(ts) from samples) || ',"time_stop":' || (select max(ts) + 1 from samples) || '}}' as body
+ from per join blocks on block = split_index)"""
+
 _B0, _B1 = 1705000000000000000, 1705500000000000000
 
 ORACLES = {
@@ -324,6 +400,22 @@ select split_index, row_id, case when ts >= s1 and ts < e1 or ts >= s2 and ts <
  (select count(*) from samples) total_records, {PURGE.purge_horizon_ns} purge_horizon_ns, {PURGE.embargo_ns} embargo_ns,
  true is_sealed, 64 hash_length, block split_index, cast(0 as bigint) test_position, start_row, stop_row, block_start,
  block_stop from blocks""",
+    "role_compliance": f"""with {_ROLES}, twofold as (
+ select a.split_index, earlier, later, count(distinct a.row_id) in_both from pair join placed a on a.role = earlier
+ join placed b on b.role = later and b.split_index = a.split_index and b.row_id = a.row_id group by 1, 2, 3),
+leak as (
+ select split_index, earlier, later, count(*) label_leaks from placed join pair on role = earlier
+ where ts < case later when 'validation' then t else e end and ts + {LABEL_NS} >= case later when 'validation' then v else t end
+ group by 1, 2, 3)
+select coalesce(twofold.split_index, leak.split_index) split_index, coalesce(twofold.earlier, leak.earlier) earlier,
+ coalesce(twofold.later, leak.later) later, coalesce(in_both, 0) in_both, coalesce(label_leaks, 0) label_leaks
+from twofold full join leak on twofold.split_index = leak.split_index and twofold.earlier = leak.earlier
+ and twofold.later = leak.later""",
+    "role_duplicates": f"""with {_ROLES}, twice as (select split_index, role, row_id, count(*) n from (
+  select * from placed union all select * from placed where row_id % 100 = 0) group by 1, 2, 3 having count(*) > 1)
+select split_index, role, count(*) n_rows from twice group by 1, 2""",
+    "split_seal": f"with {_SEALED} select body, sha256(body) content_hash, true is_sealed from sealed",
+    "sealed_partition_rows": f"with {_KFOLD} select row_id, ts, price from members where split_index = 2 and role = 'train'",
     "split_bounds": f"with {_blocks(5)} select block split_index, cast(0 as bigint) test_position,"
     " start_row, stop_row, block_start, block_stop from blocks",
     "split_compliance": f"""with {_blocks(5)}, m as (
