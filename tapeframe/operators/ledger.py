@@ -7,21 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeframe.operators.affine import affine_scan
 from tapeframe.operators.asof import asof
-from tapeframe.operators.scan import (
-    CHUNK,
-    chunk_width,
-    running,
-    running_last,
-    running_sum,
-)
+from tapeframe.operators.scan import running, running_last, running_sum
 from tapeframe.session import staged
 
 KEYS = ["run_id", "instrument_id"]
@@ -244,31 +237,14 @@ def running_totals(ledger: DataFrame, order: Sequence[str], keys: Sequence[str]
     return out.withColumns({t: F.col(t).cast("double") for t in _TOTALS})
 
 
-def _entry_prices(keys, order):
-    """Average entry price along one ordered chunk: x -> a*x + b at every fill."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
-        carry = pdf["carry"].iloc[0] if len(pdf) else 0.0
-        out = np.empty(len(pdf))
-        for i in range(len(pdf)):
-            carry = a[i] * carry + b[i]
-            out[i] = carry
-        pdf = pdf[[*keys, *order]].copy()
-        pdf["average_entry_price"] = out
-        return pdf
-
-    return fold
-
-
 def average_cost(
     ledger: DataFrame, order: Sequence[str], keys: Sequence[str] = KEYS, price_scale: float = 100.0
 ) -> DataFrame:
     """Average entry price after each fill and the profit it realised, through position flips.
 
     Adding to a position moves the average by ``x -> a*x + b``; reducing keeps it; opening, also by
-    a flip, restarts it at the fill price (a = 0); closing leaves 0. Affine maps compose, so a hot
-    key is folded chunk by chunk: each chunk's composed map first, then the chunks from their carry.
+    a flip, restarts it at the fill price (a = 0); closing leaves 0. Affine maps compose, so a key's fills
+    are scanned in blocks, and blocks of blocks, of any number.
     """
     keys, order = list(keys), list(order)
     out = running(
@@ -284,23 +260,7 @@ def average_cost(
     a = F.when(after == 0, 0.0).when(opens, 0.0).when(adds, size / (size + q)).otherwise(1.0)
     b = F.when(after == 0, 0.0).when(opens, price).when(adds, q * price / (size + q)).otherwise(0.0)
     out = out.withColumns({"a": a, "b": b})
-    out = staged(out, "fills")
-    width = chunk_width(out, keys, order[0]) or (1 << 62)
-    axis = f"`{order[0]}`"
-    maps = out.select(*keys, *order, "a", "b").withColumn(
-        CHUNK, F.expr(f"({axis} - pmod({axis}, {width}L)) div {width}L")
-    )
-    schema = ", ".join(f"`{c}` {t}" for c, t in maps.select(*keys, *order).dtypes)
-    with_carry = maps.withColumn("carry", F.lit(0.0))
-    if width < (1 << 62):
-        carries = _chunk_carries(maps, keys, order)
-        with_carry = maps.join(carries, [*keys, CHUNK], "left").withColumn(
-            "carry", F.coalesce("carry", F.lit(0.0))
-        )
-    entry = with_carry.groupBy(*keys, CHUNK).applyInPandas(
-        _entry_prices(keys, order), f"{schema}, average_entry_price double"
-    )
-    out = out.join(entry, [*keys, *order]).drop("a", "b")
+    out = affine_scan(out, keys, order, "a", "b", "average_entry_price").drop("a", "b")
     out = running(
         out, keys, order, __entry=running_last("average_entry_price", inclusive=False)
     )
@@ -313,34 +273,6 @@ def average_cost(
         "__pos", "position_after").drop("__before", "__entry")
 
 
-def _chunk_carries(maps: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Average price at the start of each chunk, from the composed map of every earlier chunk."""
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        ca, cb = 1.0, 0.0
-        for a, b in zip(pdf["a"].to_numpy(), pdf["b"].to_numpy(), strict=True):
-            ca, cb = a * ca, a * cb + b
-        head = pdf[[*keys, CHUNK]].iloc[:1].copy()
-        head["ca"], head["cb"] = ca, cb
-        return head
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK, kind="stable")
-        x, before = 0.0, []
-        for a, b in zip(pdf["ca"].to_numpy(), pdf["cb"].to_numpy(), strict=True):
-            before.append(x)
-            x = a * x + b
-        out = pdf[[*keys, CHUNK]].copy()
-        out["carry"] = before
-        return out
-
-    types = dict(maps.dtypes)
-    head = ", ".join(f"`{c}` {types[c]}" for c in [*keys, CHUNK])
-    composed = maps.groupBy(*keys, CHUNK).applyInPandas(compose, f"{head}, ca double, cb double")
-    # One row per chunk: a key's chunks number its rows divided by the chunk target.
-    return composed.groupBy(*keys).applyInPandas(chain, f"{head}, carry double")
-
-
 def equity_curve(
     quotes: DataFrame, totals: DataFrame, initial_cash: float, price_scale: float = 100.0
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeframe.operators.asof import asof
-from tapeframe.operators.ledger import sweep
+from tapeframe.operators.ledger import MONEY, average_cost, sweep
 from tapeframe.operators.scan import running, running_sum
 
 
@@ -100,6 +100,33 @@ def inventory_as_of(
     return out.na.fill(0, ["inventory"])
 
 
+def account_as_of(
+    quotes: DataFrame, fills: DataFrame, keys: Sequence[str], quote_ts: str, fill_ts: str,
+    fill_order: Sequence[str], initial_cash: float = 0.0, price_scale: float = 100.0,
+) -> DataFrame:
+    """The maker's account at each quote: inventory, cash, average entry price, realised and unrealised profit.
+
+    ``fills`` needs signed_quantity, price and transaction_cost; fills up to the quote's time count. Cash
+    pays notional and costs; profit is marked at the quote's mid where both sides have a price.
+    """
+    order = [fill_ts, *fill_order]
+    notional = F.col("signed_quantity") * F.col("price") / price_scale
+    state = average_cost(fills, order, keys, price_scale)
+    state = running(
+        state, list(keys), order, inventory=running_sum("signed_quantity"),
+        __paid=running_sum((notional + F.col("transaction_cost")).cast(MONEY)),
+    ).withColumns({"cash_flow": -F.col("__paid").cast("double"), "__at": F.col(fill_ts)})
+    values = ["inventory", "cash_flow", "average_entry_price", "realized_pnl"]
+    out = asof(quotes, state, keys, quote_ts, "__at", ["sequence_num"], list(fill_order), values).na.fill(0, values)
+    both = (F.col("best_bid_price") > 0) & (F.col("best_ask_price") > 0)
+    mid = (F.col("best_bid_price") + F.col("best_ask_price")) / (2.0 * price_scale)
+    gain = F.col("inventory") * (mid - F.col("average_entry_price"))
+    return out.withColumns(
+        {"cash": F.lit(initial_cash) + F.col("cash_flow"),
+         "unrealized_pnl": F.when(both & (F.col("inventory") != 0), gain).otherwise(0.0)}
+    ).drop("cash_flow")
+
+
 # --- price model -------------------------------------------------------------------------------
 
 

@@ -484,7 +484,7 @@ def _totals_sql(take: str) -> str:
   order by fill_timestamp_ns, fill_row, fill_seq rows unbounded preceding))"""
 
 
-def _walk_pnl(src: str, keys: str) -> str:
+def walk_pnl(src: str, keys: str) -> str:
     """Recursive walk over ``src`` (keys, rn, sq, px): one fill of every key per step."""
     same = " and ".join(f"s.{k} = w.{k}" for k in keys.split(", "))
     qualified = ", ".join(f"s.{k}" for k in keys.split(", "))
@@ -507,7 +507,7 @@ def _equity_sql(take: str) -> str:
     return (
         "with recursive " + _totals_sql(take)
         + ", steps as (select run_id, instrument_id, rn, sq, price / 100.0::double px from tot), "
-        + _walk_pnl("steps", "run_id, instrument_id")
+        + walk_pnl("steps", "run_id, instrument_id")
         + f""", state as (
  select tot.*, pnl.entry, pnl.pnl from tot join pnl using (run_id, instrument_id, rn)),
 latest as (
@@ -645,7 +645,7 @@ union all select run_id, instrument_id, order_row, 0, pre from matched where pre
  select instrument_id, fill_seq, row_number() over (partition by instrument_id
   order by fill_timestamp_ns, fill_seq) rn,
   case when side = 'buy' then quantity else -quantity end sq, price / 100.0::double px
- from fills), """ + _walk_pnl("steps", "instrument_id") + """
+ from fills), """ + walk_pnl("steps", "instrument_id") + """
 select instrument_id, fill_seq, pos position_after, round(entry, 3) average_entry_price,
  round(delta, 3) realized_delta, round(pnl, 3) realized_pnl
  from pnl join steps using (instrument_id, rn)""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.operators import features as feat
 from tapeframe.operators import quoting as ops
+from tapeframe.plans.accounting import walk_pnl
 from tapeframe.plans.duck import QUOTES, TRADES
 from tapeframe.plans.features import _QUOTE_CORE, CONFIG
 from tapeframe.sources import views
@@ -64,6 +65,17 @@ def inventory_asof(spark, sf):
     return _market(spark, sf).select("instrument_id", "sequence_num", "inventory")
 
 
+def maker_account_asof(spark, sf):
+    """The maker's account at each quote; every print is one of its fills, at a fee per share."""
+    fills = views.trades(spark, sf).selectExpr(
+        "instrument_id", "receive_timestamp_ns fill_ts", "sequence_num fill_seq", "price",
+        "if(aggressor_side = 1, quantity, -quantity) signed_quantity", "0.003D * quantity transaction_cost")
+    out = ops.account_as_of(
+        views.quotes(spark, sf), fills, ["instrument_id"], "receive_timestamp_ns", "fill_ts", ["fill_seq"], 1_000_000.0)
+    money = ["cash", "average_entry_price", "realized_pnl", "unrealized_pnl"]
+    return out.select("instrument_id", "sequence_num", "inventory", *[F.round(c, 4).alias(c) for c in money])
+
+
 def reservation_price(spark, sf):
     df = ops.with_config(_market(spark, sf), CONFIGS[:1]).where(ops.usable_market())
     return ops.with_reservation_price(df, use_features=False).select(
@@ -247,12 +259,28 @@ _SIG = ("config_id, sequence_num, decision_timestamp_ns, instrument_id, directio
 QUERIES = {
     f.__name__: f
     for f in (
-        inventory_asof, reservation_price, raw_quotes, quote_guards, quote_decisions,
+        inventory_asof, maker_account_asof, reservation_price, raw_quotes, quote_guards, quote_decisions,
         quote_order_intents, rebalance_signals, feature_rebalance_signals, suppression_report,
     )
 }
 
 ORACLES = {
+    "maker_account_asof": f"with recursive {QUOTES}, {TRADES}" + """, steps as (
+ select instrument_id, sequence_num fill_seq, receive_timestamp_ns fill_ts, row_number() over (partition by instrument_id
+  order by receive_timestamp_ns, sequence_num) rn, case when aggressor_side = 1 then quantity else -quantity end sq,
+  price / 100.0::double px, price * quantity / 100.0::double notional, 0.003::double * quantity fee from trades),
+""" + walk_pnl("steps", "instrument_id") + """, state as (
+ select s.*, pos, entry, pnl, -cast(sum((sign(sq) * notional + fee)::decimal(38, 12)) over (partition by s.instrument_id order by s.rn) as double) flow
+ from steps s join pnl using (instrument_id, rn)),
+latest as (select instrument_id, fill_ts, max(rn) rn from state group by 1, 2),
+seen as (
+ select q.*, l.rn from quotes q asof left join latest l on q.instrument_id = l.instrument_id and q.receive_timestamp_ns >= l.fill_ts),
+acc as (
+ select q.instrument_id, q.sequence_num, coalesce(pos, 0) inventory, 1000000.0::double + coalesce(flow, 0) cash, coalesce(entry, 0) entry,
+  coalesce(pnl, 0) pnl, best_bid_price > 0 and best_ask_price > 0 ok, (best_bid_price + best_ask_price) / 200.0::double mid
+ from seen q left join state s on s.instrument_id = q.instrument_id and s.rn = q.rn)
+select instrument_id, sequence_num, cast(inventory as bigint) inventory, round(cash, 4) cash, round(entry, 4) average_entry_price,
+ round(pnl, 4) realized_pnl, round(case when ok and inventory <> 0 then inventory * (mid - entry) else 0 end, 4) unrealized_pnl from acc""",
     "inventory_asof": f"with {_PLAIN} select instrument_id, sequence_num, inventory from market",
     "reservation_price": _TABLE + " select instrument_id, sequence_num, mid_price,"
     " reservation_price, is_reservable from dec where config_id = 1",
