@@ -29,6 +29,11 @@ def _round(df, *cols, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+def settled(c, digits):
+    """Column ``c`` to so many digits, by way of six, so that both engines' last bits fall on one side of a half."""
+    return F.round(F.col(c).cast("decimal(38,6)"), digits).cast("double").alias(c)
+
+
 def eastern_dates(spark, sf):
     return views.fills(spark, sf).select(
         "fill_seq", "fill_timestamp_ns", cal.eastern_date("fill_timestamp_ns").alias("eastern_date")
@@ -226,9 +231,8 @@ def equity_curve(spark, sf, limits=UNLIMITED):
         "run_id", "instrument_id", "sequence_num", "cash", "position", "market_mid_price",
         "portfolio_equity", "realized_pnl", "unrealized_pnl",
     )
-    # Average entry prices put exact halves at the cut; a small shift moves them off it on both sides.
-    shifted = {c: F.col(c) + 1e-7 for c in ("cash", "portfolio_equity", "realized_pnl", "unrealized_pnl")}
-    return _round(out.withColumns(shifted), *shifted, digits=3)
+    money = {c: settled(c, 3) for c in ("cash", "portfolio_equity", "realized_pnl", "unrealized_pnl")}
+    return out.withColumns(money)
 
 
 def run_summary_limited(spark, sf):
@@ -541,10 +545,10 @@ def _ledger_oracles(take: str, suffix: str) -> dict[str, str]:
  round(cum_spread_cost, 6) cum_spread_cost, round(cum_slippage_cost, 6) cum_slippage_cost,
  round(cum_exchange_fee, 6) cum_exchange_fee, round(cum_regulatory_fee, 8) cum_regulatory_fee
  from tot""",
-        f"equity_curve{suffix}": _equity_sql(take) + """ select run_id, instrument_id, sequence_num, round(cash + 1e-7, 3) cash,
- position, market_mid_price, round(cash + position * market_mid_price + 1e-7, 3) portfolio_equity,
- round(realized_pnl + 1e-7, 3) realized_pnl, round(case when position <> 0 and market_mid_price > 0
-  then position * (market_mid_price - entry) else 0 end + 1e-7, 3) unrealized_pnl from eq""",
+        f"equity_curve{suffix}": _equity_sql(take) + """ select run_id, instrument_id, sequence_num, round(cash::decimal(38, 6), 3)::double cash,
+ position, market_mid_price, round((cash + position * market_mid_price)::decimal(38, 6), 3)::double portfolio_equity,
+ round(realized_pnl::decimal(38, 6), 3)::double realized_pnl, round((case when position <> 0 and market_mid_price > 0
+  then position * (market_mid_price - entry) else 0 end)::decimal(38, 6), 3)::double unrealized_pnl from eq""",
         f"run_summary{suffix}": _equity_sql(take) + f""", fin as (select run_id, instrument_id, count(*) n_quotes,
  arg_max(eq, receive_timestamp_ns) e from eq group by 1, 2)
 select run_id, instrument_id, n_quotes, e.position,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeframe.operators import features as feat
 from tapeframe.operators import quoting as ops
-from tapeframe.plans.accounting import walk_pnl
+from tapeframe.plans.accounting import settled, walk_pnl
 from tapeframe.plans.duck import QUOTES, TRADES
 from tapeframe.plans.features import _QUOTE_CORE, CONFIG
 from tapeframe.sources import views
@@ -73,7 +73,7 @@ def maker_account_asof(spark, sf):
     out = ops.account_as_of(
         views.quotes(spark, sf), fills, ["instrument_id"], "receive_timestamp_ns", "fill_ts", ["fill_seq"], 1_000_000.0)
     money = ["cash", "average_entry_price", "realized_pnl", "unrealized_pnl"]
-    return out.select("instrument_id", "sequence_num", "inventory", *[F.round(c, 4).alias(c) for c in money])
+    return out.select("instrument_id", "sequence_num", "inventory", *[settled(c, 4) for c in money])
 
 
 def reservation_price(spark, sf):
@@ -279,8 +279,8 @@ acc as (
  select q.instrument_id, q.sequence_num, coalesce(pos, 0) inventory, 1000000.0::double + coalesce(flow, 0) cash, coalesce(entry, 0) entry,
   coalesce(pnl, 0) pnl, best_bid_price > 0 and best_ask_price > 0 ok, (best_bid_price + best_ask_price) / 200.0::double mid
  from seen q left join state s on s.instrument_id = q.instrument_id and s.rn = q.rn)
-select instrument_id, sequence_num, cast(inventory as bigint) inventory, round(cash, 4) cash, round(entry, 4) average_entry_price,
- round(pnl, 4) realized_pnl, round(case when ok and inventory <> 0 then inventory * (mid - entry) else 0 end, 4) unrealized_pnl from acc""",
+select instrument_id, sequence_num, cast(inventory as bigint) inventory, round(cash::decimal(38, 6), 4)::double cash, round(entry::decimal(38, 6), 4)::double average_entry_price,
+ round(pnl::decimal(38, 6), 4)::double realized_pnl, round((case when ok and inventory <> 0 then inventory * (mid - entry) else 0 end)::decimal(38, 6), 4)::double unrealized_pnl from acc""",
     "inventory_asof": f"with {_PLAIN} select instrument_id, sequence_num, inventory from market",
     "reservation_price": _TABLE + " select instrument_id, sequence_num, mid_price,"
     " reservation_price, is_reservable from dec where config_id = 1",
