@@ -35,6 +35,14 @@ def seeds(n: int, tag: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(tag))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def plain_texts(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> pa.Array:
     """The column as one string array; null texts become empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -301,8 +301,9 @@ def clean(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc
     own = F.struct("doc", "text_key")
     known = nodes.select("node", own.alias("own")).join(_least(nodes, staged(found, "found")), "node", "left")
     known = known.select("node", F.coalesce("least", "own").alias("least"))
-    gone = members.join(known, "node").where(own != F.col("least")).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    keys = [arrays.free_name(docs.columns, x) for x in ("__doc", "__key")]
+    gone = members.join(known, "node").where(own != F.col("least")).select(F.col("doc").alias(keys[0]), F.col("text_key").alias(keys[1])).distinct()
     name, body = ("`" + c.replace("`", "``") + "`" for c in (doc_id, text))
-    keys = {"__doc": F.coalesce(F.col(name).cast("long"), F.lit(_LOWEST)), "__key": F.xxhash64(F.col(body).cast("string"))}
-    kept = docs.withColumns(keys).join(gone, ["__doc", "__key"], "left_anti")
-    return kept.dropDuplicates(["__doc", "__key"]).select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
+    values = (F.coalesce(F.col(name).cast("long"), F.lit(_LOWEST)), F.xxhash64(F.col(body).cast("string")))
+    kept = docs.withColumns(dict(zip(keys, values, strict=True))).join(gone, keys, "left_anti")
+    return kept.dropDuplicates(keys).select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])

@@ -110,11 +110,12 @@ def _quoted(name: str) -> F.Column:
 
 
 def _with_runs(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
-    """``docs`` with ``__runs``, the repeated runs of each row (null if it has none)."""
+    """``docs`` with the repeated runs of each row as its last column (null if it has none)."""
+    names = [arrays.free_name(docs.columns, x) for x in ("__doc", "__key", "__runs")]
     keys = [F.coalesce(_quoted(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(_quoted(text).cast("string")).alias("text_key")]
-    runs = repeated_runs(docs.select(*keys, _quoted(text).cast("string").alias("text")), min_words).toDF("__doc", "__key", "__runs")
-    rows = docs.select(*[_quoted(c) for c in docs.columns], keys[0].alias("__doc"), keys[1].alias("__key"))
-    return rows.join(runs, ["__doc", "__key"], "left").drop("__doc", "__key")
+    runs = repeated_runs(docs.select(*keys, _quoted(text).cast("string").alias("text")), min_words).toDF(*names)
+    rows = docs.select(*[_quoted(c) for c in docs.columns], keys[0].alias(names[0]), keys[1].alias(names[1]))
+    return rows.join(runs, names[:2], "left").select(*[_quoted(c) for c in docs.columns], names[2])
 
 
 def without_runs(text: str, runs: list[dict]) -> tuple[str, int]:
@@ -129,7 +130,7 @@ def without_runs(text: str, runs: list[dict]) -> tuple[str, int]:
 
 
 def _rebuilt(rows: DataFrame, at: int, columns: list, schema, counted: bool) -> DataFrame:
-    """Apply ``__runs``, the last column, to the text at ``at``; with ``counted`` append the number of deleted lines."""
+    """Apply the runs, the last column, to the text at ``at``; with ``counted`` append the number of deleted lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.parts(batches, at):
@@ -152,7 +153,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     two = docs.select(_quoted(doc_id).cast("long").alias("doc_id"), _quoted(text).cast("string").alias("text"))
     rows = _with_runs(two, min_words, "doc_id", "text")
     lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
-    rows = rows.select("doc_id", lines.alias("n_lines"), "text", "__runs")
+    rows = rows.select("doc_id", lines.alias("n_lines"), "text", rows.columns[-1])
     return _rebuilt(rows, 2, ["doc_id", "n_lines", "text", "n_deleted"], "doc_id long, n_lines long, text string, n_deleted long", True)
 
 

@@ -23,7 +23,7 @@ def odd(docs_of):
     clash with those that operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ("doc", "row", "block", "text_key", "node", "class_id", "score", "words", "start", "runs", "ids", "v", "shard")
+    names = ("doc", "row", "block", "text_key", "node", "class_id", "score", "words", "start", "runs", "ids", "v", "shard", "__key", "__doc", "__runs", "__had", "size", "place", "gram")
     return docs_of(ODD).withColumns({n: F.lit(None).cast("string") for n in names})
 
 
