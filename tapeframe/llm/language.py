@@ -48,37 +48,41 @@ def letter_vectors(codes: np.ndarray, config: ProfileConfig) -> np.ndarray:
     return flat.astype(np.int8) * np.int8(2) - np.int8(1)
 
 
-def trigrams(texts: pa.Array, config: ProfileConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counts, vectors, letters): text by n-gram counts, n-gram by dimension vectors, letters per text."""
-    points = np.frombuffer("\n".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+def bundles(texts: pa.Array, config: ProfileConfig, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """(bundle, letters): the sum of each text's n-gram vectors, and how many letters it has.
+
+    Distinct n-grams are taken ``block`` at a time, so memory does not grow with their number, which large
+    alphabets drive up. Sums are of whole numbers, hence exact in any order.
+    """
+    own = texts.to_pylist()
+    points = np.frombuffer("\n".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[points]
-    length = np.array([len(t) for t in texts.to_pylist()], np.int64)
+    length = np.array([len(t) for t in own], np.int64)
     text_of = np.repeat(np.arange(len(length)), length + 1)[:len(points)]
     found = np.bincount(text_of[letter], minlength=len(length))
+    out = np.zeros((len(length), config.dimensions))
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one edge after each word
     codes, owner = np.where(letter, points, 0)[keep], text_of[keep]
     if not len(codes):
-        return np.zeros((len(length), 0), np.float32), np.zeros((0, config.dimensions), np.float32), found
+        return out, found
     codes = np.concatenate([[0], codes, [0]]).astype(np.int64)
-    alphabet = np.flatnonzero(np.bincount(codes, minlength=1))
-    place = np.zeros(alphabet[-1] + 1, np.int64)
-    place[alphabet] = np.arange(len(alphabet))
-    x, a = place[codes], len(alphabet)
-    gram = ((x[:-2] * a + x[1:-1]) * a + x[2:])
+    alphabet, x = np.unique(codes, return_inverse=True)
+    a = len(alphabet)
     inner = codes[1:-1] != 0
-    gram, owner = gram[inner], owner[inner]
-    if a ** 3 <= 1 << 23:
-        present = np.flatnonzero(np.bincount(gram, minlength=1))
-        slot = np.zeros(present[-1] + 1, np.int64)
-        slot[present] = np.arange(len(present))
-        gram = slot[gram]
-    else:
-        present, gram = np.unique(gram, return_inverse=True)
-    counts = np.bincount(owner * len(present) + gram, minlength=len(length) * len(present)).reshape(len(length), -1)
+    gram, owner = ((x[:-2] * a + x[1:-1]) * a + x[2:])[inner], owner[inner]
+    order = np.argsort(gram, kind="stable")
+    gram, owner = gram[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    number = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
     base = letter_vectors(alphabet, config)
-    vectors = np.roll(base, 2, 1)[present // (a * a)] * np.roll(base, 1, 1)[present // a % a] * base[present % a]
-    return counts.astype(np.float32), vectors.astype(np.float32), found
+    for low in range(0, len(first), block):
+        present = gram[first[low:low + block]]
+        begin, end = first[low], first[low + block] if low + block < len(first) else len(gram)
+        counts = np.bincount(owner[begin:end] * len(present) + number[begin:end] - low, minlength=len(length) * len(present))
+        vectors = np.roll(base[present // (a * a)], 2, 1) * np.roll(base[present // a % a], 1, 1) * base[present % a]
+        out += counts.reshape(len(length), -1).astype(np.float32) @ vectors.astype(np.float32)
+    return out, found
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -99,11 +103,10 @@ def prototypes(docs: DataFrame, config: ProfileConfig = ProfileConfig(), text: s
             texts = arrays.plain_texts(batch.column(0), lower=True)
             names = batch.column(1).to_pylist()
             for i, j in _groups(texts):
-                counts, vectors, _ = trigrams(texts[i:j], config)
+                bundle, _ = bundles(texts[i:j], config)
                 for name in set(names[i:j]):
                     rows = np.array([x == name for x in names[i:j]])
-                    bundle = counts[rows].sum(0, dtype=np.float64) @ vectors.astype(np.float64)
-                    total[name] = total.get(name, 0) + bundle
+                    total[name] = total.get(name, 0) + bundle[rows].sum(0)
         shard = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.string()), pa.array([shard] * len(total), pa.int32()),
@@ -125,10 +128,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], config: ProfileCon
         for batch in arrays.parts(batches, 2):
             texts = arrays.plain_texts(batch.column(2), lower=True)
             for i, j in _groups(texts):
-                counts, vectors, found = trigrams(texts[i:j], config)
+                bundle, found = bundles(texts[i:j], config)
                 best, value = np.full(j - i, -1), np.zeros(j - i)
-                if names and counts.shape[1]:
-                    bundle = counts @ vectors
+                if names and found.any():
                     size = np.linalg.norm(bundle, axis=1)
                     cosine = bundle @ unit.T / np.maximum(size, 1e-9)[:, None]
                     best = np.where(found > 0, cosine.argmax(1), -1)

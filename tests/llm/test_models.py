@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -106,14 +107,67 @@ def test_language(spark, docs_of, odd, none):
 
 def test_bundles_add_and_bind():
     config = language.ProfileConfig(dimensions=100)
-    counts, vectors, letters = language.trigrams(pa.array(["ab ab", "ab", "", "1 2"], pa.large_string()), config)
+    bundle, letters = language.bundles(pa.array(["ab ab", "ab", "", "1 2"], pa.large_string()), config)
     assert letters.tolist() == [4, 2, 0, 0]
-    bundle = counts @ vectors
     assert (bundle[0] == 2 * bundle[1]).all() and not bundle[2:].any()
     a, b, edge = language.letter_vectors(np.array([97, 98, 0]), config).astype(int)
     assert (bundle[1] == np.roll(edge, 2) * np.roll(a, 1) * b + np.roll(a, 2) * np.roll(b, 1) * edge).all()
 
 
+def plain_bundle(text, config):
+    """One word and one letter at a time."""
+    total = np.zeros(config.dimensions)
+    vector = lambda c: language.letter_vectors(np.array([c]), config)[0].astype(int)
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        codes = [0, *map(ord, word), 0]
+        for x, y, z in zip(codes, codes[1:], codes[2:], strict=False):
+            total += np.roll(vector(x), 2) * np.roll(vector(y), 1) * vector(z)
+    return total
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abcé漢字 1.\n", max_size=40), min_size=1, max_size=5), st.integers(1, 9))
+def test_bundles_in_blocks_are_the_plain_ones(texts, block):
+    config = language.ProfileConfig(dimensions=70)
+    got, letters = language.bundles(pa.array(texts, pa.large_string()), config, block)
+    assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
+    assert (got == np.stack([plain_bundle(t, config) for t in texts])).all()
+
+
+def test_predictions_are_the_plain_ones(docs_of):
+    """Learning and prediction one text at a time, on every text of a small table."""
+    rnd = random.Random(4)
+    syllables = {"x": ["ka", "to", "mi"], "y": ["sch", "ung", "ein"], "z": ["漢", "字", "語"]}
+    rows = [(i, " ".join("".join(rnd.choices(syllables[g], k=3)) for _ in range(rnd.randrange(1, 9))), g) for i, g in enumerate(rnd.choices("xyz", k=60))]
+    rows += [(100, "kato schung", None), (101, "123", "x"), (102, None, "y"), (None, "kami tomi", "x")]
+    config = language.ProfileConfig(dimensions=90)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    profiles = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and not held(i):
+            profiles[lang] = profiles.get(lang, 0) + plain_bundle(text, config)
+    for r in language.identify(docs_of(rows), config).collect():
+        text = next(t for i, t, _ in rows if i == r.doc_id)
+        own = plain_bundle(text or "", config)
+        assert r.held_out == held(r.doc_id)
+        if not own.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = {k: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for k, v in sorted(profiles.items())}
+        best = max(cosine, key=cosine.get)
+        assert r.lang_pred == best and r.score == pytest.approx(max(0, cosine[best]), abs=1e-5)
+
+
+def test_large_alphabets_take_little_memory():
+    rnd = random.Random(6)
+    text = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(300_000))
+    tracemalloc.start()
+    language.bundles(pa.array([text], pa.large_string()), language.ProfileConfig())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
 def test_quality(spark, odd, none):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
