@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeframe.operators import features as feat
-from tapeframe.operators import intervals, labels, sealed, tape
+from tapeframe.operators import intervals, labels, packed, sealed, tape
 from tapeframe.operators import splits as ops
 from tapeframe.plans.duck import ARRIVALS, QUOTES, TRADES
 from tapeframe.session import inline_table
@@ -65,6 +65,24 @@ def combinatorial_purged(spark, sf):
     return df.select("split_index", "row_id", "role")
 
 
+def _packed(spark, sf):
+    df = _samples(spark, sf)
+    blocks = ops.contiguous_blocks(ops.TimeAxis(df, "ts", "row_id"), 6)
+    folds = ops.combinatorial_folds(blocks, 2)
+    return packed.packed_membership(df, "ts", blocks, folds, LABEL_NS, PURGE), len(folds)
+
+
+def combinatorial_partition_rows(spark, sf):
+    """The training rows of one combinatorial fold, out of packed roles."""
+    rows, n = _packed(spark, sf)
+    return packed.take_packed(rows, n, 7, "train").select("row_id", "ts", "price")
+
+
+def combinatorial_counts(spark, sf):
+    """Rows per combinatorial fold and role, counted on packed roles."""
+    return packed.packed_counts(*_packed(spark, sf))
+
+
 def split_partition_rows(spark, sf):
     df = ops.purged_k_fold(_samples(spark, sf), "ts", "row_id", 5, LABEL_NS, PURGE)
     return ops.take_partition(df, 2, "train").select("row_id", "ts", "price")
@@ -318,7 +336,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         time_rank, holdout_split, walk_forward_rolling, walk_forward_expanding, purged_k_fold,
-        purge_embargo_counts, combinatorial_purged, split_partition_rows, label_interval_overlap,
+        purge_embargo_counts, combinatorial_purged, combinatorial_partition_rows, combinatorial_counts, split_partition_rows, label_interval_overlap,
         interval_predicates, label_intervals, split_compliance, membership_overlap,
         duplicate_membership, point_in_time_audit, feature_target_correlation,
         availability_latency, split_bounds, split_manifest, role_compliance, role_duplicates, split_seal,
@@ -326,6 +344,18 @@ QUERIES = {
     )
 }
 
+_COMBOS = f"""{_blocks(6)}, combos as (
+ select a.block_start s1, a.block_stop e1, b.block_start s2, b.block_stop e2,
+  row_number() over (order by a.block, b.block) - 1 split_index
+ from blocks a join blocks b on a.block < b.block),
+chosen as (
+ select split_index, row_id, ts, price, case when ts >= s1 and ts < e1 or ts >= s2 and ts < e2 then 'test'
+ when ts < e1 and ts + {LABEL_NS} >= s1 then 'purged'
+ when ts >= e1 and ts < e1 + {PURGE.embargo_ns} then 'embargoed'
+ when ts < e2 and ts + {LABEL_NS} >= s2 then 'purged'
+ when ts >= e2 and ts < e2 + {PURGE.embargo_ns} then 'embargoed' else 'train' end as role
+ from samples, combos)"""
+
 _ROLES = _blocks(5) + f""", cut as (
  select v.block - 1 split_index, v.block_start v, t.block_start t, t.block_stop e from blocks v join blocks t on t.block = v.block + 1 where v.block between 1 and 3),
 own as (
@@ -375,16 +405,11 @@ select row_id, ts, partition, case when (ts < c1 and le >= c1)
  count(*) filter (role = 'train') train_rows, count(*) filter (role = 'test') test_rows,
  count(*) filter (role = 'purged') purged_rows, count(*) filter (role = 'embargoed')
  embargoed_rows from members group by 1""",
-    "combinatorial_purged": f"""with {_blocks(6)}, combos as (
- select a.block_start s1, a.block_stop e1, b.block_start s2, b.block_stop e2,
-  row_number() over (order by a.block, b.block) - 1 split_index
- from blocks a join blocks b on a.block < b.block)
-select split_index, row_id, case when ts >= s1 and ts < e1 or ts >= s2 and ts < e2 then 'test'
- when ts < e1 and ts + {LABEL_NS} >= s1 then 'purged'
- when ts >= e1 and ts < e1 + {PURGE.embargo_ns} then 'embargoed'
- when ts < e2 and ts + {LABEL_NS} >= s2 then 'purged'
- when ts >= e2 and ts < e2 + {PURGE.embargo_ns} then 'embargoed' else 'train' end as role
- from samples, combos""",
+    "combinatorial_purged": f"with {_COMBOS} select split_index, row_id, role from chosen",
+    "combinatorial_partition_rows": f"with {_COMBOS} select row_id, ts, price from chosen where split_index = 7 and role = 'train'",
+    "combinatorial_counts": f"""with {_COMBOS} select split_index, count(*) filter (role = 'train') train_rows,
+ count(*) filter (role = 'test') test_rows, count(*) filter (role = 'purged') purged_rows,
+ count(*) filter (role = 'embargoed') embargoed_rows from chosen group by 1""",
     "split_partition_rows": f"with {_KFOLD} select row_id, ts, price from members"
     " where split_index = 2 and role = 'train'",
     "label_interval_overlap": f"with {_blocks(5)} select row_id, block split_index from samples"
