@@ -48,7 +48,7 @@ def letter_vectors(codes: np.ndarray, config: ProfileConfig) -> np.ndarray:
     return flat.astype(np.int8) * np.int8(2) - np.int8(1)
 
 
-def bundles(texts: pa.Array, config: ProfileConfig, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def bundles(texts: pa.Array, config: ProfileConfig, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """(bundle, letters): the sum of each text's n-gram vectors, and how many letters it has.
 
     Distinct n-grams are taken ``block`` at a time, so memory does not grow with their number, which large
@@ -67,18 +67,26 @@ def bundles(texts: pa.Array, config: ProfileConfig, block: int = 2048) -> tuple[
     if not len(codes):
         return out, found
     codes = np.concatenate([[0], codes, [0]]).astype(np.int64)
-    alphabet, x = np.unique(codes, return_inverse=True)
-    a = len(alphabet)
+    alphabet = np.flatnonzero(np.bincount(codes, minlength=1))
+    place = np.zeros(alphabet[-1] + 1, np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    x, a = place[codes], len(alphabet)
     inner = codes[1:-1] != 0
     gram, owner = ((x[:-2] * a + x[1:-1]) * a + x[2:])[inner], owner[inner]
-    order = np.argsort(gram, kind="stable")
-    gram, owner = gram[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    number = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
+    if a ** 3 <= 1 << 23:
+        every = np.flatnonzero(np.bincount(gram, minlength=1))
+        slot = np.zeros(every[-1] + 1, np.int64)
+        slot[every] = np.arange(len(every))
+        number = slot[gram]
+    else:
+        every, number = np.unique(gram, return_inverse=True)
+    if len(every) > block:
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], owner[order]
     base = letter_vectors(alphabet, config)
-    for low in range(0, len(first), block):
-        present = gram[first[low:low + block]]
-        begin, end = first[low], first[low + block] if low + block < len(first) else len(gram)
+    for low in range(0, len(every), block):
+        present = every[low:low + block]
+        begin, end = (0, len(number)) if len(every) <= block else np.searchsorted(number, [low, low + block])
         counts = np.bincount(owner[begin:end] * len(present) + number[begin:end] - low, minlength=len(length) * len(present))
         vectors = np.roll(base[present // (a * a)], 2, 1) * np.roll(base[present // a % a], 1, 1) * base[present % a]
         out += counts.reshape(len(length), -1).astype(np.float32) @ vectors.astype(np.float32)
