@@ -294,3 +294,28 @@ def test_overlap_join_matches_all_pairs(spark):
     assert sorted((r.k, r.j) for r in got) == want
     none = spark.createDataFrame([], "j long, block_start long, block_stop long")
     assert overlap_join(spark.createDataFrame(labels, "k long, obs long, fin long"), none, "obs", "fin").collect() == []
+
+
+@pytest.mark.parametrize("rows", [None, "7"])
+def test_large_overlapping_schedules_stay_small(spark, rows):
+    """Intervals become at most three rows each, in chunks, and nothing of their size is broadcast."""
+    from tapeframe.operators import scan
+    from tapeframe.operators.intervals import disjoint
+
+    n = 400
+    span = lambda k: (k * 10**12, None if k % 97 == 0 else k * 10**12 + (1 + k % 90) * 10**12)
+    dim = spark.createDataFrame([(*span(k), None if k % 31 == 0 else 2**60 + k) for k in range(n)], "start_ns long, end_ns long, k long")
+    if rows:
+        spark.conf.set(scan.CHUNK_ROWS_CONF, rows)
+    try:
+        got = disjoint(dim, ["k"])
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        segments = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.unset(scan.CHUNK_ROWS_CONF)
+    assert plan.count("Generate") <= 2 and "FlatMapGroupsInArrow" in plan
+    for t in range(-1, n + 100):
+        held = [k for k in range(n) if span(k)[0] <= t * 10**12 and (span(k)[1] is None or t * 10**12 < span(k)[1])]
+        here = [s for s in segments if s[0] <= t * 10**12]
+        want = (None if max(held) % 31 == 0 else 2**60 + max(held), True) if held else (None, False)
+        assert (here[-1][1:] if here else (None, False)) == want, t
