@@ -180,13 +180,10 @@ class BookKeeper(StatefulProcessor):
         heaps = {1: [-p for s, p in levels if s == 1], 2: [p for s, p in levels if s == 2]}
         for h in heaps.values():
             heapq.heapify(h)
-        touched, orders = set(), {}
-
-        def order(oid):
-            if oid not in orders:
-                known = self.orders.containsKey((oid,))
-                orders[oid] = tuple(int(x) for x in self.orders.getValue((oid,))) if known else None
-            return orders[oid]
+        # The state holds live orders only; it is read as a whole, since every single look-up is a round trip.
+        known = {int(k[0]): tuple(int(x) for x in v) for k, v in self.orders.iterator()}
+        known_levels = set(levels)
+        touched, orders = set(), dict(known)
 
         def shift(side, price, dq, dn):
             at = (side, price)
@@ -217,7 +214,7 @@ class BookKeeper(StatefulProcessor):
         def apply(action, oid, side, price, quantity):
             if oid == 0:
                 return
-            live = order(oid)
+            live = orders.get(oid)
             if action == 4:
                 if price > 0 and quantity > 0 and side in (1, 2) and not live and not crosses(side, price):
                     orders[oid] = (side, price, quantity)
@@ -231,7 +228,7 @@ class BookKeeper(StatefulProcessor):
                     orders[oid] = (live[0], price, quantity)
             elif action == 6 and live:
                 shift(live[0], live[1], -live[2], -1)
-                orders[oid] = None
+                del orders[oid]
 
         out, last = [], (*best(1), *best(2))
         columns = ["seq", "action", "order_id", "side", "price", "quantity"]
@@ -242,14 +239,14 @@ class BookKeeper(StatefulProcessor):
                 out.append((seq, *now))
                 last = now
         for oid, o in orders.items():
-            if o is not None:
+            if known.get(oid) != o:
                 self.orders.updateValue((oid,), o)
-            elif self.orders.containsKey((oid,)):
-                self.orders.removeKey((oid,))
+        for oid in known.keys() - orders.keys():
+            self.orders.removeKey((oid,))
         for at in touched:
             if at in levels:
                 self.levels.updateValue(at, tuple(levels[at]))
-            elif self.levels.containsKey(at):
+            elif at in known_levels:
                 self.levels.removeKey(at)
         names = ["seq", "best_bid_price", "best_bid_quantity", "best_bid_orders", "best_ask_price",
                  "best_ask_quantity", "best_ask_orders"]
