@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,14 +238,31 @@ def level_timeline(intervals: DataFrame) -> DataFrame:
 
 
 def _best_after_each(pdf: pd.DataFrame) -> pd.DataFrame:
-    """BBO changes of one chunk: levels live at its start (carried rows), then its level changes."""
-    pdf = pdf.sort_values("seq", kind="stable")
-    carried = pdf["carried"].to_numpy()
+    """BBO changes of the chunks of a group: of each the levels live at its start (carried rows), then its level changes."""
+    names = ["seq", "side", "price", "quantity", "order_count"]
+    by_chunk = np.lexsort((pdf["seq"].to_numpy(), ~pdf["carried"].to_numpy(), pdf["chunk"].to_numpy()))
+    chunk, carried, *columns = (pdf[c].to_numpy()[by_chunk] for c in ["chunk", "carried", *names])
+    starts = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
+    ends = np.append(starts[1:], len(chunk))
+    firsts = starts + np.add.reduceat(carried.astype("int64"), starts)
+    columns = [c.tolist() for c in columns]
+    out: list[tuple] = []
+    for start, first, end in zip(starts.tolist(), firsts.tolist(), ends.tolist(), strict=True):
+        _walk_chunk([c[start:first] for c in columns], [c[first:end] for c in columns], out)
+    res = pd.DataFrame(
+        out, columns=["seq", "best_bid_price", "best_bid_quantity", "best_bid_orders",
+                      "best_ask_price", "best_ask_quantity", "best_ask_orders"]
+    ).astype("Int64")
+    res.insert(0, "instrument_id", pdf["instrument_id"].iloc[0])
+    return res
+
+
+def _walk_chunk(before: list[list], changes: list[list], out: list[tuple]) -> None:
+    """Adds the BBO changes of one chunk to ``out``."""
     # Prices are negated on the bid side, so the best level is the smallest key on both sides.
     levels: tuple[dict, dict] = ({}, {})
     heaps: tuple[list, list] = ([], [])
-    names = ["seq", "side", "price", "quantity", "order_count"]
-    for _, side, price, qty, n in zip(*(pdf.loc[carried, c].tolist() for c in names), strict=True):
+    for _, side, price, qty, n in zip(*before, strict=True):
         key = -price if side == BUY else price
         levels[side - 1][key] = (qty, n)
         heaps[side - 1].append(key)
@@ -262,11 +280,9 @@ def _best_after_each(pdf: pd.DataFrame) -> pd.DataFrame:
 
     top = [best(0), best(1)]
     last = (*top[0], *top[1])
-    out = []
-    columns = [pdf.loc[~carried, c].tolist() for c in names]
-    following = [*columns[0][1:], None]
+    following = [*changes[0][1:], None]
     for (seq, side, price, qty, n), upcoming in zip(
-        zip(*columns, strict=True), following, strict=False
+        zip(*changes, strict=True), following, strict=False
     ):
         s = side - 1
         key = -price if s == 0 else price
@@ -286,12 +302,6 @@ def _best_after_each(pdf: pd.DataFrame) -> pd.DataFrame:
         if now != last:
             out.append((seq, *now))
             last = now
-    res = pd.DataFrame(
-        out, columns=["seq", "best_bid_price", "best_bid_quantity", "best_bid_orders",
-                      "best_ask_price", "best_ask_quantity", "best_ask_orders"]
-    ).astype("Int64")
-    res.insert(0, "instrument_id", pdf["instrument_id"].iloc[0])
-    return res
 
 
 def bbo_timeline(intervals: DataFrame, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
@@ -300,7 +310,8 @@ def bbo_timeline(intervals: DataFrame, chunk_events: int = CHUNK_EVENTS) -> Data
     Instruments are cut into runs of ``chunk_events`` sequence numbers. A chunk starts from the
     levels live just before its first event, which are level states that reach the boundary; so a
     group holds one chunk's changes plus one row per live price level, however long the instrument's
-    log is, and the rows do not depend on where the cuts fall.
+    log is, and the rows do not depend on where the cuts fall. Short chunks share a group, since each group
+    has a cost of its own.
     """
     spans = running(
         level_timeline(intervals), [*KEY, "side", "price"], ["seq"], descending=True,
@@ -324,7 +335,8 @@ def bbo_timeline(intervals: DataFrame, chunk_events: int = CHUNK_EVENTS) -> Data
         *KEY, "chunk", "seq", "side", "price", "quantity", "order_count",
         (F.col("chunk") > F.col("home")).alias("carried"),
     )
-    return rows.groupBy(*KEY, "chunk").applyInPandas(
+    together = max(1, CHUNK_EVENTS // chunk_events)
+    return rows.groupBy(*KEY, F.expr(f"chunk div {together}L").alias("group")).applyInPandas(
         lambda pdf: _best_after_each(pdf),
         "instrument_id long, seq long, best_bid_price long, best_bid_quantity long,"
         " best_bid_orders long, best_ask_price long, best_ask_quantity long, best_ask_orders long",

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,61 @@ def test_snapshot_status(spark):
     df = spark.createDataFrame(rows, f"id long, bids {level}, asks {level}")
     got = {r.id: r.is_valid_snapshot for r in ops.with_snapshot_status(df).collect()}
     assert got == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_short_chunks_share_a_group(spark):
+    """Chunks of 50 events are not a Python call each, and each still starts from its own carried levels."""
+    def walk(pdf):
+        walk.groups += 1
+        return ops._best_after_each(pdf)
+
+    walk.groups = 0
+    frame = pd.DataFrame(
+        [(1, 1, 50, 1, 100, 5, 1, False), (1, 2, 50, 1, 100, 5, 1, True), (1, 2, 100, 1, 100, 0, 0, False),
+         (1, 2, 100, 1, 101, 5, 1, False), (1, 3, 100, 1, 101, 5, 1, True), (1, 3, 150, 1, 101, 5, 1, False)],
+        columns=["instrument_id", "chunk", "seq", "side", "price", "quantity", "order_count", "carried"])
+    got = walk(frame.sample(frac=1, random_state=3))
+    assert got[["seq", "best_bid_price"]].to_numpy().tolist() == [[50, 100], [100, 101]] and walk.groups == 1
+    iv = ops.order_intervals(spark.createDataFrame(_random_log(1), LOG))
+    plan = ops.bbo_timeline(iv, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [instrument_id" in plan and ", group#" in plan
+
+
+class Counted:
+    """A map state that counts its look-ups."""
+
+    def __init__(self, held=()):
+        self.held, self.lookups = dict(held), 0
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def containsKey(self, key):
+        self.lookups += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.lookups += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+def test_the_book_stream_reads_its_state_as_a_whole():
+    """A look-up per order would be a round trip each; what is kept is the live orders and levels."""
+    from tapeframe.streaming.processors import BookKeeper
+
+    rows = [r for r in _random_log(9) if r[0] == 1]
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in LOG.split(", ")])
+    keeper = BookKeeper("reject")
+    keeper.orders, keeper.levels = Counted(), Counted()
+    for part in (frame.iloc[:90], frame.iloc[90:]):
+        list(keeper.handleInputRows((1,), iter([part]), None))
+    book = _replay(rows, reject=True)[0][1]
+    assert keeper.orders.lookups == keeper.levels.lookups == 0
+    assert keeper.orders.held == {(oid,): tuple(o[:3]) for oid, o in book.orders.items()}
+    assert {k for k in keeper.levels.held} == {(o[0], o[1]) for o in book.orders.values()}
