@@ -125,3 +125,11 @@ def test_asof_staleness(spark, both_plans):
     assert {r.i: r.j for r in out} == {
         t: (t // 20 * 20 if t % 20 <= 8 else None) for t in range(0, 100, 7)
     }
+
+
+def test_a_key_is_cut_before_its_sorts_fill_a_task(spark):
+    """Several sorts of one task hold the rows at once; half a million rows of a key are a chunk."""
+    one_key = spark.range(600_000).selectExpr("0L k", "id t")
+    width = scan.chunk_width(one_key, ["k"], "t")
+    assert width is not None and width <= 600_000
+    assert scan.chunk_width(one_key.where("t < 400000"), ["k"], "t") is None
