@@ -16,10 +16,22 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 BUY = 1
 
 
+#: A key's rows are worked off in slices of so many, so that helper arrays do not grow with a batch.
+SLICE_ROWS = 100_000
+
+
 def _gather(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
 
 
+def _slices(rows: Iterator[pd.DataFrame], order: list[str]) -> Iterator[pd.DataFrame]:
+    """A key's rows in ``order``, slice by slice; only the rows themselves are held as a whole, and once."""
+    whole = pd.concat(list(rows), ignore_index=True)
+    at = np.lexsort([whole[c].to_numpy() for c in reversed(order)])
+    for start in range(0, len(at), SLICE_ROWS):
+        yield whole.iloc[at[start:start + SLICE_ROWS]].reset_index(drop=True)
+
+
 class RunningMax(StatefulProcessor):
     """Maximum of a column over all earlier rows of the key, in arrival order."""
 
@@ -51,10 +63,10 @@ class LateGuard(RunningMax):
         super().__init__("source_timestamp_ns", "input_index", None)
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _gather(rows, ["input_index"])
-        before, known = self.before_each(pdf)
-        keep = ~known | (pdf["source_timestamp_ns"].to_numpy() >= before)
-        yield pdf[keep]
+        for pdf in _slices(rows, ["input_index"]):
+            before, known = self.before_each(pdf)
+            keep = ~known | (pdf["source_timestamp_ns"].to_numpy() >= before)
+            yield pdf[keep]
 
 
 class SequenceGuard(RunningMax):
@@ -64,14 +76,14 @@ class SequenceGuard(RunningMax):
         super().__init__("sequence_num", "input_index", 0)
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _gather(rows, ["input_index"])
-        m, _ = self.before_each(pdf)
-        seq = pdf["sequence_num"].to_numpy()
-        pdf["previous_sequence"] = m
-        pdf["sequence_status"] = np.select(
-            [seq == m + 1, seq > m + 1, seq == m], ["expected", "gap", "duplicate"], "out_of_order"
-        )
-        yield pdf
+        for pdf in _slices(rows, ["input_index"]):
+            m, _ = self.before_each(pdf)
+            seq = pdf["sequence_num"].to_numpy()
+            pdf["previous_sequence"] = m
+            pdf["sequence_status"] = np.select(
+                [seq == m + 1, seq > m + 1, seq == m], ["expected", "gap", "duplicate"], "out_of_order"
+            )
+            yield pdf
 
 
 class QuoteFeatures(StatefulProcessor):
@@ -88,7 +100,11 @@ class QuoteFeatures(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _gather(rows, ["source_timestamp_ns", "sequence_num"])
+        for pdf in _slices(rows, ["source_timestamp_ns", "sequence_num"]):
+            yield self.with_features(pdf)
+
+    def with_features(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows with their features; advances the state."""
         if self.state.exists():
             quote, ofi_old, mids_old, rets_old, last_ret, last_vol = self.state.get()
         else:
@@ -150,7 +166,7 @@ class QuoteFeatures(StatefulProcessor):
                 last(out_ret[-1]), last(out_vol[-1]),
             )
         )
-        yield pdf
+        return pdf
 
     def close(self) -> None:
         pass

@@ -121,3 +121,45 @@ def test_stream_append_logs_each_batch(spark):
     assert audit.agg(F.sum("record_count")).first()[0] == 1000
     assert audit.select("batch_id").distinct().count() == 3
     assert lake.read_dataset(spark, root, "copy").count() == 1000
+
+
+class Held:
+    """A value state outside Spark."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_large_batches_are_worked_off_in_slices(monkeypatch):
+    """Helper arrays of a key do not grow with its rows, and the cuts change no row."""
+    import numpy as np
+    import pandas as pd
+    from tapeframe.streaming import processors
+
+    rng = np.random.default_rng(5)
+    n = 200
+    frame = pd.DataFrame({
+        "input_index": rng.permutation(n), "sequence_num": rng.integers(0, n, n), "source_timestamp_ns": rng.integers(0, 60, n),
+        "best_bid_price": rng.integers(90, 100, n), "best_bid_quantity": rng.integers(0, 9, n),
+        "best_ask_price": rng.integers(98, 110, n), "best_ask_quantity": rng.integers(1, 9, n)})
+    for make, names in ((processors.SequenceGuard, ["seen"]), (processors.LateGuard, ["seen"]),
+                        (lambda: processors.QuoteFeatures(5, 4, 2), ["state"])):
+        found = []
+        for rows in (10**6, 7):
+            monkeypatch.setattr(processors, "SLICE_ROWS", rows)
+            p = make()
+            for name in names:
+                setattr(p, name, Held())
+            parts = list(p.handleInputRows((1,), iter([frame.iloc[:120], frame.iloc[120:]]), None))
+            assert max(len(x) for x in parts) <= rows
+            found.append(pd.concat(parts, ignore_index=True))
+        pd.testing.assert_frame_equal(*found)
