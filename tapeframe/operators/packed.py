@@ -24,20 +24,23 @@ def packed_membership(
     df: DataFrame, ts: str, blocks: Sequence[Block], folds: Sequence[Fold], horizon: int | str, purge: PurgeConfig, into: str = "roles",
 ) -> DataFrame:
     """``df``, one row per row, with its role in every fold. ``folds`` test some of ``blocks`` (``test_blocks``)."""
-    t = f"`{ts}`"
-    relation = [
-        f"case when {t} >= {b.start}L and {t} < {b.stop}L then 1 when {t} < {b.stop}L and label_end_ns >= {b.start}L then 2"
-        f" when {purge.embargo_ns}L > 0 and {t} >= {b.stop}L and {t} < {b.stop + purge.embargo_ns}L then 3 else 0 end" for b in blocks]
+    relation = ", ".join(
+        f"case when x.t >= {b.start}L and x.t < {b.stop}L then 1 when x.t < {b.stop}L and x.e >= {b.start}L then 2"
+        f" when {purge.embargo_ns}L > 0 and x.t >= {b.stop}L and x.t < {b.stop + purge.embargo_ns}L then 3 else 0 end" for b in blocks)
     tested = ", ".join(f"array({', '.join(str(b) for b in f.test_blocks)})" for f in folds)
     # A tested block that holds the row decides; else the first one that objects.
-    role = """transform(__tested, c -> if(exists(c, b -> __relation[b] = 1), 1,
-        coalesce(get(filter(transform(c, b -> __relation[b]), x -> x > 0), 0), 0)))"""
+    role = """if(exists(c, b -> relation[b] = 1), 1,
+        coalesce(get(filter(transform(c, b -> relation[b]), x -> x > 0), 0), 0))"""
     longs = -(-len(folds) // _PER_LONG)
-    packed = f"""transform(sequence(0, {longs - 1}), j -> aggregate(slice(__codes, j * {_PER_LONG} + 1, {_PER_LONG}), 0L,
+    packed = f"""transform(sequence(0, {longs - 1}), j -> aggregate(slice(codes, j * {_PER_LONG} + 1, {_PER_LONG}), 0L,
         (bits, x) -> bits * 4 + x))"""
+    # Each step is the variable of the next one's lambda: a filter on the roles is pushed down to the scan with
+    # its expressions written out, and a column named in a lambda would be worked out again for every element.
     out = with_label_interval(df, ts, horizon)
-    each = out.withColumns({"__relation": F.expr(f"array({', '.join(relation)})"), "__tested": F.expr(f"array({tested})")})
-    return each.withColumn("__codes", F.expr(role)).withColumn(into, F.expr(packed)).select(*out.columns, into)
+    steps = f"array(named_struct('t', `{ts}`, 'e', label_end_ns))"
+    for name, step in (("x", f"array({relation})"), ("relation", f"transform(array({tested}), c -> {role})"), ("codes", packed)):
+        steps = f"transform({steps}, {name} -> {step})"
+    return out.withColumn(into, F.expr(f"{steps}[0]"))
 
 
 def _bits(index: int, folds: int, roles: str) -> str:

@@ -40,3 +40,12 @@ def test_bad_horizons_stay_visible(samples):
     blocks = ops.contiguous_blocks(ops.TimeAxis(samples, "ts", "row_id"), 4)
     rows = packed.packed_membership(samples.withColumn("h", F.lit(-1)), "ts", blocks, ops.combinatorial_folds(blocks, 2), "h", ops.PurgeConfig())
     assert all(r.is_bad_horizon and r.label_end_ns is None for r in rows.collect())
+
+
+def test_reading_a_fold_works_each_row_out_once(samples):
+    """The filter on the roles is pushed to the scan; it holds every block's conditions once."""
+    blocks = ops.contiguous_blocks(ops.TimeAxis(samples, "ts", "row_id"), 6)
+    folds = ops.combinatorial_folds(blocks, 2)
+    rows = packed.packed_membership(samples, "ts", blocks, folds, 5, ops.PurgeConfig(embargo_ns=7))
+    plan = packed.take_packed(rows, len(folds), 7, "train").select("row_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") == 6
