@@ -19,6 +19,7 @@ from tapeframe.contracts import BOOK_STATUS, MAX_SNAPSHOT_LEVELS
 from tapeframe.operators.features import sorted_levels
 from tapeframe.operators.scan import running, running_count, running_last, running_sum
 from tapeframe.operators.tape import snapshot_is_monotone
+from tapeframe.session import staged
 
 KEY = ["instrument_id"]
 TRADE, ADD, MODIFY, DELETE = 3, 4, 5, 6
@@ -393,26 +394,17 @@ def with_snapshot_status(snapshots: DataFrame) -> DataFrame:
 def overlay_depth(log: DataFrame, snapshots: DataFrame, ts_ns: int) -> DataFrame:
     """L2 depth at ``ts_ns`` where each valid snapshot replaced all earlier state.
 
-    Snapshots cut an instrument's log into epochs; orders live inside their epoch only, and the
-    levels of the current epoch's snapshot count as aggregate rows beside its orders.
+    Orders live between two snapshots only, so what the last valid snapshot of an instrument left behind is dropped
+    before anything is ordered; its levels count as aggregate rows beside the orders that came after it.
     """
-    good = with_snapshot_status(snapshots).where("is_valid_snapshot").drop("is_valid_snapshot")
-    marks = good.where(F.col("ts_ns") <= ts_ns).select(
-        *KEY, "ts_ns", F.lit(0).cast("long").alias("order_id"), F.lit(0).cast("long").alias("action"),
-        "bids", "asks",
-    )
-    both = log.where(F.col("ts_ns") <= ts_ns).unionByName(marks, allowMissingColumns=True)
-    both = running(
-        both, KEY, ["ts_ns", "order_id", "action"],
-        seq=running_count(), epoch=running_count(F.when(F.col("action") == 0, 1)),
-    )
-    current = both.groupBy(*KEY).agg(F.max("epoch").alias("epoch"))
-    both = both.join(current, [*KEY, "epoch"])
-    events = both.where(F.col("action") != 0).drop("bids", "asks")
-    l3 = l3_as_of(order_intervals(events, ["epoch"]), ts_ns)
-    levels = flatten_snapshots(both.where(F.col("action") == 0), KEY).where(
-        (F.col("price") > 0) & (F.col("quantity") > 0)
-    )
+    good = with_snapshot_status(snapshots).where(F.col("is_valid_snapshot") & (F.col("ts_ns") <= ts_ns))
+    cut = staged(good.groupBy(*KEY).agg(F.max("ts_ns").alias("cut_ns")), "cut")
+    at, mark = F.struct("ts_ns", "order_id", "action"), F.struct("cut_ns", F.lit(0).cast("long"), F.lit(0).cast("long"))
+    events = log.where(F.col("ts_ns") <= ts_ns).join(cut, KEY, "left").where(F.col("cut_ns").isNull() | (at > mark))
+    events = with_log_sequence(events.drop("cut_ns"))
+    l3 = l3_as_of(order_intervals(events), ts_ns)
+    last = good.join(cut, KEY).where("ts_ns = cut_ns").groupBy(*KEY).agg(F.max(F.struct("bids", "asks")).alias("s"))
+    levels = flatten_snapshots(last.select(*KEY, "s.*"), KEY).where((F.col("price") > 0) & (F.col("quantity") > 0))
     rows = l2_depth(l3).unionByName(
         levels.select(*KEY, "side", "price", "quantity",
                       F.greatest("order_count", F.lit(1)).alias("order_count"))

@@ -213,3 +213,28 @@ def test_the_book_stream_reads_its_state_as_a_whole():
     assert keeper.orders.lookups == keeper.levels.lookups == 0
     assert keeper.orders.held == {(oid,): tuple(o[:3]) for oid, o in book.orders.items()}
     assert {k for k in keeper.levels.held} == {(o[0], o[1]) for o in book.orders.values()}
+
+
+def test_overlay_orders_only_what_came_after_the_snapshot(spark, monkeypatch):
+    """Three instruments: one with a late snapshot, one whose only snapshot is out of order, one with none."""
+    level = "array<struct<price:bigint,quantity:bigint,order_count:bigint>>"
+    log = spark.createDataFrame(
+        [(i, 4, o, 1, 90 + o % 3, 10, o * 10) for i in (1, 2, 3) for o in range(1, 41)] + [(1, 6, 39, 1, 90, 10, 405)],
+        "instrument_id long, action long, order_id long, side long, price long, quantity long, ts_ns long")
+    snaps = spark.createDataFrame(
+        [(1, 370, [(95, 7, 2), (94, 5, 0)], []), (1, 100, [(80, 1, 1)], []), (1, 900, [(81, 1, 1)], []),
+         (2, 370, [(94, 1, 1), (95, 1, 1)], [])],
+        f"instrument_id long, ts_ns long, bids {level}, asks {level}")
+    ordered, plain = [], ops.running
+
+    def counted(df, *args, **carries):
+        ordered.append(df.count())
+        return plain(df, *args, **carries)
+
+    monkeypatch.setattr(ops, "running", counted)
+    got = {(r.instrument_id, r.price): (r.quantity, r.order_count) for r in ops.overlay_depth(log, snaps, 500).collect()}
+    whole = {90: (130, 13), 91: (140, 14), 92: (130, 13)}
+    # At 370 the snapshot sorts before the order of that instant; order 39 is deleted again.
+    late = {91: (20, 2), 92: (10, 1), 95: (7, 2), 94: (5, 1)}
+    assert got == {(1, p): x for p, x in late.items()} | {(i, p): x for i in (2, 3) for p, x in whole.items()}
+    assert ordered == [5 + 40 + 40]
