@@ -305,8 +305,8 @@ def _walk_chunk(before: list[list], changes: list[list], out: list[tuple]) -> No
             last = now
 
 
-def bbo_timeline(intervals: DataFrame, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
-    """Best bid and offer after every event that changes them.
+def bbo_timeline(intervals: DataFrame, chunk_events: int = CHUNK_EVENTS, levels: DataFrame | None = None) -> DataFrame:
+    """Best bid and offer after every event that changes them. ``levels`` is their level timeline, if at hand.
 
     Instruments are cut into runs of ``chunk_events`` sequence numbers. A chunk starts from the
     levels live just before its first event, which are level states that reach the boundary; so a
@@ -314,13 +314,12 @@ def bbo_timeline(intervals: DataFrame, chunk_events: int = CHUNK_EVENTS) -> Data
     log is, and the rows do not depend on where the cuts fall. Short chunks share a group, since each group
     has a cost of its own.
     """
+    levels = level_timeline(intervals) if levels is None else levels
     spans = running(
-        level_timeline(intervals), [*KEY, "side", "price"], ["seq"], descending=True,
-        next_seq=running_last("seq", inclusive=False),
-    )
-    ends = intervals.groupBy(*KEY).agg(
-        F.max(F.greatest("start_seq", F.coalesce("end_seq", F.lit(0)))).alias("last_seq")
+        levels, [*KEY, "side", "price"], ["seq"], descending=True, next_seq=running_last("seq", inclusive=False),
     )
+    # Every start and end of an interval is a change of a level. One row per instrument.
+    ends = F.broadcast(levels.groupBy(*KEY).agg(F.max("seq").alias("last_seq")))
     # A chunk starts from the book just before its first event, so a level that this very event
     # changes is carried into it as well; the change then replaces it.
     spans = spans.join(ends, KEY).withColumns(

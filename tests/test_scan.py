@@ -133,3 +133,19 @@ def test_a_key_is_cut_before_its_sorts_fill_a_task(spark):
     width = scan.chunk_width(one_key, ["k"], "t")
     assert width is not None and width <= 600_000
     assert scan.chunk_width(one_key.where("t < 400000"), ["k"], "t") is None
+
+
+def test_a_plan_is_run_once_and_sorted_once(spark, chunked):
+    """Measuring a plan must not run it again, and no join may sort the rows beside the window."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    df = spark.range(100, numPartitions=2).selectExpr("id % 2 k", "id t").mapInPandas(counted, "k long, t long")
+    out = scan.running(df, ["k"], ["t"], n=scan.running_count())
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.agg(F.sum("n")).first()[0] == 2 * sum(range(1, 51))
+    assert seen.value == 100
