@@ -5,6 +5,7 @@ from __future__ import annotations
 from tapeframe.operators import book as ops
 from tapeframe.operators import features as feat
 from tapeframe.plans.duck import BOOK
+from tapeframe.session import staged
 from tapeframe.sources import views
 
 AS_OF = 897912000000000000  # 1998-06-15 12:00 UTC
@@ -97,8 +98,9 @@ def book_change_feed(spark, sf):
 
 
 def book_invariants(spark, sf):
-    iv = _intervals(spark, sf)
-    return ops.invariant_audit(iv, ops.level_timeline(iv), ops.bbo_timeline(iv))
+    iv = staged(_intervals(spark, sf), "intervals")
+    levels = staged(ops.level_timeline(iv), "levels")
+    return ops.invariant_audit(iv, levels, ops.bbo_timeline(iv, levels=levels))
 
 
 def snapshot_overlay_depth(spark, sf):

@@ -238,3 +238,18 @@ def test_overlay_orders_only_what_came_after_the_snapshot(spark, monkeypatch):
     late = {91: (20, 2), 92: (10, 1), 95: (7, 2), 94: (5, 1)}
     assert got == {(1, p): x for p, x in late.items()} | {(i, p): x for i in (2, 3) for p, x in whole.items()}
     assert ordered == [5 + 40 + 40]
+
+
+def test_the_audit_works_its_levels_out_once(spark, monkeypatch):
+    """The level timeline is a scan of the whole log; its counts and the BBO read one and the same."""
+    from tapeframe.plans import book as plan
+
+    calls, plain = [], ops.level_timeline
+
+    def counted(intervals):
+        calls.append(1)
+        return plain(intervals)
+
+    monkeypatch.setattr(ops, "level_timeline", counted)
+    got = {r.rule: r.violations for r in plan.book_invariants(spark, "/root/testdata/sf0.001").collect()}
+    assert len(calls) == 1 and len(got) == 7 and not any(v for k, v in got.items() if k != "crossed_states")
