@@ -49,21 +49,41 @@ def forward_returns(
 def _first_exit(prices: np.ndarray, upper: float, lower: float, start: np.ndarray) -> np.ndarray:
     """Index of the first later price whose return leaves (-lower, upper); len(prices) if none.
 
-    Doubling blocks of maxima and minima are skipped while neither can hold a hit.
+    Blocks of a power of two prices keep their maximum and minimum, each at a multiple of its size, so all levels
+    together are as long as the prices. A row goes up from block to larger block while none can hold a hit, then
+    down into the one that does.
     """
     n = len(prices)
     highs, lows = [prices], [prices]
-    while 2 ** len(highs) <= n:
-        half = 2 ** (len(highs) - 1)
-        highs.append(np.maximum(highs[-1][:-half], highs[-1][half:]))
-        lows.append(np.minimum(lows[-1][:-half], lows[-1][half:]))
+    while len(highs[-1]) > 1:
+        even = len(highs[-1]) // 2 * 2
+        highs.append(np.maximum(highs[-1][:even:2], highs[-1][1:even:2]))
+        lows.append(np.minimum(lows[-1][:even:2], lows[-1][1:even:2]))
     entry = prices[start]
     at = start + 1
-    for k in range(len(highs) - 1, -1, -1):
-        fits = at + 2**k <= n
-        i = np.where(fits, at, 0)
-        quiet = ((highs[k][i] - entry) / entry < upper) & ((lows[k][i] - entry) / entry > -lower)
-        at = np.where(fits & quiet, at + 2**k, at)
+
+    def skip(rows: np.ndarray, k: int) -> np.ndarray:
+        """Takes ``rows`` over their next block of 2**k if it is whole and without a hit; which ones it did."""
+        i = at[rows] >> k
+        whole = i < len(highs[k])
+        i = np.where(whole, i, 0)
+        e = entry[rows]
+        one, other = (highs[k][i] - e) / e, (lows[k][i] - e) / e
+        quiet = whole & (np.maximum(one, other) < upper) & (np.minimum(one, other) > -lower)
+        at[rows[quiet]] += 1 << k
+        return quiet
+
+    below = np.zeros(len(start), dtype="int8")  # the level a row stopped at
+    up = np.arange(len(start))
+    for k in range(len(highs)):
+        here = (at[up] >> k) & 1 == 1
+        tried = up[here]
+        stopped = ~skip(tried, k)
+        below[tried[stopped]] = k
+        here[here] = stopped
+        up = up[~here]
+    for k in range(len(highs) - 2, -1, -1):
+        skip(np.flatnonzero(below > k), k)
     return at
 
 
@@ -118,18 +138,21 @@ def triple_barrier(
     def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
         return next(label(iter([pdf])))
 
-    hits = copies.groupBy("instrument_id", "chunk").applyInPandas(
+    # Written out, so that the search runs once; only rows without a hit look for their expiry.
+    hits = staged(copies.groupBy("instrument_id", "chunk").applyInPandas(
         one_group,
         "instrument_id long, ts long, tie long, price double, hit_ts long, hit_price double",
-    ).withColumn("expiry", F.col("ts") + max_holding_ns)
+    ), "hits")
+    quiet = hits.where("hit_ts is null").withColumn("expiry", F.col("ts") + max_holding_ns)
     out = asof(
-        hits, base.withColumnsRenamed({"ts": "exp_ts", "price": "exp_price", "tie": "exp_tie"}),
+        quiet, base.withColumnsRenamed({"ts": "exp_ts", "price": "exp_price", "tie": "exp_tie"}),
         KEY, "expiry", "exp_ts", ["ts", "tie"], ["exp_tie"], ["exp_ts", "exp_price"], forward=True,
     )
     ends = base.groupBy("instrument_id").agg(
         F.max_by(F.struct("ts", "price"), F.struct("ts", "tie")).alias("last_row")
     )
-    out = out.join(ends, "instrument_id")
+    out = out.drop("expiry").unionByName(hits.where("hit_ts is not null"), allowMissingColumns=True)
+    out = out.join(F.broadcast(ends), "instrument_id")
     hit, expired = F.col("hit_ts").isNotNull(), F.col("exp_ts").isNotNull()
     exit_price = F.when(hit, F.col("hit_price")).when(expired, F.col("exp_price")).otherwise(
         F.col("last_row.price"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,21 @@ def test_forward_return_beyond_the_series_is_invalid(spark):
     a, b = labels.forward_returns(df, "ts", "price", "seq", 10).orderBy("seq").collect()
     assert (a.has_forward_target, a.forward_return) == (True, pytest.approx(0.1))
     assert (b.has_forward_target, b.forward_return, b.label_end_ns) == (False, None, 20)
+
+
+def test_barrier_search_holds_a_few_numbers_per_price():
+    """The blocks of all levels together are as long as the prices, not as long once per level."""
+    import tracemalloc
+
+    prices = np.random.default_rng(3).integers(100, 160, 200_000).astype("float64")
+    prices[::97] = np.nan
+    own = np.arange(0, len(prices), 2)
+    tracemalloc.start()
+    at = labels._first_exit(prices, 0.35, 0.25, own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * len(prices)
+    for i in own[:: 997]:
+        ret = (prices[i + 1:] - prices[i]) / prices[i]
+        out = np.flatnonzero(~((ret < 0.35) & (ret > -0.25)))
+        assert at[i // 2] == (i + 1 + out[0] if len(out) else len(prices))
