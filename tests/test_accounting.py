@@ -319,3 +319,45 @@ def test_large_overlapping_schedules_stay_small(spark, rows):
         here = [s for s in segments if s[0] <= t * 10**12]
         want = (None if max(held) % 31 == 0 else 2**60 + max(held), True) if held else (None, False)
         assert (here[-1][1:] if here else (None, False)) == want, t
+
+
+def test_a_summary_of_fills_is_the_end_of_the_curve(spark, both_plans):
+    """Fills after the last quote do not count, and a run without fills is all cash; no curve is laid out for it."""
+    rng = random.Random(5)
+    order = ["fill_timestamp_ns", "fill_row", "fill_seq"]
+    fills = [(1, k, t * 10, t, t, rng.choice([-3, -1, 2, 4]), rng.randint(900, 1100), rng.uniform(-50, 50), 7.0, 0.1, 0.2, 0.3, 0.4)
+             for t in range(40) for k in (1, 2)]
+    led = spark.createDataFrame(
+        fills, "run_id long, instrument_id long, fill_timestamp_ns long, fill_row long, fill_seq long, signed_quantity long, price long,"
+        " cash_delta double, notional double, spread_cost double, slippage_cost double, exchange_fee double, regulatory_fee double")
+    quotes = spark.createDataFrame(
+        [(r, k, i, 5 + 9 * (i // 2), 990 + i, 995 + i) for r in (1, 2) for k in (1, 2) for i in range(60)],
+        "run_id long, instrument_id long, sequence_num long, receive_timestamp_ns long, best_bid_price long, best_ask_price long")
+    got = ledger.summary_of_fills(quotes, led, order, 1000.0)
+    names = list(ledger._TOTALS)
+    totals = ledger.average_cost(led, order, totals=names).withColumnRenamed("position_after", "position")
+    whole = ledger.run_summary(ledger.equity_curve(quotes, totals, 1000.0), ["receive_timestamp_ns", "sequence_num"], 1000.0)
+    key = lambda r: (r.run_id, r.instrument_id)
+    got, whole = sorted(got.collect(), key=key), sorted(whole.collect(), key=key)
+    assert len(got) == 4 and [r.n_quotes for r in got] == [60] * 4
+    for g, w in zip(got, whole, strict=True):
+        for c in ("n_quotes", "position", "portfolio_equity", "turnover", "realized_pnl", "net_pnl", "total_friction", "gross_pnl"):
+            assert g[c] == pytest.approx(w[c]), c
+    assert [r.position for r in got if r.run_id == 2] == [0, 0]
+
+
+def test_the_curve_writes_no_more_than_it_reads_again(spark, monkeypatch):
+    """Position, cash and average cost share one scan; costs that the curve does not show are not carried along."""
+    from tapeframe.operators import scan
+    from tapeframe.plans import accounting as plan
+
+    scans, plain = [], scan.running
+
+    def counted(df, *args, **carries):
+        scans.append(df.columns)
+        return plain(df, *args, **carries)
+
+    monkeypatch.setattr(ledger, "running", counted)
+    plan.equity_curve(spark, "/root/testdata/sf0.001")
+    # The orders' targets, the positions beside the cash, and the profit.
+    assert len(scans) == 3 and "turnover" not in scans[-1] and "spread_cost" not in scans[-1]
